@@ -110,10 +110,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = with_spans(given, "text", scope)
-    count = {kind: F.size(F.filter("_base", lambda s, k=kind: s["kind"] == k)).cast("long") for kind in ("assign", "access", "hex")}
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("_base", lambda s: s["rank"] == rank)).cast("long")
+
     return found.select(
         "doc_id",
-        *[n.alias(f"n_{kind}") for kind, n in count.items()],
+        *[count(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS[:3])],
         F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
         _joined(F.col("_spans")).alias("spans"),
         F.size(F.filter("_spans", lambda s: s["rank"] >= 3)).cast("long").alias("n_linked"),

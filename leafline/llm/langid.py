@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafline.llm.linear import held_out
+from leafline.llm.runtime import plus
 
 #: A parse starts anew after this many letters of a long text, for every language alike.
 BLOCK = 1024
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     language first by name. Other columns pass through untouched.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = plus(docs.schema, lang_pred=T.StringType(), score=T.DoubleType())
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for ``outputs`` logistic regressions."""
 
-    def __init__(self, bits: int, outputs: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1):
+    def __init__(self, bits: int, outputs: int, alpha: float = 8.0, beta: float = 1.0, l1: float = 0.5, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((outputs, (1 << bits) + 1)), np.zeros((outputs, (1 << bits) + 1))
 
@@ -87,7 +87,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, outputs: int, sample_rows: int = 6000, bits: int = 18, epochs: int = 3) -> Linear:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, outputs: int, sample_rows: int = 10_000, bits: int = 18, epochs: int = 3) -> Linear:
     """Fit on a sample of ``labels`` (``id_col``, ``y`` an array of ``outputs`` numbers 0 or 1).
 
     About ``sample_rows`` labels are drawn by a hash of their id (all of them,

@@ -6,10 +6,10 @@ gives signature coordinate k. Coordinates are banded, documents that agree on a
 band are candidates, and every link is confirmed on the two full shingle sets.
 
 Documents with one set are one class and only its smallest id is compared.
-Inside a bucket no list of all pairs is made at first: each member is held
-against one hub, links merge documents into components, and from then on only
-pairs between different components of a bucket are left. Buckets where many
-such pairs remain go through an exact prefix join instead.
+Inside a bucket no list of all pairs is made at first: members are held against
+a few hubs, links merge documents into components, and from then on only pairs
+between different components of a bucket are left. Those are all compared;
+buckets where very many remain go through an exact prefix join instead.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm.hashing import mix, shingle_sets, slices
-from leafline.llm.runtime import connected_components, cut, empty
+from leafline.llm.runtime import connected_components, cut
 
 _STRIDE = 0x9E3779B1
 
@@ -141,6 +141,49 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int)
     return met.select(F.col("id").alias("a"), "b").distinct()
 
 
+def _open(member: DataFrame, component: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that still hold two components."""
+    at = member.join(component, "rep")
+    spread = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return at.hint("merge").join(spread.select("bucket", "low").hint("merge"), "bucket")
+
+
+def _hub_pairs(at: DataFrame, turn: int, hubs: int) -> DataFrame:
+    """Each member outside its bucket's lowest component against ``hubs`` members of that."""
+    order = [F.xxhash64("rep", "bucket", F.lit(turn * 100 + j)) if turn else F.col("rep") for j in range(hubs)]
+    chosen = at.where("component = low").groupBy("bucket").agg(F.array(*[F.min(F.struct(o.alias("o"), "rep"))["rep"] for o in order]).alias("hubs"))
+    rest = at.where("component <> low").select("bucket", "rep").hint("merge").join(chosen.hint("merge"), "bucket")
+    pairs = rest.select("rep", F.explode(F.array_distinct("hubs")).alias("hub"))
+    return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """``component`` with the components merged that ``links`` connect."""
+    a, b = component.select(F.col("rep").alias("a"), F.col("component").alias("ca")), component.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
+    edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    roots = connected_components(edges).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return cut(component.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")))
+
+
+def _rest(at: DataFrame, bands: DataFrame, texts: DataFrame, size: int, percent: int, pairs_in_bucket: int) -> DataFrame:
+    """All pairs that are left between components of one bucket.
+
+    A pair comes once, from the first band it shares. Buckets with more than
+    ``pairs_in_bucket`` such pairs go through the prefix join.
+    """
+    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    load = parts.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("load"))
+    sized = cut(at.hint("merge").join(load.hint("merge"), "bucket").join(bands, "rep").select("bucket", "band", "rep", "component", "bands", "load"))
+    light = sized.where(f"load <= {pairs_in_bucket}")
+    other = light.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bands").alias("bb"))
+    met = light.hint("merge").join(other.hint("merge"), (light["bucket"] == other["bucket"]) & F.expr("rep < b and component <> cb and array_position(zip_with(bands, bb, (x, y) -> x = y), true) = band + 1"))
+    pairs = met.select(F.col("rep").alias("a"), "b")
+    heavy = cut(sized.where(f"load > {pairs_in_bucket}").select(F.col("rep").alias("id"), "component").distinct())
+    if heavy.isEmpty():
+        return pairs
+    return pairs.unionByName(_prefix_pairs(heavy, texts, size, percent)).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -149,8 +192,8 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 32,
     rows: int = 6,
-    hub_rounds: int = 2,
-    pairs_in_bucket: int = 512,
+    hubs: tuple[int, ...] = (1, 2, 6),
+    pairs_in_bucket: int = 200_000,
 ) -> DataFrame:
     """The component of every document under the links of ``percent`` similarity.
 
@@ -164,61 +207,27 @@ def near_duplicates(
     it is never kept. Columns beside the two named are ignored. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
     sketch = cut(sketches(docs, id_col, text_col, size, bands, rows))
     first = sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = cut(first.where("rep is not null"))
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    member = cut(banded.hint("merge").join(shared.hint("merge"), "bucket").select("bucket", "rep"))
-    involved = member.select(F.col("rep").alias("id")).distinct()
-    component = classes.select(F.col("rep").alias("id"), F.col("rep").alias("component"))
-    links = None
-    texts = None
-
-    def open_buckets() -> DataFrame:
-        """Members of the buckets that still hold two components."""
-        at = member.join(component.withColumnRenamed("id", "rep"), "rep")
-        spread = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep"), "rep", "component")).alias("hub")).where("low <> high")
-        return at.hint("merge").join(spread.hint("merge"), "bucket")
-
-    def merge(pairs: DataFrame) -> None:
-        nonlocal links, component
-        found = confirmed(pairs, texts, size, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        joined = connected_components(links)
-        component = cut(
-            classes.select(F.col("rep").alias("id")).join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        )
-
+    member = cut(banded.hint("merge").join(shared.hint("merge"), "bucket").select("bucket", "band", "rep"))
+    component = classes.select("rep", F.col("rep").alias("component"))
     if not member.isEmpty():
-        texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id").groupBy("id").agg(F.first("text").alias("text")))
-        for k in range(hub_rounds):
-            at = open_buckets()
-            hub = "hub" if k == 0 else "other"
-            if k:  # another hub: the member of another component that comes first in the round's own order
-                far = at.where("component <> hub.component").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "component")).alias("other"))
-                at = at.hint("merge").join(far.hint("merge"), "bucket")
-            pairs = at.where(f"component <> {hub}.component").select(F.least("rep", f"{hub}.rep").alias("a"), F.greatest("rep", f"{hub}.rep").alias("b")).distinct()
-            pairs = cut(pairs)
+        involved = member.select(F.col("rep").alias("id")).distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id")
+        texts = cut(texts.groupBy("id").agg(F.first("text").alias("text")))
+        for k, n in enumerate(hubs):
+            pairs = cut(_hub_pairs(_open(member, component), k, n))
             if pairs.isEmpty():
                 break
-            merge(pairs)
-        at = cut(open_buckets().select("bucket", "rep", "component"))
+            component = _merged(component, confirmed(pairs, texts, size, percent))
+        at = cut(_open(member, component))
         if not at.isEmpty():
-            parts = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-            load = parts.groupBy("bucket").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("load"))
-            light = at.hint("merge").join(load.where(f"load <= {2 * pairs_in_bucket}").hint("merge"), "bucket").select("bucket", "rep", "component")
-            other = light.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = light.hint("merge").join(other.hint("merge"), "bucket").where("rep < b and component <> cb").select(F.col("rep").alias("a"), "b").distinct()
-            heavy = at.join(load.where(f"load > {2 * pairs_in_bucket}"), "bucket").select(F.col("rep").alias("id"), "component").distinct()
-            heavy = cut(heavy)
-            if not heavy.isEmpty():
-                pairs = pairs.unionByName(_prefix_pairs(heavy, texts, size, percent)).distinct()
-            merge(cut(pairs))
-    if links is None:
-        links = empty(spark, "a long, b long")
-    label = classes.select("s1", "s2", "n", "rep").join(component.withColumnRenamed("id", "rep"), "rep")
+            pairs = _rest(at, classes.select("rep", "bands"), texts, size, percent, pairs_in_bucket)
+            component = _merged(component, confirmed(cut(pairs), texts, size, percent))
+    label = classes.select("s1", "s2", "n", "rep").join(component, "rep")
     out = sketch.join(label.hint("merge"), ["s1", "s2", "n"], "left")
     return out.select(
         F.col("id").alias("doc_id"),

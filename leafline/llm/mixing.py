@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafline.llm.linear import Linear, fit
-from leafline.llm.runtime import cut
+from leafline.llm.runtime import cut, plus
 
 #: Domains of the labelled table, and the share of tokens that each should have.
 DOMAINS = ("clean", "toxic", "low")
@@ -46,7 +47,7 @@ def with_posteriors(docs: DataFrame, model: Linear, text_col: str = "text") -> D
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), p.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), lists], [*batch.schema.names, "n_tokens", "posterior"])
 
-    return docs.mapInArrow(run, docs.schema.add("n_tokens", "long").add("posterior", "array<double>"))
+    return docs.mapInArrow(run, plus(docs.schema, n_tokens=T.LongType(), posterior=T.ArrayType(T.DoubleType())))
 
 
 def rate(posterior: Column, steps: list[list[float]], cap: float) -> Column:
@@ -95,7 +96,7 @@ def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float
     return steps
 
 
-def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, cap: float = 4.0, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, sample_rows: int = 6000) -> DataFrame:
+def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, cap: float = 4.0, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, sample_rows: int = 10_000) -> DataFrame:
     """The rate of every document.
 
     Returns ``doc_id, n_tokens, p_clean, p_toxic, p_low, rate``: over all
@@ -114,7 +115,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     return scored.select("doc_id", "n_tokens", *named, rate(F.col("posterior"), steps, cap).alias("rate"))
 
 
-def sample_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 6000) -> DataFrame:
+def sample_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000) -> DataFrame:
     """``docs`` thinned to the mixture: a row stays if a hash of its id falls below its rate.
 
     Rates are at most one, and targets are as many tokens as the first domain

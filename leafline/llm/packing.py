@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafline.llm.runtime import cut, plus
 
 END = 2
 
@@ -41,7 +44,7 @@ def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str | None = None) -> DataFrame:
     """Per piece of each document: ``doc_id, piece, start, length, ids_crc32``."""
-    schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = plus(docs.select(F.col(id_col).alias("doc_id")).schema, piece=T.IntegerType(), start=T.LongType(), length=T.LongType(), ids_crc32=T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -138,8 +141,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     rows are packed like any other, each once; extra columns are ignored. An
     empty table gives an empty result.
     """
-    from leafline.llm.runtime import cut
-
     spark = docs.sparkSession
     made = cut(pieces(docs, id_col, text_col, capacity, vocabulary))
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafline.llm.linear import Linear, fit, held_out
+from leafline.llm.runtime import plus
 
 
 def score(docs: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:
@@ -23,10 +25,10 @@ def score(docs: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(margins[:, 0], -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, plus(docs.schema, score=T.DoubleType()))
 
 
-def predict_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000) -> DataFrame:
+def predict_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 10_000) -> DataFrame:
     """Learn from labels not held out and score every document.
 
     Returns ``doc_id, held_out, score, predicted``. Labels other than 0 and 1,

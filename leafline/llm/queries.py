@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leafline.llm import minhash
+from leafline.llm import credentials, langid, minhash, mixing, packing, quality, wrappers
 from leafline.session import table
 
 
@@ -16,7 +15,43 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
+
+
+def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels not held out."""
+    return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows not held out."""
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op9_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with linked weak parts."""
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of every document in a mixture of clean, low and toxic text."""
+    return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _QUERIES = {
+    "op1_best_two_fit": op1_best_two_fit,
+    "op4_wrapper_extraction": op4_wrapper_extraction,
+    "op6_ftrl_quality": op6_ftrl_quality,
+    "op8_cross_parsing_language": op8_cross_parsing_language,
+    "op9_credential_linking": op9_credential_linking,
+    "op10_soft_mixing": op10_soft_mixing,
     "op2_circulant_minhash": op2_circulant_minhash,
 }
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import leafline
 
@@ -27,8 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def plus(schema: T.StructType, **more: T.DataType) -> T.StructType:
+    """``schema`` with further nullable fields; a new object, since ``add`` would alter the one a DataFrame holds."""
+    return T.StructType([*schema.fields, *[T.StructField(name, kind) for name, kind in more.items()]])
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

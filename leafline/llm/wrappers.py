@@ -20,8 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafline.llm.runtime import cut
+from leafline.llm.runtime import cut, plus
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -380,7 +381,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = cut(infer(given, "url", "html"))
     size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    schema = given.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
+    schema = plus(given.select("page_id", "url").schema, text=T.StringType(), n_chars=T.LongType())
 
     def texts(batch: pa.RecordBatch, rule_of) -> pa.RecordBatch:
         out = []
