@@ -95,9 +95,9 @@ def with_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> Dat
     base = docs.withColumn("_base", base_spans(F.col(text_col)))
     # a text without weak parts needs no partner: it gets a key that meets none, spread evenly
     key = F.when(weak_hint(text), F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.xxhash64(text).cast("string"), F.monotonically_increasing_id().cast("string")))
-    extra = linked_spans(docs, text_col, scope)
-    found = base.withColumn("_key", key).join(extra.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    return found.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("extra", F.array().cast(SPAN))))).drop("extra")
+    extra = linked_spans(docs, text_col, scope).select(F.col("key").alias("_key"), F.col("extra").alias("_extra"))
+    found = base.withColumn("_key", key).join(extra, "_key", "left").drop("_key")
+    return found.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_extra", F.array().cast(SPAN))))).drop("_extra")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:

@@ -24,7 +24,9 @@ from leafline.llm.runtime import plus
 
 #: A parse starts anew after this many letters of a long text, for every language alike.
 BLOCK = 1024
-_FLAG = np.int32(1 << 30)
+#: A transition holds the next state and, from this bit on, how many phrases it ends.
+_PLACE = 29
+_STATE = np.int32((1 << _PLACE) - 1)
 
 
 def normal(text: str) -> str:
@@ -70,8 +72,8 @@ def automaton(codes: np.ndarray, letters: int) -> np.ndarray:
 class Model:
     """Languages, the letters known, and all their automata in one table.
 
-    ``table[state * len(letters) + code]`` is the next state, with ``_FLAG``
-    set where a phrase ends before the letter.
+    ``table[state * (len(letters) + 2) + code]`` is the next state, with the
+    number of phrases that end there in its upper bits.
     """
 
     languages: list[str]
@@ -90,8 +92,9 @@ def build(samples: dict[str, str]) -> Model:
     tables, roots, base = [], [], 0
     for language in languages:
         t = automaton(np.array([code[c] for c in samples[language]], np.int32), len(letters) + 2)
-        restart = np.where(t[0] >= 0, t[0], 0)
-        t = np.where(t >= 0, t + base, (restart + base) | _FLAG)
+        restart, strange = np.where(t[0] >= 0, t[0], 0), t[0] < 0  # a letter in no sample is a phrase of its own
+        ended = 1 + (strange[None] & (np.arange(len(t)) > 0)[:, None])
+        t = np.where(t >= 0, t + base, (restart + base) | (ended << _PLACE))
         tables.append(t.ravel())
         roots.append(base)
         base += len(t)
@@ -143,8 +146,8 @@ class Parser:
                 at = state[:, :k] * np.int32(self.width)
                 at += codes[begin[:k] + t]
                 to = self.model.table.take(at)
-                counts[:, :k] += to >= _FLAG
-                state[:, :k] = to & (_FLAG - 1)
+                counts[:, :k] += to >> _PLACE
+                state[:, :k] = to & _STATE
             counts += state != self.model.roots[:, None]
         total = np.zeros((n, langs))
         for x in range(langs):

@@ -83,13 +83,13 @@ def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float
     target = np.array(weights) * whole
     inverse = np.linalg.inv(second + np.eye(k) * 1e-9 * max(second.trace(), 1e-9))
     steps: list[list[float]] = []
-    last = np.inf
+    last = None
     for _ in range(most_steps):
         r = rate(F.col("posterior"), steps, cap)
         sums = scored.select(F.col("posterior"), tokens.alias("t"), r.alias("r")).agg(*[F.sum(F.col("t") * F.col("r") * p[i]) for i in range(k)]).first()
         off = np.array([x or 0.0 for x in sums]) - target
         loss = float(off @ inverse @ off)
-        if np.abs(off).sum() <= close * whole or last - loss <= 1e-4 * last:
+        if np.abs(off).sum() <= close * whole or last is not None and last - loss <= 1e-4 * last:
             break
         last = loss
         steps.append((inverse @ off).tolist())

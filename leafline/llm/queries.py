@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafline.llm import credentials, langid, minhash, mixing, packing, quality, wrappers
+from leafline.llm import chat, collisions, credentials, crosspolytope, langid, minhash, mixing, packing, quality, wrappers
 from leafline.session import table
 
 
@@ -20,16 +21,32 @@ def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors at a cosine of 0.9."""
+    return collisions.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), limit=0.9)
+
+
 def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each whose id 100 divides."""
+    rows = table(spark, sf_dir, "embeddings")
+    return crosspolytope.search(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels not held out."""
     return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's side."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows not held out."""
     return langid.predict_languages(table(spark, sf_dir, "documents"))
@@ -45,17 +62,28 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES = {
     "op1_best_two_fit": op1_best_two_fit,
+    "op2_circulant_minhash": op2_circulant_minhash,
+    "op3_collision_counting": op3_collision_counting,
     "op4_wrapper_extraction": op4_wrapper_extraction,
+    "op5_cross_polytope": op5_cross_polytope,
     "op6_ftrl_quality": op6_ftrl_quality,
+    "op7_perspective_rotation": op7_perspective_rotation,
     "op8_cross_parsing_language": op8_cross_parsing_language,
     "op9_credential_linking": op9_credential_linking,
     "op10_soft_mixing": op10_soft_mixing,
-    "op2_circulant_minhash": op2_circulant_minhash,
+    "pipeline": pipeline,
 }
 
-_ORACLES: dict[str, str] = {}
+_ORACLES = {"op7_perspective_rotation": chat.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

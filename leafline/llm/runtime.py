@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,16 +15,21 @@ import leafline
 cloudpickle.register_pickle_by_value(leafline)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset
-    (tests and single machines) a temporary folder takes its place.
+    Where it is unset (tests and single machines) a temporary folder takes its
+    place.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        given = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="leafline-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leafline-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

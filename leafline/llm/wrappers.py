@@ -180,13 +180,26 @@ def parse(page: str) -> Element:
 # the text, or -1 if it differs], or None without own text.
 
 
+def repeat(node: list) -> None:
+    """Mark a node as a repeated group: its text, and that below it, is a slot even if alike so far."""
+    node[1] |= 2
+
+    def free(x: list) -> None:
+        if x[2]:
+            x[2][3] = -1
+        for y in x[3]:
+            free(y)
+
+    free(node)
+
+
 def fold(children: list) -> list:
     """``children`` with runs of like elements, and of like sequences of up to six, as repeated groups."""
     out: list = []
     for node in children:
         if out and out[-1][0] == node[0]:
             merge(out[-1], node)
-            out[-1][1] |= 2
+            repeat(out[-1])
         else:
             out.append(node)
     for period in range(2, 7):
@@ -195,7 +208,7 @@ def fold(children: list) -> list:
             if all(out[i + j][0] == out[i + period + j][0] for j in range(period)):
                 for j in range(period):
                     merge(out[i + j], out[i + period + j])
-                    out[i + j][1] |= 2
+                    repeat(out[i + j])
                 del out[i + period : i + 2 * period]
             else:
                 i += 1
@@ -254,14 +267,14 @@ def wrapper_of(element: Element) -> list:
     return [element.key, 0, slot, fold([wrapper_of(x) for x in element.items if not isinstance(x, str)])]
 
 
-def mass(node: list, in_article: bool = False) -> int:
-    """Characters of text outside links that differ between pages, below a node and not dropped."""
+def mass(node: list, fixed: bool, in_article: bool = False) -> int:
+    """Characters of text outside links below a node and not dropped; ``fixed`` counts text alike on all pages too."""
     in_article = in_article or is_main(node[0]) > 0
     if dropped(node[0], in_article):
         return 0
     slot = node[2]
-    own = slot[1] - slot[2] if slot and not (slot[0] >= 3 and slot[3] != -1) else 0
-    return own + sum(mass(x, in_article) for x in node[3])
+    own = slot[1] - slot[2] if slot and (fixed or slot[0] < 3 or slot[3] == -1) else 0
+    return own + sum(mass(x, fixed, in_article) for x in node[3])
 
 
 def decide(root: list) -> list:
@@ -271,14 +284,15 @@ def decide(root: list) -> list:
     def find(node: list, within: bool) -> None:
         if dropped(node[0], within):
             return
-        if (sure := is_main(node[0])) and (held := mass(node, within)):
+        if (sure := is_main(node[0])) and (held := mass(node, True, within)):
             mains.append((sure, held))
         for x in node[3]:
             find(x, within or sure > 0)
 
     find(root, False)
     most = {s: max((held for sure, held in mains if sure == s), default=0) for s in (1, 2)}
-    whole = mass(root)
+    whole = mass(root, True)
+    fixed = not mass(root, False)  # copies of one page: nothing tells its template from its text
     if most[2] and 2 * most[2] >= most[1]:
         want = 2
     elif most[1] and 4 * most[1] >= whole:
@@ -288,7 +302,11 @@ def decide(root: list) -> list:
     center: list | None = None
     if not want:  # no named article: the deepest element with most of the varying text
         center = root
-        while center[3] and (best := max(center[3], key=mass)) and mass(best) * 10 >= mass(center) * 7 and mass(best):
+
+        def weigh(node: list) -> int:
+            return mass(node, fixed)
+
+        while center[3] and (best := max(center[3], key=weigh)) and weigh(best) * 10 >= weigh(center) * 7 and weigh(best):
             if best[0].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td"):
                 break
             center = best
@@ -300,7 +318,7 @@ def decide(root: list) -> list:
         kept = kept or bool(want and sure >= want and (sure == want or want == 1)) or node is center
         slot = node[2]
         own = kept and not out
-        if own and slot and not want and slot[0] >= 3 and (slot[3] != -1 or 5 * slot[2] > 4 * slot[1]):
+        if own and slot and not want and slot[0] >= 3 and (slot[3] != -1 and not fixed or 5 * slot[2] > 4 * slot[1]):
             own = False
         return [node[0], int(own), [rules(x, kept, within, out) for x in node[3]]]
 
