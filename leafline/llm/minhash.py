@@ -8,8 +8,8 @@ band are candidates, and every link is confirmed on the two full shingle sets.
 Documents with one set are one class and only its smallest id is compared.
 Inside a bucket no list of all pairs is made at first: members are held against
 a few hubs, links merge documents into components, and from then on only pairs
-between different components of a bucket are left. Those are all compared;
-buckets where very many remain go through an exact prefix join instead.
+between different components of a bucket are left. Those are all compared, in
+blocks where many remain.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.hashing import mix, shingle_sets, slices
@@ -112,33 +112,46 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return met.mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of ``members`` (id, component) of different components that can reach the similarity.
+def _family_links(members: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
+    """All links between members (family, id, component, text) of one family and different components.
 
-    Exact: sets of that similarity share one of the rarest shingles of either.
-    Common shingles never reach a prefix, so a passage in very many documents
-    makes no pairs.
+    A family's members meet in pairs of blocks, a task each, where shared
+    shingles are counted through an index of the block; only links leave it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, part in slices(batch.column(2), 1 << 20):
-                found, bounds = shingle_sets(part, size)
-                owner = pa.array(np.repeat(np.arange(start, start + len(part)), np.diff(bounds)))
-                n = np.repeat(np.diff(bounds), np.diff(bounds))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(n, pa.int64()), pa.array(found.view(np.int64))],
-                    ["id", "component", "n", "shingle"],
-                )
-
-    held = members.join(texts, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, n long, shingle long")
-    rare = held.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = held.join(rare, "shingle").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
-    prefix = cut(ranked.where(f"r <= n - cast(ceil(n * {percent} / 100.0) as long) + 1 and df > 1").select("id", "component", "n", "shingle"))
-    other = prefix.select(F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), "shingle")
-    met = prefix.join(other, "shingle").where("id < b and component <> cb")
-    met = met.where(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
-    return met.select(F.col("id").alias("a"), "b").distinct()
+    counts = members.groupBy("family").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    placed = members.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sides = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = sides.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "text")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, component, block = (table[x].to_numpy() for x in ("id", "component", "block"))
+        found, bounds = shingle_sets(table["text"].combine_chunks(), size)
+        n = np.diff(bounds)
+        owner = np.repeat(np.arange(len(n)), n)
+        first = block == table["i"][0].as_py()
+        one = table["i"][0].as_py() == table["j"][0].as_py()
+        names, times = np.unique(component, return_counts=True)
+        most = names[times.argmax()]  # pairs within it, the bulk, never come up
+        a, b = [], []
+        # each pair once: rare ones of the first block against all, then the common of the first against rare ones
+        rare = component != most
+        for asked, held in [(first & rare, first)] if one else [(first & rare, ~first), (~first & rare, first & ~rare)]:
+            chosen, inside = np.flatnonzero(asked), held[owner]
+            order = np.argsort(found[inside], kind="stable")
+            keys, rows = found[inside][order], owner[inside][order]
+            for x in chosen:
+                mine = found[bounds[x] : bounds[x + 1]]
+                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                runs = high - low
+                at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+                shared = np.bincount(rows[at], minlength=len(n))
+                y = np.flatnonzero((100 * shared >= percent * (n + n[x] - shared)) & (shared > 0) & (component != component[x]))
+                a.append(np.full(len(y), ids[x]))
+                b.append(ids[y])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return sides.groupBy("family", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _open(member: DataFrame, component: DataFrame) -> DataFrame:
@@ -165,23 +178,29 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     return cut(component.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")))
 
 
-def _rest(at: DataFrame, bands: DataFrame, texts: DataFrame, size: int, percent: int, pairs_in_bucket: int) -> DataFrame:
-    """All pairs that are left between components of one bucket.
+def _rest(at: DataFrame, bands: DataFrame, texts: DataFrame, size: int, percent: int, pairs_in_bucket: int, block_rows: int) -> DataFrame:
+    """All links that are left between components of one bucket.
 
-    A pair comes once, from the first band it shares. Buckets with more than
-    ``pairs_in_bucket`` such pairs go through the prefix join.
+    In buckets with up to ``pairs_in_bucket`` pairs left each pair comes once,
+    from the first band it shares. Documents of fuller buckets form families,
+    so that each of them is read once and not for each bucket it is in.
     """
     parts = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     load = parts.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("load"))
-    sized = cut(at.hint("merge").join(load.hint("merge"), "bucket").join(bands, "rep").select("bucket", "band", "rep", "component", "bands", "load"))
-    light = sized.where(f"load <= {pairs_in_bucket}")
+    sized = cut(at.hint("merge").join(load.hint("merge"), "bucket").select("bucket", "band", "rep", "component", "load"))
+    light = sized.where(f"load <= {pairs_in_bucket}").join(bands, "rep").select("bucket", "band", "rep", "component", "bands")
     other = light.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bands").alias("bb"))
-    met = light.hint("merge").join(other.hint("merge"), (light["bucket"] == other["bucket"]) & F.expr("rep < b and component <> cb and array_position(zip_with(bands, bb, (x, y) -> x = y), true) = band + 1"))
-    pairs = met.select(F.col("rep").alias("a"), "b")
-    heavy = cut(sized.where(f"load > {pairs_in_bucket}").select(F.col("rep").alias("id"), "component").distinct())
+    same = F.expr("rep < b and component <> cb and array_position(zip_with(bands, bb, (x, y) -> x = y), true) = band + 1")
+    met = light.hint("merge").join(other.hint("merge"), (light["bucket"] == other["bucket"]) & same)
+    found = confirmed(cut(met.select(F.col("rep").alias("a"), "b")), texts, size, percent)
+    heavy = cut(sized.where(f"load > {pairs_in_bucket}").select("bucket", "rep", "component"))
     if heavy.isEmpty():
-        return pairs
-    return pairs.unionByName(_prefix_pairs(heavy, texts, size, percent)).distinct()
+        return found
+    low = heavy.groupBy("bucket").agg(F.min("rep").alias("low"))
+    family = connected_components(heavy.join(low, "bucket").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
+    family = family.select("id", F.col("component").alias("family"))
+    members = heavy.select(F.col("rep").alias("id"), "component").distinct().join(family, "id").join(texts, "id")
+    return found.unionByName(_family_links(members.select("family", "id", "component", "text"), size, percent, block_rows))
 
 
 def near_duplicates(
@@ -193,7 +212,8 @@ def near_duplicates(
     bands: int = 32,
     rows: int = 6,
     hubs: tuple[int, ...] = (1, 2, 6),
-    pairs_in_bucket: int = 200_000,
+    pairs_in_bucket: int = 2000,
+    block_rows: int = 500,
 ) -> DataFrame:
     """The component of every document under the links of ``percent`` similarity.
 
@@ -225,8 +245,7 @@ def near_duplicates(
             component = _merged(component, confirmed(pairs, texts, size, percent))
         at = cut(_open(member, component))
         if not at.isEmpty():
-            pairs = _rest(at, classes.select("rep", "bands"), texts, size, percent, pairs_in_bucket)
-            component = _merged(component, confirmed(cut(pairs), texts, size, percent))
+            component = _merged(component, _rest(at, classes.select("rep", "bands"), texts, size, percent, pairs_in_bucket, block_rows))
     label = classes.select("s1", "s2", "n", "rep").join(component, "rep")
     out = sketch.join(label.hint("merge"), ["s1", "s2", "n"], "left")
     return out.select(

@@ -47,24 +47,25 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     join, so a vertex of very high degree is never gathered anywhere. Chains of
     length n take about log n rounds. Raises if ``rounds`` don't suffice.
     """
-    star = cut(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    last = None
+    def settled(found: DataFrame, parts: int | None) -> tuple[DataFrame, tuple, int]:
+        """Distinct edges, kept in as few files as they need, with a checksum that tells whether they changed."""
+        found = found.where("u <> v").distinct()
+        found = cut(found if parts is None else found.coalesce(parts))
+        now = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return found, now, max(1, -(-now[0] // 50_000))
+
+    star, last, parts = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None)
     for _ in range(rounds):
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        star = star.coalesce(parts)
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        star = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == last:
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        star, now, parts = settled(small.select("e.u", "e.v"), parts)
+        if now == last:
             roots = star.select(F.col("v").alias("id"), F.col("v").alias("component"))
             return star.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
-        last = tuple(now)
+        last = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")

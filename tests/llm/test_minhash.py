@@ -53,26 +53,26 @@ def corpus(n=240, seed=3):
 
 
 @pytest.mark.parametrize("size", [2, 5])
-@pytest.mark.parametrize("pairs_in_bucket", [0, 200_000])
+@pytest.mark.parametrize("pairs_in_bucket", [0, 2000])
 def test_components_and_sizes(spark, size, pairs_in_bucket):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, id string, n int").repartition(5)
     sets, label = brute(texts, size, 80)
     hubs = (1,) if pairs_in_bucket == 0 else (1, 2, 6)
-    rows = minhash.near_duplicates(docs, size=size, hubs=hubs, pairs_in_bucket=pairs_in_bucket).collect()
+    rows = minhash.near_duplicates(docs, size=size, hubs=hubs, pairs_in_bucket=pairs_in_bucket, block_rows=50).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == label
     assert {r["doc_id"]: r["n_shingles"] for r in rows} == {i: len(s) for i, s in sets.items()}
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
-def test_prefix_join_finds_every_pair(spark):
+@pytest.mark.parametrize("block_rows", [7, 500])
+def test_family_blocks_find_every_link(spark, block_rows):
     texts = [(i, t) for i, t in corpus(120) if shingles(t, 2)]
     sets = {i: shingles(t, 2) for i, t in texts}
-    wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    frame = spark.createDataFrame(texts, "id long, text string")
-    members = spark.createDataFrame([(i, i) for i, _ in texts], "id long, component long")
-    pairs = minhash._prefix_pairs(members, frame, 2, 80)
-    assert {(r["a"], r["b"]) for r in minhash.confirmed(pairs, frame, 2, 80).collect()} == wanted
+    component = {i: i if i % 3 else 0 for i in sets}
+    wanted = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(5, i, component[i], t) for i, t in texts], "family long, id long, component long, text string")
+    assert {(r["a"], r["b"]) for r in minhash._family_links(members, 2, 80, block_rows).collect()} == wanted
 
 
 def test_null_ids_and_repeated_rows(spark):
