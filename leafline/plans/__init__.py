@@ -1 +1,3 @@
 """Named queries over the driver's tables; importing this registers them."""
+
+from leafline.plans import run_queries  # noqa: F401

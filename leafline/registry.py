@@ -49,4 +49,4 @@ def core_oracles() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that the smoke check runs."""
-    return _loaded()["flagship"].run(spark, sf_dir)
+    return _loaded()["table_roundtrip_records"].run(spark, sf_dir)
