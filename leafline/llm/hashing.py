@@ -124,3 +124,13 @@ def shingle_sets(texts: pa.Array, size: int = 2) -> tuple[np.ndarray, np.ndarray
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[fresh], owner[fresh]
     return value, np.searchsorted(owner, np.arange(n + 1))
+
+
+def shingle_sets_of_many(texts: pa.Array, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, a slice at a time, so that what it needs besides its result stays small."""
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, part in slices(texts):
+        values, bounds = shingle_sets(part, size)
+        found.append(values)
+        counts.append(np.diff(bounds))
+    return np.concatenate(found), np.cumsum(np.concatenate(counts))

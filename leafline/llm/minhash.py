@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.hashing import mix, shingle_sets, slices
+from leafline.llm.hashing import mix, shingle_sets, shingle_sets_of_many, slices
 from leafline.llm.runtime import connected_components, cut
 
 _STRIDE = 0x9E3779B1
@@ -125,7 +125,7 @@ def _family_links(members: DataFrame, size: int, percent: int, block_rows: int)
 
     def meet(table: pa.Table) -> pa.Table:
         ids, component, block = (table[x].to_numpy() for x in ("id", "component", "block"))
-        found, bounds = shingle_sets(table["text"].combine_chunks(), size)
+        found, bounds = shingle_sets_of_many(table["text"], size)
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(n)), n)
         first = block == table["i"][0].as_py()
