@@ -145,18 +145,17 @@ def table_kv_record_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "table_role_counts",
-    "SELECT 'record' AS role, count(DISTINCT l_orderkey) AS tables, 0 AS pairs FROM lineitem UNION ALL SELECT 'kv', count(*), 4 * count(*) FROM orders",
+    """WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT 'line' AS source, CASE WHEN n >= 2 THEN 'record' ELSE 'mixed' END AS role, count(*) AS tables FROM n GROUP BY ALL
+      UNION ALL SELECT 'kv', 'kv', count(*) FROM orders UNION ALL SELECT 'span', CASE WHEN n <= 3 THEN 'kv' ELSE 'sectioned' END, count(*) FROM n GROUP BY ALL""",
 )
 def table_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of line tables (numbers and codes make no pairs) and of pair tables."""
+    """Roles of line tables, pair tables and tables with a title over merged cells."""
     out = None
-    for made in (line_tables(spark, sf_dir), kv_tables(spark, sf_dir)):
+    for name, made in (("line", line_tables(spark, sf_dir)), ("kv", kv_tables(spark, sf_dir)), ("span", span_tables(spark, sf_dir))):
         rows = T.grid(made)
-        found = T.roles(T.shape(rows), T.record_regions(rows), T.pairs(rows))
+        found = T.roles(T.shape(rows), T.record_view(T.record_regions(rows)), T.pairs(rows), T.merged_cells(made)).withColumn("source", F.lit(name))
         out = found if out is None else out.unionByName(found)
-    # the header row of a line table reads as pairs of names; a record table's pairs are not its content
-    held = F.sum(F.when(F.col("role") == "kv", F.col("pairs")).otherwise(0))
-    return out.groupBy("role").agg(F.count("*").alias("tables"), held.alias("pairs"))
+    return out.groupBy("source", "role").agg(F.count("*").alias("tables"))
 
 
 @register("table_grid_facts", f"WITH {LINES}, c AS (SELECT table_id, row_index + 2 AS row_index, [line, part, quantity, price, flag, shipped] AS c FROM lines UNION ALL SELECT DISTINCT table_id, 1, ['Line', 'Part', 'Quantity', 'Price', 'Flag', 'Shipped'] FROM lines), d AS (SELECT table_id, row_index, list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]) AS d FROM c) SELECT table_id, row_index, len(d) AS n_cells, array_to_string(d, ' | ') AS row_text FROM d")
