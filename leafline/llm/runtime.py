@@ -4,16 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import leafline
-
-# Executors need no copy of this package: functions travel with their code.
-cloudpickle.register_pickle_by_value(leafline)
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which all executors share.
