@@ -17,11 +17,14 @@ GENERIC_TERMS = ("data", "document", "field", "info", "information", "item", "li
 ABBREVIATIONS = {"amt": "amount", "desc": "description", "id": "identifier", "no": "number", "num": "number", "qty": "quantity", "uom": "unit"}
 
 
-@F.pandas_udf("string")
-def nfkc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def nfkc(text: Column) -> Column:
     """Unicode compatibility composition, which SQL has no function for."""
-    for part in values:
-        yield part.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    def composed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in values:
+            yield part.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return F.pandas_udf(composed, "string")(text)
 
 
 def spaces(text: Column) -> Column:
