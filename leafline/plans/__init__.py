@@ -1,3 +1,3 @@
 """Named queries over the driver's tables; importing this registers them."""
 
-from leafline.plans import run_queries, table_queries  # noqa: F401
+from leafline.plans import evidence_queries, merge_queries, run_queries, table_queries, text_queries  # noqa: F401

@@ -55,8 +55,8 @@ def table_roundtrip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "table_records_long",
-    f"""WITH {LINES} SELECT table_id, CAST(row_index AS INT) AS record_index, column_index, header, value FROM lines,
-      LATERAL (SELECT unnest(range(6)) AS column_index, unnest(['Line', 'Part', 'Quantity', 'Price', 'Flag', 'Shipped']) AS header, unnest([line, part, quantity, price, flag, shipped]) AS value)""",
+    f"""WITH {LINES} SELECT table_id, CAST(row_index AS INT) AS record_index, unnest(range(6)) AS column_index, unnest(['Line', 'Part', 'Quantity', 'Price', 'Flag', 'Shipped']) AS header,
+      unnest([line, part, quantity, price, flag, shipped]) AS value FROM lines""",
 )
 def table_records_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.records_long(T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir)))))
@@ -126,8 +126,8 @@ def table_merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "table_kv_pairs",
-    """SELECT o_orderkey AS table_id, r AS row_index, k AS key, v AS value FROM orders, LATERAL (SELECT unnest([1, 1, 2, 3]) AS r, unnest(['Status', 'Priority', 'Customer', 'Ordered & dated']) AS k,
-      unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d')]) AS v)""",
+    """SELECT o_orderkey AS table_id, unnest([1, 1, 2, 3]) AS row_index, unnest(['Status', 'Priority', 'Customer', 'Ordered & dated']) AS key,
+      unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d')]) AS value FROM orders""",
 )
 def table_kv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.pairs(T.grid(kv_tables(spark, sf_dir)))
