@@ -21,7 +21,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED = f"""{ITEMS}, terms AS (SELECT DISTINCT regexp_replace(lower(split_part(text, ' ', 1)), '[^0-9a-zA-Z]+', '', 'g') AS t FROM benchmark WHERE item_id < 20),
-  hit AS (SELECT id, count(t) AS hits, coalesce(sum(24 + 8 * least(length(t), 8)), 0) AS each FROM items LEFT JOIN terms ON length(t) >= 2 AND contains(regexp_replace(lower(excerpt), '[^0-9a-zA-Z]+', '', 'g'), t) GROUP BY id),
+  hit AS (SELECT id, count(t) AS hits, coalesce(sum(CASE WHEN t IS NOT NULL THEN 24 + 8 * least(length(t), 8) END), 0) AS each FROM items LEFT JOIN terms ON length(t) >= 2 AND contains(regexp_replace(lower(excerpt), '[^0-9a-zA-Z]+', '', 'g'), t) GROUP BY id),
   base AS (SELECT i.*, hits, CASE WHEN page_no BETWEEN 3 AND 40 THEN 15 ELSE 0 END + CASE WHEN id % 17 = 0 THEN 45 ELSE 0 END + least(each, 80) + CASE WHEN field_like THEN 22 ELSE 0 END AS b FROM items i JOIN hit USING (id)),
   scored AS (SELECT id, page_no, CAST(hits AS INT) AS hits, CAST(CASE WHEN b = 0 THEN 8 ELSE b END - least(18, uncertainties * 3) AS INT) AS score FROM base)"""
 
