@@ -1 +1 @@
-
+"""Progress of runs as a stream."""
