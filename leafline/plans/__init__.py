@@ -1,3 +1,3 @@
 """Named queries over the driver's tables; importing this registers them."""
 
-from leafline.plans import document_queries, evidence_queries, merge_queries, run_queries, table_queries, text_queries  # noqa: F401
+from leafline.plans import document_queries, evidence_queries, merge_queries, package_queries, run_queries, table_queries, text_queries  # noqa: F401
