@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(texts: pa.Array, most: int = 1 << 21):
+def slices(texts: pa.Array, most: int = 1 << 20):
     """Consecutive slices of ``texts`` of about ``most`` bytes, one text at least."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

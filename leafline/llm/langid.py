@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             start = 0
             while parser and start < len(texts):
                 stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= 4_000_000):
+                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= 1_000_000):
                     chars += len(texts[stop])
                     stop += 1
                 letters, phrases = parser.phrases(texts[start:stop])

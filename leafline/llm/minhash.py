@@ -93,7 +93,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             start = 0
             while start < len(sizes):
                 base = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, base + (1 << 22), "right")))
+                stop = max(start + 1, int(np.searchsorted(sizes, base + (1 << 21), "right")))
                 k = stop - start
                 found, bounds = shingle_sets(pa.concat_arrays([a.slice(start, k), b.slice(start, k)]), size)
                 n = np.diff(bounds)
