@@ -100,9 +100,10 @@ def collided(queries: np.ndarray, values: np.ndarray, width: float, least: int,
     order = np.argsort(values, axis=0).T
     before = prefixes(order, cells)
     ranks = np.take_along_axis(values.T, order, 1)
-    cut_at = [np.concatenate([ranks[k][-(-np.arange(cells) * n // cells)], [np.inf]]) for k in range(lines)]
-    low = np.stack([np.maximum(np.searchsorted(cut_at[k][:cells], queries[:, k] - width, "left") - 1, 0) for k in range(lines)])
-    high = np.stack([np.searchsorted(cut_at[k][:cells], queries[:, k] + width, "right") for k in range(lines)])
+    # where a cell begins; the last cells of few rows can be empty
+    cut_at = [np.append(ranks[k], np.inf)[-(-np.arange(cells) * n // cells)] for k in range(lines)]
+    low = np.stack([np.maximum(np.searchsorted(cut_at[k], queries[:, k] - width, "left") - 1, 0) for k in range(lines)])
+    high = np.stack([np.searchsorted(cut_at[k], queries[:, k] + width, "right") for k in range(lines)])
     step = max(1, 8192 // before.shape[2])
     for start in range(0, len(queries), step):
         part = slice(start, start + step)
