@@ -14,7 +14,8 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -339,6 +340,29 @@ def extract(element: Element, rule: list, blocks: list[str]) -> None:
             extract(x, rule[2][here], blocks)
 
 
+def local(own: list, host: list) -> list:
+    """A page's wrapper ``own`` with what the host's pages tell of its slots: how many have them, and whether their text differs."""
+    if own[2] and host[2]:
+        own[2][0] = host[2][0]
+        own[2][3] = own[2][3] if own[2][3] == host[2][3] else -1
+    at = 0
+    for x in own[3]:
+        here = next((k for k in (*range(at, len(host[3])), *range(at)) if host[3][k][0] == x[0]), None)
+        if here is not None:
+            at = here
+            local(x, host[3][here])
+    return own
+
+
+def main_blocks(page: Element, rule: list, host: Callable[[], list]) -> list[str]:
+    """The main text's blocks of a page by its host's rules; where they find none, by rules for the page's own template."""
+    blocks: list[str] = []
+    extract(page, rule, blocks)
+    if not blocks and page.items:
+        extract(page, decide(local(wrapper_of(page), host())), blocks)
+    return blocks
+
+
 def host_of(url: str | None) -> str:
     """The host of a URL in lower case, empty if it has none."""
     found = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "", re.I)
@@ -391,7 +415,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """The main text of every page.
 
     Returns ``page_id, url, text, n_chars``. A null or empty page has an empty
-    text. Pages without a host share one wrapper. Repeated rows each get their
+    text. Pages without a host share one wrapper. The kind of main element is
+    chosen for the host; a page on which that finds no text is of another
+    template, and it is chosen for that page alone. Repeated rows each get their
     result; extra columns are ignored; an empty table gives an empty result.
     Wrappers go to all tasks if together they hold at most ``broadcast_bytes``,
     and are joined by host beyond that.
@@ -404,10 +430,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def texts(batch: pa.RecordBatch, rule_of) -> pa.RecordBatch:
         out = []
         for i, page in enumerate(batch.column(2)):
-            blocks: list[str] = []
-            if rule := rule_of(batch, i):
-                extract(parse(page.as_py() or ""), rule, blocks)
-            out.append(" ".join(blocks))
+            rule, host = rule_of(batch, i)
+            out.append(" ".join(main_blocks(parse(page.as_py() or ""), rule, host)) if rule else "")
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], schema.names)
 
     if size <= broadcast_bytes:
@@ -415,12 +439,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rules: dict[str, list] = {}
+            load = lru_cache(64)(json.loads)
 
-            def rule_of(batch: pa.RecordBatch, i: int) -> list | None:
+            def rule_of(batch: pa.RecordBatch, i: int) -> tuple[list | None, Callable[[], list]]:
                 host = host_of(batch.column(1)[i].as_py())
                 if host not in rules:
                     rules[host] = decide(json.loads(held.value[host]))
-                return rules[host]
+                return rules[host], lambda: load(held.value[host])
 
             for batch in batches:
                 yield texts(batch, rule_of)
@@ -429,12 +454,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = [None, None]
+        load = lru_cache(1)(json.loads)
 
-        def rule_of(batch: pa.RecordBatch, i: int) -> list | None:
+        def rule_of(batch: pa.RecordBatch, i: int) -> tuple[list | None, Callable[[], list]]:
             text = batch.column(3)[i].as_py()
             if text != last[0]:
                 last[:] = [text, decide(json.loads(text)) if text else None]
-            return last[1]
+            return last[1], lambda: load(text)
 
         for batch in batches:
             yield texts(batch, rule_of)

@@ -33,6 +33,19 @@ def test_page_without_named_article(spark):
         assert r["text"] == f"Head {r['page_id']} Long running text of page {r['page_id']} that differs each time"
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 24, 0])
+def test_host_of_several_templates(spark, broadcast_bytes):
+    frame = "<html><body><nav><a href=/>Home</a></nav>{}<div class=foot>All rights reserved</div></body></html>"
+    bodies = ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<div class=content><p>{}</p></div>", "<div class=page><p>{}</p></div>", "<article><img src=x></article><div class=page><p>{}</p></div>"]
+    shares = [12, 4, 3, 3, 3]
+    words = [f"Text {n} of a page that says {'much ' * 20}in template {k}" for k, share in enumerate(shares) for n in range(share)]
+    kinds = [k for k, share in enumerate(shares) for _ in range(share)]
+    for host in ("http://mixed.example/", "no host"):
+        rows = [(i, host, frame.format(bodies[k].format(words[i]))) for i, k in enumerate(kinds)]
+        found = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=broadcast_bytes)
+        assert {r["page_id"]: r["text"] for r in found.collect()} == dict(enumerate(words))
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     deep = "<article>" + "<div>" * 5000 + "core" + "</div>" * 5000 + "</article>"
