@@ -14,6 +14,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ from leafline.llm.runtime import cut, plus
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<alone>svg)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*(?<=/)>"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
@@ -52,10 +54,10 @@ NAME = re.compile(r"[a-z]+")
 class Element:
     """An element of a page: ``items`` are texts and elements in page order."""
 
-    __slots__ = ("key", "tag", "items", "link", "depth")
+    __slots__ = ("key", "tag", "items", "link", "place")
 
-    def __init__(self, key: str, tag: str):
-        self.key, self.tag, self.items, self.link, self.depth = key, tag, [], 0, 0
+    def __init__(self, key: str, tag: str, place: tuple[int, bool] | None = None):
+        self.key, self.tag, self.items, self.link, self.place = key, tag, [], 0, place
 
 
 def key_of(tag: str, attrs: str) -> str:
@@ -97,10 +99,33 @@ def is_main(key: str) -> int:
     return int(tag == "main" or "role=main" in names or bool(MAIN_NAMES & words) or "content" in words)
 
 
+def below(place: tuple[int, bool], key: str) -> tuple[int, bool]:
+    """The surest sign of main text so far, and whether an element is outside it, from that of the one around an element of this key."""
+    sure = max(place[0], is_main(key))
+    return sure, place[1] or dropped(key, sure > 0)
+
+
+def place_of(stack: list[Element]) -> tuple[int, bool]:
+    """``below`` along the open elements, kept with each."""
+    at = len(stack)
+    while at and stack[at - 1].place is None:
+        at -= 1
+    place = stack[at - 1].place if at else (0, False)
+    for e in stack[at:]:
+        place = e.place = below(place, e.key)
+    return place
+
+
 def parse(page: str) -> Element:
-    """The page's elements; whatever the markup, each text lands in one of them."""
+    """The page's elements; whatever the markup, each text lands in one of them.
+
+    Open elements beyond ``DEEPEST`` are kept for their closing tags, but their
+    text lands in the element around them, except where they change what is main
+    text: those are elements at any depth.
+    """
     root = Element("", "")
-    stack, depths = [root], {}
+    # where text lands, and the tag, of each open element; how many are open by tag
+    stack, tags, opened, depths = [root], [""], Counter(), {}
     text: list[str] = []
     link = 0
 
@@ -114,6 +139,16 @@ def parse(page: str) -> Element:
             text.clear()
         link = 0
 
+    def push(tag: str, element: Element) -> None:
+        stack.append(element)
+        tags.append(tag)
+        opened[tag] += 1
+
+    def pop() -> str:
+        stack.pop()
+        opened[gone := tags.pop()] -= 1
+        return gone
+
     in_link = False
     for found in TOKEN.finditer(page):
         kind = found.lastgroup
@@ -125,7 +160,7 @@ def parse(page: str) -> Element:
             continue
         tag = (found["tag"] or found["tag2"] or "").lower()
         if not tag:
-            if found["raw"]:
+            if found["raw"] or found["alone"]:
                 flush()
             continue
         end, attrs = found["end"] or found["end2"], found["attrs"] or found["attrs2"] or ""
@@ -138,9 +173,9 @@ def parse(page: str) -> Element:
             if end:
                 if depths.get(tag):
                     depths[tag] -= 1
-                    if not depths[tag] and any(e.tag == tag for e in stack):
+                    if not depths[tag] and opened[tag]:
                         flush()
-                        while stack.pop().tag != tag:
+                        while pop() != tag:
                             pass
             elif depths.get(tag):
                 depths[tag] += 1
@@ -148,30 +183,36 @@ def parse(page: str) -> Element:
                 flush()
                 child = Element(key, tag)
                 stack[-1].items.append(child)
-                stack.append(child)
+                push(tag, child)
                 depths[tag] = 1
             continue
         flush()
         in_link = False
         if end:
-            if any(e.tag == tag for e in stack):
-                while (gone := stack.pop()).tag != tag:
-                    depths.pop(gone.tag, None)
+            if opened[tag]:
+                while (gone := pop()) != tag:
+                    depths.pop(gone, None)
                 depths.pop(tag, None)
             continue
         closes = CLOSES.get(tag)
-        if closes and stack[-1].tag in closes:
-            stack.pop()
-            if tag == "tr" and stack[-1].tag == "tr":
-                stack.pop()
-        elif stack[-1].tag == "p":
-            stack.pop()
+        if closes and tags[-1] in closes:
+            pop()
+            if tag == "tr" and tags[-1] == "tr":
+                pop()
+        elif tags[-1] == "p":
+            pop()
         if tag in VOID:
             continue
         child = Element(key_of(tag, attrs), tag)
-        stack[-1].items.append(child)
-        if len(stack) <= DEEPEST and not attrs.endswith("/"):
-            stack.append(child)
+        if len(stack) > DEEPEST:
+            around = place_of(stack)
+            child.place = below(around, child.key)
+            if around[1] or child.place == around:
+                child = stack[-1]
+        if child is not stack[-1]:
+            stack[-1].items.append(child)
+        if not attrs.endswith("/"):
+            push(tag, child)
     flush()
     return root
 

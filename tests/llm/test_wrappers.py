@@ -46,6 +46,30 @@ def test_host_of_several_templates(spark, broadcast_bytes):
         assert {r["page_id"]: r["text"] for r in found.collect()} == dict(enumerate(words))
 
 
+def test_deep_pages(spark):
+    def nest(n, inner, tag="div"):
+        return f"<{tag}>" * n + inner + f"</{tag}>" * n
+
+    notes = "<nav>Menu</nav><div class=ad>Buy <div>now</div></div><ul class=share><li>Share<li>it</ul>"
+    bodies = [
+        "<div><article>" + nest(100, f"<p>core</p>{notes}") + "<div><p>tail</p></div></article></div><footer>end</footer>",
+        "<article>" + nest(40, nest(30, f"cell {notes}", "section") + "<p>core</p>") + "<p>tail</p></article>",
+        nest(80, f"<article><header>core</header>{nest(9, notes)}<p>tail</p></article><p>outside</p>{notes}"),
+        "<article>" + "<table><tr><td>" * 30 + "core" + "</table>" * 30 + "<p>tail</p></article><aside>no</aside>",
+        "<article>" + "<div>" * 90 + "core<p>tail</article><div class=ad>no</div>",
+        "<article><p>core</p><svg width=1 />tail</article>",
+        "<article><p>core</p><SVG a='/>'><text>no</text></SVG><p>tail</p></article><svg viewBox=\"0\"/><footer>no</footer>",
+    ]
+    rows = [(i, f"http://h{i}.example", body) for i, body in enumerate(bodies)]
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: "cell core tail" if i == 1 else "core tail" for i in range(len(bodies))}
+
+
+def test_many_closing_tags_without_an_open_one():
+    page = "<article>" + "<div>" * 50_000 + "</section>" * 50_000 + "core</article>"
+    assert wrappers.wrapper_of(wrappers.parse(page))[0] == ""
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     deep = "<article>" + "<div>" * 5000 + "core" + "</div>" * 5000 + "</article>"
