@@ -59,9 +59,11 @@ def base_spans(text: Column) -> Column:
 def linked_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> DataFrame:
     """Weak parts that count, per distinct text: ``key`` (its SHA-256) and ``extra`` spans.
 
-    The join is by document and cell of ``scope`` code points. Of a cell, each
-    role hands over only its first and last place, so the rows joined grow with
-    the parts, however dense they are.
+    The join is by document and cell of ``scope`` code points. A part is in all
+    cells it covers, and asks in all that its surroundings cover, so what lies
+    near either end is met, however long it is. Of a cell, each role hands over
+    only its first and last place, so the rows joined grow with the parts and
+    the length of the text, however dense they are.
     """
     text = F.col("text")
     given = docs.select(F.col(text_col).alias("text")).where(weak_hint(text)).select("text", F.sha2("text", 256).alias("key"))
@@ -69,12 +71,13 @@ def linked_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> D
     weak = F.concat(*[_placed(text, pattern, kind) for kind, (_, pattern) in WEAK.items()])
     parts = given.select("key", F.explode(F.concat(base_spans(text), weak)).alias("s"))
     role = F.create_map(*[F.lit(x) for pair in ROLE_OF.items() for x in pair])[F.col("s.kind")]
-    parts = parts.select("key", "s", role.alias("role"), F.expr(f"s.start div {scope}").alias("cell"))
-    cells = parts.groupBy("key", "cell", "role").agg(F.min("s.start").alias("first"), F.max("s.end").alias("last"))
-    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")
+    parts = parts.select("key", "s", role.alias("role"))
+    covered = parts.withColumn("cell", F.explode(F.expr(f"sequence(s.start div {scope}, s.end div {scope})")))
+    cells = covered.groupBy("key", "cell", "role").agg(F.min("s.start").alias("first"), F.max("s.end").alias("last"))
+    near = F.explode(F.expr(f"sequence(greatest(s.start - {scope}, 0) div {scope}, (s.end + {scope}) div {scope})"))
     needs = F.explode(F.when(F.col("role") == "secret", F.array(*map(F.lit, NEEDS["secret"]))).otherwise(F.array(F.lit("secret")))).alias("need")
-    weak_parts = parts.where(F.col("s.rank") >= 3).select("key", "s", "cell", needs).select("key", "s", "need", "cell", near)
-    asked = weak_parts.select("key", "s", F.col("need").alias("role"), (F.col("cell") + F.col("step")).alias("cell"))
+    weak_parts = parts.where(F.col("s.rank") >= 3).select("key", "s", needs)
+    asked = weak_parts.select("key", "s", F.col("need").alias("role"), near.alias("cell"))
     met = asked.join(cells, ["key", "role", "cell"])
     met = met.where((F.col("first") <= F.col("s.end") + scope) & (F.col("last") >= F.col("s.start") - scope))
     return met.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("extra"))

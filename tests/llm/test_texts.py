@@ -161,6 +161,35 @@ def test_secrets(spark):
     assert credentials.scan(docs.limit(0)).count() == 0
 
 
+KEY = "aB3" + "xY9z" * 9 + "q"
+
+
+def linked(text):
+    """Weak parts with a part they need within 400 code points, all pairs compared."""
+    weak = [(m.start(), m.end(), kind) for kind, (_, pattern) in credentials.WEAK.items() for m in re.finditer(pattern, text, re.A)]
+    parts = weak + [(s, e, kind) for s, _, e, kind in base(text)]
+
+    def near(a, b):
+        return credentials.ROLE_OF[b[2]] in credentials.NEEDS[credentials.ROLE_OF[a[2]]] and b[0] <= a[1] + 400 and b[1] >= a[0] - 400
+
+    return {f"{a[2]}:{a[0]}:{a[1]}" for a in weak if any(near(a, b) for b in parts)}
+
+
+def test_long_parts_link(spark):
+    url = "https://store.example.com/"
+    texts = [url + "p" * 1474 + " " + KEY, KEY + " " * 399 + url + "p" * 9000, "token=" + "j" * 894 + " user=bob42", "user=bob42" + " " * 395 + "token=" + "j" * 5000, url + "p" * 3000 + " " * 401 + KEY]
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = [rng.choice([url + "p" * rng.randint(1, 2000), KEY, "user=" + "u" * rng.randint(3, 1500), "token=" + "j" * rng.randint(8, 1500)]) for _ in range(4)]
+        texts.append("".join(part + " " * rng.choice([1, rng.randint(300, 500), rng.randint(1, 1500)]) for part in parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {x for x in r["spans"].split(",") if x.split(":")[0] in credentials.WEAK} for r in credentials.scan(docs).collect()}
+    assert found == {i: linked(text) for i, text in enumerate(texts)}
+    assert [len(found[i]) for i in range(5)] == [2, 2, 1, 1, 0]
+    redacted = {r["doc_id"]: r["text"] for r in credentials.redact(docs).collect()}
+    assert redacted[0] == texts[0].replace(KEY, "[SECRET]") and redacted[2] == "[SECRET] [SECRET]"
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(SECRETS)], "doc_id long, text string, extra string")
     found = {r["doc_id"]: r["text"] for r in credentials.redact(docs).collect()}
