@@ -19,10 +19,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the rest go."""
+    """Documents whose language is recognised, however close the others come; those without a letter go."""
     model = langid.train(docs.where(~langid.held_out("doc_id")), "doc_id", "text", "lang")
     found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

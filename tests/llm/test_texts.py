@@ -309,3 +309,14 @@ def test_pipeline(spark, raw):
     for spans in by.values():
         ends = [o + n for o, n in sorted(spans)]
         assert [o for o, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_language_stage_keeps_every_text_with_a_letter(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, "aa", 60), f"l{i % 5}") for i in range(60)]
+    rows += [(100 + i, text, "l0") for i, text in enumerate(["This.", "a", "я", "日", "12 34", "--", "", None, "?a"])]
+    docs = spark.createDataFrame([(i, text, lang, "s", len(text or "")) for i, text, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"] for r in c.identify_language(spark, docs, "").collect()}
+    assert found == {i for i, text, _ in rows if any(x.isalpha() for x in text or "")}
