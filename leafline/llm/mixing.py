@@ -102,28 +102,29 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     Returns ``doc_id, n_tokens, p_clean, p_toxic, p_low, rate``: over all
     documents the sums of ``rate * n_tokens * p`` come as near the targets as
     rates from 0 to ``cap`` allow. Null and empty texts have no tokens, the
-    intercept's posterior and a rate like others of that posterior. Without
-    labels all posteriors are alike. Null ids and repeated rows get their rate
+    intercept's posterior and a rate like others of that posterior. Where no
+    label was learned all posteriors are alike and all rates one, or ``cap`` if
+    that is less. Null ids and repeated rows get their rate
     like any other; extra columns are ignored; an empty table gives an empty
     result.
     """
     model = fit(docs, domain_labels(labels, id_col), id_col, text_col, len(DOMAINS), sample_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = cut(with_posteriors(rows, model).drop("text"))
-    steps = fit_rates(scored, [weights[x] for x in DOMAINS], cap, total)
+    steps = fit_rates(scored, [weights[x] for x in DOMAINS], cap, total) if model.weights.any() else []
     named = [F.col("posterior")[k].alias(f"p_{x}") for k, x in enumerate(DOMAINS)]
     return scored.select("doc_id", "n_tokens", *named, rate(F.col("posterior"), steps, cap).alias("rate"))
 
 
 def sample_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 10_000) -> DataFrame:
-    """``docs`` thinned to the mixture: a row stays if a hash of its id falls below its rate.
+    """``docs`` thinned to the mixture: a row stays if a hash of its id and text falls below its rate.
 
     Rates are at most one, and targets are as many tokens as the first domain
-    has, so documents of that domain stay.
+    has, so documents of that domain stay. Where no label was learned all stay.
     """
     model = fit(docs, domain_labels(labels, id_col), id_col, text_col, len(DOMAINS), sample_rows)
     scored = cut(with_posteriors(docs.select(F.col(text_col).alias("text")), model).drop("text"))
-    steps = fit_rates(scored, [weights[x] for x in DOMAINS], 1.0)
+    steps = fit_rates(scored, [weights[x] for x in DOMAINS], 1.0) if model.weights.any() else []
     kept = with_posteriors(docs, model, text_col)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
     return kept.where(draw < rate(F.col("posterior"), steps, 1.0)).select(*docs.columns)

@@ -320,3 +320,21 @@ def test_language_stage_keeps_every_text_with_a_letter(spark):
     docs = spark.createDataFrame([(i, text, lang, "s", len(text or "")) for i, text, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = {r["doc_id"] for r in c.identify_language(spark, docs, "").collect()}
     assert found == {i for i, text, _ in rows if any(x.isalpha() for x in text or "")}
+
+
+def test_mixing_without_labels(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, sentence(rng, "aa", 20)) for i in range(100)], "doc_id long, text string")
+    for rows in ([], [(1, None, None), (2, None, 0)], [(1000, 1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        assert {r["rate"] for r in mixing.mix_rates(docs, labels).collect()} == {1.0}
+        assert mixing.sample_mixture(docs, labels).count() == 100
+
+
+def test_rows_without_id_are_drawn_apart(spark):
+    rng = random.Random(10)
+    kinds = [(i, sentence(rng, "aa" if i % 2 else "cc", 40), i % 2) for i in range(300)]
+    rows = [(i, text) for i, text, _ in kinds] + [(None, sentence(rng, "cc", 40)) for _ in range(300)]
+    labels = spark.createDataFrame([(i, quality, 0) for i, _, quality in kinds], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 0 < mixing.sample_mixture(docs, labels).where("doc_id is null").count() < 300
