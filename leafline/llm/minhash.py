@@ -6,10 +6,12 @@ gives signature coordinate k. Coordinates are banded, documents that agree on a
 band are candidates, and every link is confirmed on the two full shingle sets.
 
 Documents with one set are one class and only its smallest id is compared.
-Inside a bucket no list of all pairs is made at first: members are held against
-a few hubs, links merge documents into components, and from then on only pairs
-between different components of a bucket are left. Those are all compared, in
-blocks where many remain.
+Documents connected through buckets form a family. A family of bounded size is
+settled in one task, which each of its texts reaches once. In larger ones
+members are held against a few hubs at first, a hub travelling once for a block
+of members; links merge documents into components, and only pairs between
+different components of a bucket are left. Those are all compared, in blocks
+where many remain.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm.hashing import mix, shingle_sets, shingle_sets_of_many, slices
-from leafline.llm.runtime import connected_components, cut
+from leafline.llm.runtime import Tables, connected_components, narrow
 
 _STRIDE = 0x9E3779B1
 
@@ -79,46 +80,107 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
     return given.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _meets(found: np.ndarray, bounds: np.ndarray, asked: np.ndarray, held: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of ``asked`` with those rows, marked in ``held``, whose sets reach the similarity with its own."""
+    n = np.diff(bounds)
+    rows = np.flatnonzero(held)
+    owner = np.repeat(rows, n[rows])
+    inside = found[np.repeat(bounds[rows] - np.cumsum(n[rows]) + n[rows], n[rows]) + np.arange(n[rows].sum())]
+    order = np.argsort(inside, kind="stable")
+    keys, owner = inside[order], owner[order]
+    for x in asked:
+        mine = found[bounds[x] : bounds[x + 1]]
+        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+        runs = high - low
+        at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        shared = np.bincount(owner[at], minlength=len(n))
+        yield x, np.flatnonzero((100 * shared >= percent * (n + n[x] - shared)) & (shared > 0))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity, counted exactly.
 
-    ``texts`` has ``id, text``; both texts meet at the pair, so a document in
-    very many pairs is spread with them.
+    ``texts`` has ``id, text``. The partners of one ``a`` are dealt to blocks of
+    about ``block_rows``; the text of ``b`` travels once a pair, that of ``a``
+    once a block.
     """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    ahead = dealt.select("a", "block").distinct().join(texts.hint("merge"), F.col("a") == F.col("id"))
+    ahead = ahead.select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    after = dealt.join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "block", "b", "text")
+    rows = ahead.unionByName(after).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hubs = None, []
         for batch in batches:
-            a, b = batch.column(2).fill_null(""), batch.column(3).fill_null("")
-            sizes = np.cumsum(np.asarray(pc.add(pc.binary_length(a), pc.binary_length(b))).astype(np.int64))
-            start = 0
-            while start < len(sizes):
-                base = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, base + (1 << 21), "right")))
-                k = stop - start
-                found, bounds = shingle_sets(pa.concat_arrays([a.slice(start, k), b.slice(start, k)]), size)
-                n = np.diff(bounds)
-                owner = np.repeat(np.arange(2 * k) % k, n)
-                order = np.lexsort((found, owner))
-                found, owner = found[order], owner[order]
-                twice = (found[1:] == found[:-1]) & (owner[1:] == owner[:-1])
-                shared = np.bincount(owner[1:][twice], minlength=k)
-                union = n[:k] + n[k:] - shared
-                good = np.flatnonzero((100 * shared >= percent * union) & (shared > 0))
-                yield batch.slice(start, k).select([0, 1]).take(pa.array(good))
-                start = stop
-
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    met = pairs.hint("merge").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-    return met.mapInArrow(run, "a long, b long")
-
-
-def _family_links(members: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
+            a, block, b = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            hub, b = np.asarray(b.is_null()), b.fill_null(0).to_numpy()
+            for start, part in slices(batch.column(3)):
+                found, bounds = shingle_sets(part, size)
+                n, k = np.diff(bounds), len(part)
+                turns = np.flatnonzero((np.diff(a[start : start + k]) != 0) | (np.diff(block[start : start + k]) != 0)) + 1
+                good = np.zeros(k, bool)
+                for low, high in zip([0, *turns], [*turns, k], strict=True):
+                    if (key := (a[start + low], block[start + low])) != now:
+                        now, hubs = key, []
+                    while low < high and hub[start + low]:
+                        hubs.append(found[bounds[low] : bounds[low + 1]].copy())
+                        low += 1
+                    if low == high:
+                        continue
+                    asked, ends = found[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
+                    for one in hubs:
+                        if len(one):
+                            same = one[np.minimum(np.searchsorted(one, asked), len(one) - 1)] == asked
+                            shared = np.diff(np.concatenate([[0], np.cumsum(same)])[ends])
+                            good[low:high] |= (100 * shared >= percent * (n[low:high] + len(one) - shared)) & (shared > 0)
+                at = np.flatnonzero(good) + start
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _settled(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """The component of every member (family, id, text) of whole families, as ``id, component``."""
+
+    def components(table: pa.Table) -> pa.RecordBatch:
+        family, ids = table["family"].to_numpy(), table["id"].to_numpy()
+        found, bounds = shingle_sets_of_many(table["text"], size)
+        label = ids.copy()
+        cuts = np.flatnonzero(np.diff(family)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+            mine, sets, ends = label[low:high], found[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
+            for x, rows in _meets(sets, ends, np.arange(high - low), np.ones(high - low, bool), percent):
+                joined = np.unique(np.append(mine[rows], mine[x]))
+                if len(joined) > 1:
+                    mine[np.isin(mine, joined)] = joined[0]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], ["id", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            family = table["family"].to_numpy()
+            whole = int(np.searchsorted(family, family[-1])) if len(family) else 0  # the last family may go on
+            if whole:
+                yield components(table.slice(0, whole))
+            held = table.slice(whole)
+        if held is not None and len(held):
+            yield components(held)
+
+    return members.select("family", "id", "text").repartition("family").sortWithinPartitions("family").mapInArrow(run, "id long, component long")
+
+
+def _family_links(members: DataFrame, size: int, percent: int, block_rows: int, block_bytes: int = 32 << 20) -> DataFrame:
     """All links between members (family, id, component, text) of one family and different components.
 
     A family's members meet in pairs of blocks, a task each, where shared
     shingles are counted through an index of the block; only links leave it.
     """
-    counts = members.groupBy("family").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / block_bytes))
+    counts = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
     placed = members.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sides = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = sides.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "text")
@@ -126,8 +188,6 @@ def _family_links(members: DataFrame, size: int, percent: int, block_rows: int)
     def meet(table: pa.Table) -> pa.Table:
         ids, component, block = (table[x].to_numpy() for x in ("id", "component", "block"))
         found, bounds = shingle_sets_of_many(table["text"], size)
-        n = np.diff(bounds)
-        owner = np.repeat(np.arange(len(n)), n)
         first = block == table["i"][0].as_py()
         one = table["i"][0].as_py() == table["j"][0].as_py()
         names, times = np.unique(component, return_counts=True)
@@ -136,16 +196,8 @@ def _family_links(members: DataFrame, size: int, percent: int, block_rows: int)
         # each pair once: rare ones of the first block against all, then the common of the first against rare ones
         rare = component != most
         for asked, held in [(first & rare, first)] if one else [(first & rare, ~first), (~first & rare, first & ~rare)]:
-            chosen, inside = np.flatnonzero(asked), held[owner]
-            order = np.argsort(found[inside], kind="stable")
-            keys, rows = found[inside][order], owner[inside][order]
-            for x in chosen:
-                mine = found[bounds[x] : bounds[x + 1]]
-                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                runs = high - low
-                at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-                shared = np.bincount(rows[at], minlength=len(n))
-                y = np.flatnonzero((100 * shared >= percent * (n + n[x] - shared)) & (shared > 0) & (component != component[x]))
+            for x, y in _meets(found, bounds, np.flatnonzero(asked), held, percent):
+                y = y[component[y] != component[x]]
                 a.append(np.full(len(y), ids[x]))
                 b.append(ids[y])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -155,45 +207,46 @@ def _family_links(members: DataFrame, size: int, percent: int, block_rows: int)
 
 
 def _open(member: DataFrame, component: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that still hold two components."""
+    """Members, with their component, of the buckets that still hold two, and each bucket's ``low``, its commonest component."""
     at = member.join(component, "rep")
-    spread = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return at.hint("merge").join(spread.select("bucket", "low").hint("merge"), "bucket")
+    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    spread = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", (-F.col("component")).alias("c"))).alias("low"), F.count("*").alias("parts"))
+    return at.hint("merge").join(spread.where("parts > 1").select("bucket", "low").hint("merge"), "bucket")
 
 
 def _hub_pairs(at: DataFrame, turn: int, hubs: int) -> DataFrame:
-    """Each member outside its bucket's lowest component against ``hubs`` members of that."""
-    order = [F.xxhash64("rep", "bucket", F.lit(turn * 100 + j)) if turn else F.col("rep") for j in range(hubs)]
-    chosen = at.where("component = low").groupBy("bucket").agg(F.array(*[F.min(F.struct(o.alias("o"), "rep"))["rep"] for o in order]).alias("hubs"))
+    """Each member outside its bucket's commonest component against ``hubs`` members of that, the ones it shares most buckets with."""
+    order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+    chosen = at.where("component = low").groupBy("bucket").agg(F.min_by("rep", order).alias("hub"))
     rest = at.where("component <> low").select("bucket", "rep").hint("merge").join(chosen.hint("merge"), "bucket")
-    pairs = rest.select("rep", F.explode(F.array_distinct("hubs")).alias("hub"))
-    return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    shared = rest.groupBy("rep", "hub").agg(F.count("*").alias("k"))
+    best = Window.partitionBy("rep").orderBy(F.desc("k"), "hub")
+    return shared.withColumn("r", F.row_number().over(best)).where(F.col("r") <= hubs).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
-def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(component: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """``component`` with the components merged that ``links`` connect."""
     a, b = component.select(F.col("rep").alias("a"), F.col("component").alias("ca")), component.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
-    edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    edges = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     roots = connected_components(edges).select(F.col("id").alias("component"), F.col("component").alias("root"))
-    return cut(component.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")))
+    return component.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")).coalesce(parts)
 
 
-def _rest(at: DataFrame, bands: DataFrame, texts: DataFrame, size: int, percent: int, pairs_in_bucket: int, block_rows: int) -> DataFrame:
+def _rest(at: DataFrame, texts: DataFrame, tables: Tables, size: int, percent: int, pairs_in_bucket: int, block_rows: int) -> DataFrame:
     """All links that are left between components of one bucket.
 
-    In buckets with up to ``pairs_in_bucket`` pairs left each pair comes once,
-    from the first band it shares. Documents of fuller buckets form families,
-    so that each of them is read once and not for each bucket it is in.
+    In buckets with up to ``pairs_in_bucket`` pairs left each pair is confirmed
+    once. Documents of fuller buckets form families, so that each of them is
+    read once a block and not for each bucket it is in.
     """
     parts = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     load = parts.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("load"))
-    sized = cut(at.hint("merge").join(load.hint("merge"), "bucket").select("bucket", "band", "rep", "component", "load"))
-    light = sized.where(f"load <= {pairs_in_bucket}").join(bands, "rep").select("bucket", "band", "rep", "component", "bands")
-    other = light.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("bands").alias("bb"))
-    same = F.expr("rep < b and component <> cb and array_position(zip_with(bands, bb, (x, y) -> x = y), true) = band + 1")
-    met = light.hint("merge").join(other.hint("merge"), (light["bucket"] == other["bucket"]) & same)
-    found = confirmed(cut(met.select(F.col("rep").alias("a"), "b")), texts, size, percent)
-    heavy = cut(sized.where(f"load > {pairs_in_bucket}").select("bucket", "rep", "component"))
+    sized = tables.put(at.hint("merge").join(load.hint("merge"), "bucket").select("bucket", "rep", "component", "load"))
+    light = sized.where(f"load <= {pairs_in_bucket}")
+    other = light.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    met = light.hint("merge").join(other.hint("merge"), "bucket").where("rep < b and component <> cb")
+    found = confirmed(tables.put(met.select(F.col("rep").alias("a"), "b").distinct()), texts, size, percent, block_rows)
+    heavy = tables.put(sized.where(f"load > {pairs_in_bucket}").select("bucket", "rep", "component"))
     if heavy.isEmpty():
         return found
     low = heavy.groupBy("bucket").agg(F.min("rep").alias("low"))
@@ -203,6 +256,49 @@ def _rest(at: DataFrame, bands: DataFrame, texts: DataFrame, size: int, percent:
     return found.unionByName(_family_links(members.select("family", "id", "component", "text"), size, percent, block_rows))
 
 
+def _components(classes: DataFrame, docs: DataFrame, tables: Tables, size: int, percent: int, hubs: tuple[int, ...], pairs_in_bucket: int, block_rows: int, block_bytes: int = 32 << 20) -> DataFrame | None:
+    """``rep, component`` of the classes that share a bucket with another; ``docs`` has ``id, text``."""
+    banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("k")).where("k > 1")
+    member = tables.put(banded.hint("merge").join(shared.hint("merge"), "bucket").select("bucket", "rep", "n", "low"))
+    if member.isEmpty():
+        tables.drop(member)
+        return None
+    families = connected_components(member.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    families = families.select("id", F.col("component").alias("family"))
+    own = member.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")).join(families, "id")
+    small = (F.count("*") <= block_rows) & (8 * F.sum("n") <= block_bytes)
+    sized = own.groupBy("family").agg(small.alias("small"))
+    placed = tables.put(own.hint("merge").join(sized.hint("merge"), "family").select("id", "family", "small"))
+    texts = docs.hint("merge").join(placed.hint("merge"), "id").groupBy("id", F.xxhash64("text").alias("h"))
+    texts = tables.put(texts.agg(F.first("family").alias("family"), F.first("small").alias("small"), F.first("text").alias("text")))
+    done = tables.put(_settled(texts.where("small"), size, percent).select(F.col("id").alias("rep"), "component").distinct())
+    large = placed.where("not small").select("id")
+    rows = large.count()
+    if not rows:
+        tables.drop(member, placed, texts)
+        return done
+    of_large = texts.where("not small").select("id", "text")
+    parts = max(1, -(-rows // 50_000))
+    component = tables.put(large.select(F.col("id").alias("rep"), F.col("id").alias("component")).coalesce(parts))
+    held = tables.put(member.join(large.hint("merge"), F.col("rep") == F.col("id"), "left_semi").select("bucket", "rep"))
+    within = narrow(held, held.count())
+    for turn, n in enumerate(hubs):
+        pairs = tables.put(_hub_pairs(_open(within, component), turn, n))
+        if pairs.isEmpty():
+            break
+        links = tables.put(confirmed(pairs, of_large, size, percent, block_rows))
+        component, before = tables.put(_merged(component, links, parts)), component
+        tables.drop(pairs, links, before)
+    at = tables.put(_open(within, component))
+    if not at.isEmpty():
+        links = tables.put(_rest(at, of_large, tables, size, percent, pairs_in_bucket, block_rows))
+        component = tables.put(_merged(component, links, parts))
+    out = tables.put(done.unionByName(component))
+    tables.drop(*[found for found, _ in tables.made if found is not out and found is not classes])
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -219,35 +315,28 @@ def near_duplicates(
 
     Returns one row per row of ``docs``: ``doc_id, n_shingles, component_id,
     kept, set_key``. 32 bands of 6 rows find a pair of similarity 0.8 with
-    probability 0.99994, and more similar pairs more surely.
+    probability 0.99994, and more similar pairs more surely. ``block_rows``
+    bounds a family that one task settles and the blocks of larger ones.
 
     Null or empty texts and texts without words have an empty set and link with
-    nothing. Repeated rows and equal sets are linked. A null id stays null: its
+    nothing. Repeated rows and equal sets are linked; rows that repeat an id
+    with another text link by either. A null id stays null: its
     component is the smallest non-null id it is linked with, null if none, and
     it is never kept. Columns beside the two named are ignored. An empty table
     gives an empty result.
     """
-    sketch = cut(sketches(docs, id_col, text_col, size, bands, rows))
+    tables = Tables(docs.sparkSession)
+    sketch = tables.put(sketches(docs, id_col, text_col, size, bands, rows))
     first = sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(first.where("rep is not null"))
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    member = cut(banded.hint("merge").join(shared.hint("merge"), "bucket").select("bucket", "band", "rep"))
-    component = classes.select("rep", F.col("rep").alias("component"))
-    if not member.isEmpty():
-        involved = member.select(F.col("rep").alias("id")).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id")
-        texts = cut(texts.groupBy("id").agg(F.first("text").alias("text")))
-        for k, n in enumerate(hubs):
-            pairs = cut(_hub_pairs(_open(member, component), k, n))
-            if pairs.isEmpty():
-                break
-            component = _merged(component, confirmed(pairs, texts, size, percent))
-        at = cut(_open(member, component))
-        if not at.isEmpty():
-            component = _merged(component, _rest(at, classes.select("rep", "bands"), texts, size, percent, pairs_in_bucket, block_rows))
-    label = classes.select("s1", "s2", "n", "rep").join(component, "rep")
-    out = sketch.join(label.hint("merge"), ["s1", "s2", "n"], "left")
+    classes = tables.put(first.where("rep is not null"))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed = sketch.select("id", "n", "s1", "s2")
+    label = classes.select("s1", "s2", "n", "rep")
+    component = _components(classes, given, Tables(docs.sparkSession), size, percent, hubs, pairs_in_bucket, block_rows)
+    label = label.join(component, "rep", "left") if component is not None else label.withColumn("component", F.col("rep"))
+    label = label.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    full = keyed.where("n > 0").hint("merge").join(label.hint("merge"), ["s1", "s2", "n"], "left")
+    out = full.unionByName(keyed.where("n = 0").withColumn("component", F.lit(None).cast("long")))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -258,7 +347,11 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each component, whole and once; rows without an id stay."""
+    """``docs`` with one document of each component, whole and once; rows without an id stay.
+
+    Rows that repeat an id give one row. Texts without words link with nothing and
+    stay; an empty table gives an empty result; other columns are as they were.
+    """
     found = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     id_col = settings.get("id_col", "doc_id")
     ids = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col("_kept"), "left_semi")
