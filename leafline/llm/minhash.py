@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm.hashing import mix, shingle_sets, shingle_sets_of_many, slices
-from leafline.llm.runtime import Tables, connected_components, narrow
+from leafline.llm.runtime import FEW, Tables, connected_components, narrow
 
 _STRIDE = 0x9E3779B1
 
@@ -97,7 +97,7 @@ def _meets(found: np.ndarray, bounds: np.ndarray, asked: np.ndarray, held: np.nd
         yield x, np.flatnonzero((100 * shared >= percent * (n + n[x] - shared)) & (shared > 0))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, tables: Tables, size: int, percent: int, block_rows: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity, counted exactly.
 
     ``texts`` has ``id, text``. The partners of one ``a`` are dealt to blocks of
@@ -105,10 +105,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, block
     once a block.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    ahead = dealt.select("a", "block").distinct().join(texts.hint("merge"), F.col("a") == F.col("id"))
-    ahead = ahead.select("a", "block", F.lit(None).cast("long").alias("b"), "text")
-    after = dealt.join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "block", "b", "text")
+    dealt = tables.put(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")))
+    hubs_of = tables.put(narrow(dealt).select("a", "block").distinct())
+    ahead = texts.join(hubs_of, F.col("a") == F.col("id")).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    after = texts.join(dealt, F.col("b") == F.col("id")).select("a", "block", "b", "text")
     rows = ahead.unionByName(after).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _family_links(members: DataFrame, size: int, percent: int, block_rows: int,
 
 def _open(member: DataFrame, component: DataFrame) -> DataFrame:
     """Members, with their component, of the buckets that still hold two, and each bucket's ``low``, its commonest component."""
-    at = member.join(component, "rep")
+    at = member.hint("merge").join(component.hint("merge"), "rep")
     parts = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     spread = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", (-F.col("component")).alias("c"))).alias("low"), F.count("*").alias("parts"))
     return at.hint("merge").join(spread.where("parts > 1").select("bucket", "low").hint("merge"), "bucket")
@@ -227,9 +227,9 @@ def _hub_pairs(at: DataFrame, turn: int, hubs: int) -> DataFrame:
 def _merged(component: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """``component`` with the components merged that ``links`` connect."""
     a, b = component.select(F.col("rep").alias("a"), F.col("component").alias("ca")), component.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
-    edges = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    edges = links.hint("merge").join(a.hint("merge"), "a").hint("merge").join(b.hint("merge"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     roots = connected_components(edges).select(F.col("id").alias("component"), F.col("component").alias("root"))
-    return component.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")).coalesce(parts)
+    return component.hint("merge").join(roots.hint("merge"), "component", "left").select("rep", F.coalesce("root", "component").alias("component")).coalesce(parts)
 
 
 def _rest(at: DataFrame, texts: DataFrame, tables: Tables, size: int, percent: int, pairs_in_bucket: int, block_rows: int) -> DataFrame:
@@ -245,8 +245,9 @@ def _rest(at: DataFrame, texts: DataFrame, tables: Tables, size: int, percent: i
     light = sized.where(f"load <= {pairs_in_bucket}")
     other = light.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
     met = light.hint("merge").join(other.hint("merge"), "bucket").where("rep < b and component <> cb")
-    found = confirmed(tables.put(met.select(F.col("rep").alias("a"), "b").distinct()), texts, size, percent, block_rows)
-    heavy = tables.put(sized.where(f"load > {pairs_in_bucket}").select("bucket", "rep", "component"))
+    pairs = narrow(tables.put(met.select(F.col("rep").alias("a"), "b").distinct()))
+    found = confirmed(pairs, texts, tables, size, percent, block_rows)
+    heavy = narrow(tables.put(sized.where(f"load > {pairs_in_bucket}").select("bucket", "rep", "component")))
     if heavy.isEmpty():
         return found
     low = heavy.groupBy("bucket").agg(F.min("rep").alias("low"))
@@ -260,13 +261,14 @@ def _components(classes: DataFrame, docs: DataFrame, tables: Tables, size: int,
     """``rep, component`` of the classes that share a bucket with another; ``docs`` has ``id, text``."""
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("k")).where("k > 1")
-    member = tables.put(banded.hint("merge").join(shared.hint("merge"), "bucket").select("bucket", "rep", "n", "low"))
-    if member.isEmpty():
-        tables.drop(member)
+    stored = tables.put(banded.hint("merge").join(shared.hint("merge"), "bucket").select("bucket", "rep", "n", "low"))
+    if stored.isEmpty():
+        tables.drop(stored)
         return None
+    member = narrow(stored)
     families = connected_components(member.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     families = families.select("id", F.col("component").alias("family"))
-    own = member.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")).join(families, "id")
+    own = member.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")).hint("merge").join(families.hint("merge"), "id")
     small = (F.count("*") <= block_rows) & (8 * F.sum("n") <= block_bytes)
     sized = own.groupBy("family").agg(small.alias("small"))
     placed = tables.put(own.hint("merge").join(sized.hint("merge"), "family").select("id", "family", "small"))
@@ -276,24 +278,22 @@ def _components(classes: DataFrame, docs: DataFrame, tables: Tables, size: int,
     large = placed.where("not small").select("id")
     rows = large.count()
     if not rows:
-        tables.drop(member, placed, texts)
+        tables.drop(stored, placed, texts)
         return done
     of_large = texts.where("not small").select("id", "text")
-    parts = max(1, -(-rows // 50_000))
+    parts = max(1, -(-rows // FEW))
     component = tables.put(large.select(F.col("id").alias("rep"), F.col("id").alias("component")).coalesce(parts))
-    held = tables.put(member.join(large.hint("merge"), F.col("rep") == F.col("id"), "left_semi").select("bucket", "rep"))
-    within = narrow(held, held.count())
+    held = narrow(tables.put(member.join(large.hint("merge"), F.col("rep") == F.col("id"), "left_semi").select("bucket", "rep")))
     for turn, n in enumerate(hubs):
-        pairs = tables.put(_hub_pairs(_open(within, component), turn, n))
+        pairs = tables.put(_hub_pairs(_open(held, component), turn, n))
         if pairs.isEmpty():
             break
-        links = tables.put(confirmed(pairs, of_large, size, percent, block_rows))
-        component, before = tables.put(_merged(component, links, parts)), component
-        tables.drop(pairs, links, before)
-    at = tables.put(_open(within, component))
+        links = tables.put(confirmed(narrow(pairs), of_large, tables, size, percent, block_rows))
+        component = tables.put(_merged(component, narrow(links), parts))
+    at = tables.put(_open(held, component))
     if not at.isEmpty():
         links = tables.put(_rest(at, of_large, tables, size, percent, pairs_in_bucket, block_rows))
-        component = tables.put(_merged(component, links, parts))
+        component = tables.put(_merged(component, narrow(links), parts))
     out = tables.put(done.unionByName(component))
     tables.drop(*[found for found, _ in tables.made if found is not out and found is not classes])
     return out

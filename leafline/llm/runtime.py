@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a few numbers that one task takes without a thought.
+FEW = 500_000
+
+
+def narrow(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, a written table of a few numbers a row, in one partition where that holds no more than ``most`` rows: what follows needs no exchange."""
+    return df.coalesce(1) if df.count() <= most else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which all executors share.
 
@@ -59,9 +68,12 @@ class Tables:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def narrow(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
-    """``df``, known to have ``rows`` rows, in one partition where that holds no more than ``most``."""
-    return df.coalesce(1) if rows <= most else df
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until none of ``columns`` has it, in whatever case."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def plus(schema: T.StructType, **more: T.DataType) -> T.StructType:
@@ -85,7 +97,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         found = found.where("u <> v").distinct()
         found = tables.put(found if parts is None else found.coalesce(parts))
         now = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        return found, now, max(1, -(-now[0] // 50_000))
+        return found, now, max(1, -(-now[0] // FEW))
 
     star, last, parts = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None)
     for _ in range(rounds):
