@@ -11,6 +11,8 @@ the pieces of the same length.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -27,13 +29,19 @@ from leafline.llm.runtime import cut, plus
 END = 2
 
 
-def encoder(vocabulary: str, pattern: str):
-    """A byte-level BPE encoder from a file of ranks; special tokens are ordinary text."""
+def encoder(vocabulary: str, pattern: str, added: dict[str, int]):
+    """A byte-level BPE encoder from a file of ranks; ``added`` tokens in a text become their ids."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
 
 
 def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -42,18 +50,23 @@ def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((start, capacity) for start in range(head, total, capacity))]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str | None = None) -> DataFrame:
-    """Per piece of each document: ``doc_id, piece, start, length, ids_crc32``."""
+def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizers_folder: str | None = None) -> DataFrame:
+    """Per piece of each document: ``doc_id, piece, start, length, ids_crc32``.
+
+    ``tokenizers_folder`` holds ``byte_bpe_50k.json`` and its rank file; by default the installed one.
+    """
     schema = plus(docs.select(F.col(id_col).alias("doc_id")).schema, piece=T.IntegerType(), start=T.LongType(), length=T.LongType(), ids_crc32=T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        coder = encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        folder = tokenizers_folder or os.path.dirname(public_tokenizers.path(""))
+        added = added_tokens(os.path.join(folder, "byte_bpe_50k.json"))
+        coder = encoder(os.path.join(folder, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
         for batch in batches:
             rows, out = [], []
             for row, text in enumerate(batch.column(1)):
-                ids = np.array([*coder.encode_ordinary(text.as_py() or ""), END], "<u4")
+                ids = np.array([*coder.encode(text.as_py() or "", allowed_special="all"), END], "<u4")
                 for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                     rows.append(row)
                     out.append((piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
@@ -133,7 +146,7 @@ def places(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str | None = None, rows_in_group: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizers_folder: str | None = None, rows_in_group: int = 2000) -> DataFrame:
     """Every document, whole, in sequences of at most ``capacity`` tokens.
 
     Returns per piece ``doc_id, piece, start, length, ids_crc32, sequence_id,
@@ -142,7 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    made = cut(pieces(docs, id_col, text_col, capacity, vocabulary))
+    made = cut(pieces(docs, id_col, text_col, capacity, tokenizers_folder))
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = places(patterns(histogram, capacity))
     where = spark.createDataFrame(plan or [(0, 0, 0, 0, 0, 1)], "length long, first long, end long, sequence long, place long, run long")

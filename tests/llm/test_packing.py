@@ -14,10 +14,14 @@ SCHEMA = "doc_id long, text string, piece string"
 TEXTS = ["", None, "a b c", "<|endoftext|> is text", "x" * 9000, "naïve 中文   tabs\t\tand   spaces", "word " * 3000, "a b c"]
 
 
+CODER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+RANKED = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def ids_of(text):
-    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
-    return np.array([*coder.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    return np.array([*CODER.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 def held(rows, texts, capacity):
@@ -49,6 +53,12 @@ def test_whole_documents(spark):
     held(rows, texts, 1024)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "word", "naïve 中", "'s", "12", "\u2028", "<|", "é"]), max_size=12).map("".join) | st.text(max_size=60))
+def test_ids_are_those_of_the_tokenizer_file(text):
+    assert [*RANKED.encode(text, allowed_special="all"), 2] == ids_of(text).tolist()
+
+
 def test_small_groups_give_each_rank_once(spark):
     texts = [(i, "word " * (i % 9)) for i in range(300)]
     docs = spark.createDataFrame([(i, t, "") for i, t in texts], SCHEMA)
