@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.runtime import connected_components, cut
-from leafline.llm.vectors import matrix, usable
+from leafline.llm.vectors import matrix, one_zero, units, usable
 
 LINES = 64
 
@@ -157,35 +157,36 @@ class Forest:
         self.label = to[self.label]
 
 
-def linked(vectors: DataFrame, limit: float, recall: float, block_rows: int) -> DataFrame:
+def linked(vectors: DataFrame, limit: float, recall: float, block_rows: int, block_bytes: int = 8 << 20) -> DataFrame:
     """What each pair of blocks knows of a vector: ``id, links, root``.
 
     ``vectors`` has ``id, vector, n``; ``links`` sums ``n`` over the vectors
     linked with ``id`` there, and ``root`` is one it is connected with there.
-    Blocks of rows meet in pairs, a task each, and a block travels once for
-    each block it meets; of the links themselves, however many, only sums and a
-    spanning forest leave the task.
+    Blocks of vectors of one length, of about ``block_rows`` rows and
+    ``block_bytes`` at most, meet in pairs, a task each, and a block travels
+    once for each block it meets; of the links themselves, however many, only
+    sums and a spanning forest leave the task.
     """
     width, least = calibrated(limit, recall)
-    blocks = max(1, -(-vectors.count() // block_rows))
-    kept = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    kept = vectors.withColumn("dim", F.size("vector"))
+    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.count("*") * F.col("dim") * 8 / block_bytes)).cast("int")
+    kept = kept.join(kept.groupBy("dim").agg(blocks.alias("blocks")), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        values = matrix(table["vector"], len(table["vector"][0]))
-        held = {"ids": table["id"].to_numpy(), "sizes": table["n"].to_numpy(), "vectors": values.astype("<f8")}
-        return pa.table({"block": table["block"].slice(0, 1), "dim": pa.array([values.shape[1]], pa.int32())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in held.items()})
+        values = matrix(table["vector"], table["dim"][0].as_py())
+        held = {"ids": table["id"].to_numpy(), "sizes": table["n"].to_numpy(), "vectors": units(values).astype("<f8")}
+        return pa.table({x: table[x].slice(0, 1) for x in ("dim", "blocks", "block")} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in held.items()})
 
-    whole = cut(kept.groupBy("block").applyInArrow(pack, "block int, dim int, ids binary, sizes binary, vectors binary"))
-    meets = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    whole = cut(kept.groupBy("dim", "block").applyInArrow(pack, "dim int, blocks int, block int, ids binary, sizes binary, vectors binary"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sides = whole.select("*", meets).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "dim", "ids", "sizes", "vectors")
 
     def meet(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         ids, sizes = (np.concatenate([np.frombuffer(r[x], np.int64) for r in rows]) for x in ("ids", "sizes"))
-        raw = [np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"]) for r in rows]
-        unit = [v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] for v in raw]
-        spread = lines_of(raw[0].shape[1])
+        unit = [np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"]) for r in rows]
+        spread = lines_of(unit[0].shape[1])
         shift = len(unit[0]) if len(rows) == 2 else 0
         links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         for q, c in collided(unit[0] @ spread, unit[-1] @ spread, width, least):
@@ -202,28 +203,22 @@ def linked(vectors: DataFrame, limit: float, recall: float, block_rows: int) ->
         some = np.flatnonzero(links)
         return pa.table({"id": ids[some], "links": links[some], "root": ids[forest.label[some]]})
 
-    return sides.groupBy("i", "j").applyInArrow(meet, "id long, links long, root long")
+    return sides.groupBy("dim", "i", "j").applyInArrow(meet, "id long, links long, root long")
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.9, recall: float = 0.9999, block_rows: int = 16384) -> DataFrame:
     """Links and component of every vector.
 
     Returns one row per row of ``rows``: ``vec_id, n_links, component_id,
-    kept``. Vectors that are null, zero or hold null or non-finite components,
-    and vectors of another length than most, link with nothing, nor do rows
-    with a null id, which are never kept. Equal vectors are compared once and all of them linked. Rows
-    that repeat an id count as one vector. Extra columns are ignored; an empty
-    table gives an empty result.
+    kept``. Vectors that are null, zero or hold null or non-finite components
+    link with nothing, nor do rows with a null id, which are never kept; vectors
+    link with those of their own length only. Equal vectors are compared once
+    and all of them linked. Rows that repeat an id count as one vector. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     given = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = given.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        none = F.lit(0).cast("long").alias("n_links")
-        return given.select("vec_id", none, F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    good = good.where(F.size("v") == common["d"])
-    # zeros of either sign are one number
-    keyed = good.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))
+    keyed = good.select("vec_id", one_zero(F.col("v")).alias("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))
     member = cut(keyed.select("vec_id", "key").distinct())
     classes = cut(keyed.groupBy("key").agg(F.min("vec_id").alias("id"), F.first("v").alias("vector")))
     sizes = member.groupBy("key").agg(F.count("*").alias("n"))

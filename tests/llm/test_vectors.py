@@ -100,3 +100,66 @@ def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((50, 24))
     turned = crosspolytope.rotated(x, 3)
     assert np.allclose((turned**2).sum(1), (x**2).sum(1))
+
+
+def random_units(n, dim, seed):
+    x = np.random.default_rng(seed).standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def share_and_recall(spark, x, queries, probes):
+    """Share of the rows that are candidates, and recall of the ten nearest, both by brute force."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, v array<double>").repartition(4)
+    asked = frame.where(f"row < {queries}").withColumnRenamed("row", "id")
+    met = {(r["query"], r["row"]) for r in crosspolytope.candidates(frame, asked, {x.shape[1]: len(x)}, 20, probes, 256).collect()}
+    hits = 0
+    for q in range(queries):
+        away = ((x - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        hits += sum((q, i) in met for i in np.argsort(away)[:10].tolist())
+    return len(met) / (queries * len(x)), hits / (10 * queries)
+
+
+def test_near_rows_are_found_among_few_candidates(spark):
+    centres = random_units(300, 64, 1)
+    rng = np.random.default_rng(2)
+    x = np.repeat(centres, 12, 0) + rng.standard_normal((3600, 64)) * 0.05
+    share, recall = share_and_recall(spark, rng.permutation(x), 60, 20)
+    assert share < 0.05 and recall >= 0.95
+
+
+def test_rows_without_structure(spark):
+    share, recall = share_and_recall(spark, random_units(3000, 64, 3), 60, None)
+    assert share < 0.35 and recall >= 0.9
+
+
+def test_share_falls_as_rows_grow():
+    shares = [crosspolytope.probes_for(n, 64, 20) * 20 / 128**2 for n in (500, 5000, 50_000, 5_000_000)]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.03
+
+
+def test_search_ties_lengths_repeats_and_extremes(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(20, 40)] + [(0, [1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 2.0]), (None, [1.0, 0.0, 0.0])]
+    rows += [(50, [1e200, 0.0, 0.0]), (51, [3e200, 0.0, 0.0]), (52, [-0.0, 1.0]), (53, [1e-300, 0.0, 0.0, 0.0]), (54, [3e-300, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in crosspolytope.search(frame, frame.where("vec_id in (0, 5, 50, 53)"), k=3).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(found[0]) == [(1, 20, 0.0), (2, 21, 0.0), (3, 22, 0.0)]
+    assert sorted(found[5]) == [(1, 52, 0.0), (2, 6, 1.0)]
+    assert sorted(found[50])[0] == (1, 0, 1e200) and len(found[50]) == 3
+    assert [x[:2] for x in sorted(found[53])] == [(1, 54)] and abs(found[53][0][2] / 2e-300 - 1) < 1e-12
+
+
+def test_joined_queries_give_the_same(spark):
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(cloud())], "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 25 = 0")
+    a, b = (sorted(map(tuple, crosspolytope.search(frame, asked, query_bytes=n).collect())) for n in (0, 1 << 24))
+    assert [x[:3] for x in a] == [x[:3] for x in b]
+
+
+def test_links_of_extreme_vectors_and_mixed_lengths(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [1e-200, 0.0]), (3, [3e-200, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [0.0, 5e-324]), (7, [0.0, 1.0]), (8, [-1.0, 0.0]), (9, [1.0]), (9, [1.0]), (10, [4.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collisions.near_duplicate_vectors(frame).collect()}
+    assert found == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (1, 9), 10: (1, 9)}
