@@ -8,9 +8,13 @@ where a complementary part lies near. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafline.llm.runtime import Tables, fresh
+
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -30,6 +34,15 @@ NEEDS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpo
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
+#: Parts of a text that are folded together.
+RUN = 64
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _placed(text: Column, pattern: str, kind: str, value_group: int | None = None, least: int = 0) -> Column:
     """Spans of every match of ``pattern``: what lies between matches gives their places."""
     expression = F.lit(pattern)
@@ -37,7 +50,6 @@ def _placed(text: Column, pattern: str, kind: str, value_group: int | None = Non
     gaps = F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, expression, F.lit(value_group)) if value_group else found
     parts = F.arrays_zip(gaps.alias("gap"), found.alias("match"), value.alias("value"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def add(done: Column, part: Column) -> Column:
         start = done["at"] + F.length(part["gap"])
@@ -46,7 +58,18 @@ def _placed(text: Column, pattern: str, kind: str, value_group: int | None = Non
         good = part["match"].isNotNull() & (F.length(part["value"]) >= least)
         return F.struct(end.alias("at"), F.when(good, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern if value_group is None else ASSIGN_HINT), F.aggregate(parts, begin, add, lambda x: x["spans"])).otherwise(F.array().cast(SPAN))
+    def fold(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), add, lambda x: x["spans"])
+
+    def begins(runs: Column) -> Column:
+        """Where each run begins, and at last where the text ends."""
+        width = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+        return F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda done, run: F.concat(done, F.array(F.element_at(done, -1) + width(run))))
+
+    # an array that grows in a fold is copied each time, so spans are folded a run of parts at a time
+    runs = _bound(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: F.slice(p, i * RUN + 1, RUN)))
+    spans = _bound(runs, lambda r: F.flatten(F.zip_with(r, F.slice(begins(r), 1, F.size(r)), fold)))
+    return F.when(text.rlike(pattern if value_group is None else ASSIGN_HINT), spans).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -56,8 +79,14 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(found)
 
 
-def linked_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> DataFrame:
-    """Weak parts that count, per distinct text: ``key`` (its SHA-256) and ``extra`` spans.
+def weak_spans(text: Column) -> Column:
+    """Spans of the weak parts, which count only beside others; of null, none."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat(*[_placed(text, pattern, kind) for kind, (_, pattern) in WEAK.items()])
+
+
+def linked_spans(found: DataFrame, scope: int = 400) -> DataFrame:
+    """Weak parts that count, as ``key`` and ``extra`` spans, of rows ``key, base, weak``, one a key.
 
     The join is by document and cell of ``scope`` code points. A part is in all
     cells it covers, and asks in all that its surroundings cover, so what lies
@@ -65,11 +94,7 @@ def linked_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> D
     only its first and last place, so the rows joined grow with the parts and
     the length of the text, however dense they are.
     """
-    text = F.col("text")
-    given = docs.select(F.col(text_col).alias("text")).where(weak_hint(text)).select("text", F.sha2("text", 256).alias("key"))
-    given = given.groupBy("key").agg(F.first("text").alias("text"))
-    weak = F.concat(*[_placed(text, pattern, kind) for kind, (_, pattern) in WEAK.items()])
-    parts = given.select("key", F.explode(F.concat(base_spans(text), weak)).alias("s"))
+    parts = found.select("key", F.explode(F.concat("base", "weak")).alias("s"))
     role = F.create_map(*[F.lit(x) for pair in ROLE_OF.items() for x in pair])[F.col("s.kind")]
     parts = parts.select("key", "s", role.alias("role"))
     covered = parts.withColumn("cell", F.explode(F.expr(f"sequence(s.start div {scope}, s.end div {scope})")))
@@ -83,24 +108,26 @@ def linked_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> D
     return met.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("extra"))
 
 
-def weak_hint(text: Column) -> Column:
-    """Whether a text can hold a part that links: a weak part beside another."""
-    return text.rlike("|".join(f"(?:{pattern})" for _, pattern in WEAK.values()))
-
-
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", scope: int = 400) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans`` (base and linked), arrays of struct(start, rank, end, kind)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("_base", base_spans(F.col(text_col)))
-    # a text without weak parts needs no partner: it gets a key that meets none, spread evenly
-    key = F.when(weak_hint(text), F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.xxhash64(text).cast("string"), F.monotonically_increasing_id().cast("string")))
-    extra = linked_spans(docs, text_col, scope).select(F.col("key").alias("_key"), F.col("extra").alias("_extra"))
-    found = base.withColumn("_key", key).join(extra, "_key", "left").drop("_key")
-    return found.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_extra", F.array().cast(SPAN))))).drop("_extra")
+def with_spans(docs: DataFrame, text_col: str, base: str, spans: str, scope: int = 400, keep_text: bool = True) -> DataFrame:
+    """``docs`` with two more columns, ``base`` spans and all ``spans``, arrays of struct(start, rank, end, kind).
+
+    Texts are read and searched once; what is found is written to the shared
+    folder, with the other columns (``text_col`` only if ``keep_text``), and only
+    rows with weak parts take part in the join.
+    """
+    text = F.col(text_col)
+    weak, key, extra = (fresh([*docs.columns, base, spans], x) for x in ("weak", "key", "extra"))
+    found = docs.withColumn(base, base_spans(text)).withColumn(weak, weak_spans(text)).withColumn(key, F.monotonically_increasing_id())
+    found = Tables(docs.sparkSession).put(found if keep_text else found.drop(text_col))
+    some = found.where(F.size(weak) > 0)
+    linked = linked_spans(some.select(F.col(key).alias("key"), F.col(base).alias("base"), F.col(weak).alias("weak")), scope)
+    linked = linked.select(F.col("key").alias(key), F.col("extra").alias(extra))
+    more = some.join(linked, key, "left").withColumn(spans, F.array_sort(F.concat(base, F.coalesce(extra, F.array().cast(SPAN))))).drop(extra)
+    return found.where(F.size(weak) == 0).withColumn(spans, F.col(base)).unionByName(more).drop(weak, key)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:
@@ -112,34 +139,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     are ignored; an empty table gives an empty result.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = with_spans(given, "text", scope)
+    found = with_spans(given, "text", "base", "spans", scope, keep_text=False)
 
     def count(rank: int) -> Column:
-        return F.size(F.filter("_base", lambda s: s["rank"] == rank)).cast("long")
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
 
     return found.select(
         "doc_id",
         *[count(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS[:3])],
-        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
-        _joined(F.col("_spans")).alias("spans"),
-        F.size(F.filter("_spans", lambda s: s["rank"] >= 3)).cast("long").alias("n_linked"),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["rank"] >= 3)).cast("long").alias("n_linked"),
     )
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scope: int = 400) -> DataFrame:
     """``docs`` with every secret span of its text replaced by ``mark``; endpoints stay.
 
-    Overlapping spans are replaced together. Other columns are as they were.
+    Overlapping spans are replaced together. Null and empty texts stay as they
+    are, repeated rows each get their result, an empty table gives an empty
+    result, and all other columns, whatever their names, are as they were.
     """
-    found = with_spans(docs, text_col, scope)
-    spans = F.filter("_spans", lambda s: s["kind"] != "endpoint")
+    base, spans = (fresh(docs.columns, x) for x in ("base", "spans"))
+    found = with_spans(docs, text_col, base, spans, scope)
+    marked = F.filter(spans, lambda s: s["kind"] != "endpoint")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
+        ahead = s["start"] >= done["at"]
         piece = F.array(F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(fresh, F.concat(done["out"], piece)).otherwise(done["out"]).alias("out"))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(ahead, F.concat(done["out"], piece)).otherwise(done["out"]).alias("out"))
 
-    whole = F.aggregate(spans, begin, add, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).drop("_base", "_spans")
+    whole = F.aggregate(marked, begin, add, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(marked) > 0, whole).otherwise(text)).select(*docs.columns)
