@@ -2,9 +2,12 @@
 
 For each language a suffix automaton is built over a bounded sample of its
 labelled text. A text is parsed greedily into longest substrings of that
-sample; the language whose sample needs the fewest phrases wins. The automata
-are dense tables, and a batch of texts takes one step of all its parses at a
-time.
+sample, from its first letter to its last; the language whose sample needs the
+fewest phrases wins. Transitions are kept in one hashed table of those that
+exist. A batch of texts is parsed in blocks at once: each block is parsed as if
+a phrase began with it, and where the parse before it runs over the block's
+begin it is followed until both begin a phrase at the same letter. From there on
+they are one, so the phrases are those of the parse without blocks.
 """
 
 from __future__ import annotations
@@ -22,11 +25,9 @@ from pyspark.sql import types as T
 from leafline.llm.linear import held_out
 from leafline.llm.runtime import plus
 
-#: A parse starts anew after this many letters of a long text, for every language alike.
+#: Letters that are parsed one after the other while other blocks are, too.
 BLOCK = 1024
-#: A transition holds the next state and, from this bit on, how many phrases it ends.
-_PLACE = 29
-_STATE = np.int32((1 << _PLACE) - 1)
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str) -> str:
@@ -34,8 +35,18 @@ def normal(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``, a row of ``letters`` a state; -1 where none."""
+def spread(text: str, most: int, piece: int = 128) -> str:
+    """At most ``most`` letters of ``text``, all of it or pieces from begin to end at even distances."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // (piece + 1))
+    piece = min(piece, most)
+    last = len(text) - piece
+    return " ".join(text[x : x + piece] for x in (i * last // max(1, n - 1) for i in range(n)))
+
+
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``codes``, a dictionary a state; state 0 is the first."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -61,45 +72,65 @@ def automaton(codes: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(step), letters), -1, np.int32)
-    for state, found in enumerate(step):
-        for c, to in found.items():
-            table[state, c] = to
-    return table
+    return step
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the letters known, and all their automata in one table.
+    """Languages, the letters known, and the transitions of all their automata.
 
-    ``table[state * (len(letters) + 2) + code]`` is the next state, with the
-    number of phrases that end there in its upper bits.
+    ``keys`` and ``states`` are an open hash table of ``state * width + code``;
+    ``first`` has the state after a letter that begins a phrase, a row a language.
     """
 
     languages: list[str]
     letters: str
     roots: np.ndarray
-    table: np.ndarray
+    first: np.ndarray
+    keys: np.ndarray
+    states: np.ndarray
     phrase_bits: np.ndarray
 
 
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hashed(keys: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table, at most half full, of distinct ``keys`` not below 0."""
+    bits = max(4, int(2 * len(keys)).bit_length())
+    table, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+    at, left = _slots(keys, bits), np.arange(len(keys))
+    while len(left):
+        free = left[table[at[left]] < 0]
+        table[at[free]] = keys[free]  # of several at one place the last stays
+        values[at[free]] = states[free]
+        left = left[table[at[left]] != keys[left]]
+        at[left] = (at[left] + 1) & ((1 << bits) - 1)
+    return table, values
+
+
 def build(samples: dict[str, str]) -> Model:
     """A model of each language's normalised sample text."""
     languages = sorted(x for x in samples if samples[x])
     # code 0 is the space, 1 every letter in no sample
     letters = "".join(sorted({c for x in languages for c in samples[x]} - {" "}))
     code = {c: i + 2 for i, c in enumerate(letters)} | {" ": 0}
-    tables, roots, base = [], [], 0
-    for language in languages:
-        t = automaton(np.array([code[c] for c in samples[language]], np.int32), len(letters) + 2)
-        restart, strange = np.where(t[0] >= 0, t[0], 0), t[0] < 0  # a letter in no sample is a phrase of its own
-        ended = 1 + (strange[None] & (np.arange(len(t)) > 0)[:, None])
-        t = np.where(t >= 0, t + base, (restart + base) | (ended << _PLACE))
-        tables.append(t.ravel())
+    width, base = len(letters) + 2, 0
+    keys, states, roots = [], [], []
+    first = np.zeros((len(languages), width), np.int32)
+    for k, language in enumerate(languages):
+        step = automaton(np.array([code[c] for c in samples[language]], np.int64))
+        first[k] = base  # a letter in no sample of the language is a phrase of its own
+        for c, to in step[0].items():
+            first[k, c] = to + base
+        keys.append(np.array([(state + base) * width + c for state, found in enumerate(step) for c in found], np.int64))
+        states.append(np.array([to + base for found in step for to in found.values()], np.int32))
         roots.append(base)
-        base += len(t)
+        base += len(step)
+    table, values = hashed(np.concatenate(keys), np.concatenate(states)) if keys else (np.full(1, -1, np.int64), np.zeros(1, np.int32))
     bits = np.array([math.log2(len(samples[x]) + 2) for x in languages])
-    return Model(languages, letters, np.array(roots, np.int32), np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32), bits)
+    return Model(languages, letters, np.array(roots, np.int32), first, table, values, bits)
 
 
 class Parser:
@@ -107,6 +138,8 @@ class Parser:
 
     def __init__(self, model: Model):
         self.model, self.width = model, len(model.letters) + 2
+        self.known: dict[int, int] = {}
+        self.bits, self.last = len(model.keys).bit_length() - 1, len(model.keys) - 1
         self.codes = np.zeros(0x110000, np.uint8 if self.width <= 256 else np.int32)
         for start in range(0, 0x110000, 0x1000):
             if start not in range(0xD800, 0xE000):
@@ -116,6 +149,27 @@ class Parser:
         for i, c in enumerate(model.letters):
             self.codes[ord(c)] = i + 2
 
+    def step(self, language: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where the letter begins a phrase."""
+        m = self.model
+        keys = state.astype(np.int64) * self.width + code
+        at = _slots(keys, self.bits)
+        held = m.keys.take(at)
+        to = m.states.take(at)
+        begins = held != keys
+        left = np.flatnonzero(begins & (held >= 0))
+        while len(left):  # another key's place: it may lie behind
+            at[left] = (at[left] + 1) & self.last
+            held = m.keys.take(at[left])
+            same = held == keys[left]
+            to[left[same]] = m.states.take(at[left[same]])
+            begins[left[same]] = False
+            left = left[~same & (held >= 0)]
+        begins |= state == m.roots.take(language)
+        fresh = np.flatnonzero(begins)
+        to[fresh] = m.first[language[fresh], code[fresh]]
+        return to, begins
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text after normalisation, and phrases by text and language."""
         n, langs = len(texts), len(self.model.languages)
@@ -127,48 +181,143 @@ class Parser:
         use[1:] |= (codes[1:] == 0) & ~ends[1:] & (codes[:-1] != 0)  # the first sign of a gap stays as its space
         letters = np.bincount(owner[codes != 0], minlength=n)
         keep = use & ~ends
-        codes, owner = codes[keep], owner[keep]
+        codes, owner = codes[keep].astype(np.int64), owner[keep]
         size = np.bincount(owner, minlength=n)
-        first = np.cumsum(size) - size
+        total = np.zeros((n, langs))
+        if not len(codes):
+            return letters, total
+        ends = np.cumsum(size)
         blocks = -(-size // BLOCK)
         text_of = np.repeat(np.arange(n), blocks)
         nth = np.arange(len(text_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = first[text_of] + nth * BLOCK
-        span = np.minimum(size[text_of] - nth * BLOCK, BLOCK)
-        order = np.argsort(-span, kind="stable")
-        begin, span, text_of = begin[order], span[order], text_of[order]
-        counts = np.zeros((langs, len(begin)), np.int32)
-        if len(begin):
-            state = np.repeat(self.model.roots[:, None], len(begin), 1)
-            alive = np.searchsorted(-span, -np.arange(int(span[0])), "left")  # blocks longer than t
-            for t in range(int(span[0])):
-                k = int(alive[t])
-                at = state[:, :k] * np.int32(self.width)
-                at += codes[begin[:k] + t]
-                to = self.model.table.take(at)
-                counts[:, :k] += to >> _PLACE
-                state[:, :k] = to & _STATE
-            counts += state != self.model.roots[:, None]
-        total = np.zeros((n, langs))
-        for x in range(langs):
-            total[:, x] = np.bincount(text_of, counts[x], minlength=n)
+        begin = (ends - size)[text_of] + nth * BLOCK
+        stop = np.minimum(begin + BLOCK, ends[text_of])
+        state, starts = self._blocks(codes, begin, stop)
+        meet, extra, late = self._joined(codes, stop, ends[text_of], state, starts)
+        upto = np.zeros((langs, len(codes) + 1), np.int64)
+        np.cumsum(starts, axis=1, out=upto[:, 1:])
+        where = (np.searchsorted(begin, meet, "right") - 1).tolist()
+        opens, closes, first = upto[:, begin], upto[:, stop], (np.cumsum(blocks) - blocks).tolist()
+        for i in np.flatnonzero(blocks).tolist():
+            for k in range(langs):
+                b, entry = first[i], opens[k, first[i]]
+                while True:
+                    total[i, k] += closes[k, b] - entry
+                    if stop[b] == ends[i]:
+                        break
+                    if (k, b) in late:
+                        at, more = self._followed(codes, k, *late[k, b], int(ends[i]), starts[k])
+                        total[i, k] += extra[k, b] + more
+                        b, entry = (int(np.searchsorted(begin, at, "right")) - 1, upto[k, at])
+                    else:
+                        at = meet[k, b]
+                        total[i, k] += extra[k, b]
+                        b, entry = where[k][b], upto[k, at]
+                    if at == ends[i]:
+                        break
         return letters, total
 
+    def _blocks(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each block parsed from its begin: the last states by language and block, and the letters that begin a phrase."""
+        langs = len(self.model.languages)
+        starts = np.zeros((langs, len(codes)), bool)
+        order = np.argsort(begin - stop, kind="stable")
+        begin, span = begin[order], (stop - begin)[order]
+        state = np.repeat(self.model.roots[:, None], len(begin), 1)
+        language = np.repeat(np.arange(langs)[:, None], len(begin), 1)
+        alive = np.searchsorted(-span, -np.arange(int(span[0])), "left")  # blocks longer than t
+        for t in range(int(span[0])):
+            k = int(alive[t])
+            at = begin[:k] + t
+            to, new = self.step(language[:, :k].ravel(), state[:, :k].ravel(), np.tile(codes[at], langs))
+            state[:, :k], starts[:, at] = to.reshape(langs, k), new.reshape(langs, k)
+        out = np.empty_like(state)
+        out[:, order] = state
+        return out, starts
+
+    def _joined(self, codes: np.ndarray, stop: np.ndarray, ends: np.ndarray, state: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        """The parse of each block followed behind it: where it begins a phrase that a later block begins too, or the text ends, and how many it begins before.
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000) -> Model:
-    """Fit on at most ``sample_rows`` labelled texts and ``sample_chars`` letters a language.
+        Those that find no such letter in a block's length are left in a dictionary with their place and state.
+        """
+        meet, extra = np.zeros(state.shape, np.int64), np.zeros(state.shape, np.int64)
+        language, block = np.nonzero(np.broadcast_to(stop < ends, state.shape))
+        at, now = stop[block], state[language, block]
+        for _ in range(BLOCK):
+            if not len(at):
+                break
+            now, new = self.step(language, now, codes[at])
+            met = new & starts[language, at]
+            new &= ~met
+            extra[language[new], block[new]] += 1
+            meet[language[met], block[met]] = at[met]
+            at = at + 1
+            over = ~met & (at == ends[block])
+            meet[language[over], block[over]] = at[over]
+            on = np.flatnonzero(~met & ~over)
+            language, block, at, now = language[on], block[on], at[on], now[on]
+        return meet, extra, {(int(k), int(b)): (int(s), int(x)) for k, b, s, x in zip(language, block, now, at, strict=True)}
 
-    The sample is the rows first by a hash of the id, so it doesn't depend on
-    how rows are stored. Each text adds at most an even share of the letters.
+    def _followed(self, codes: np.ndarray, language: int, state: int, at: int, end: int, starts: np.ndarray) -> tuple[int, int]:
+        """As ``_joined`` for one parse at any length, a letter at a time."""
+        if not self.known:
+            some = self.model.keys >= 0
+            self.known = dict(zip(self.model.keys[some].tolist(), self.model.states[some].tolist(), strict=True))
+        root, first, more = int(self.model.roots[language]), self.model.first[language], 0
+        while at < end:
+            code = int(codes[at])
+            to = self.known.get(state * self.width + code, -1)
+            if to < 0 or state == root:
+                if starts[at]:
+                    return at, more
+                more += 1
+                to = int(first[code])
+            state, at = to, at + 1
+        return end, more
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, most_languages: int = 200, all_chars: int = 2_000_000) -> Model:
+    """Fit on labelled texts of the ``most_languages`` commonest languages.
+
+    A language adds ``sample_chars`` letters of ``sample_rows`` texts, and all of
+    them together ``all_chars``, at most: these bound the model. The texts are
+    those first by a hash of id and text, so they don't depend on how rows are
+    stored. Letters are shared evenly over the texts that a language has; where
+    a text is longer than its share, pieces at even distances over all of it
+    are taken.
     """
-    share = max(1, sample_chars // sample_rows)
-    order = Window.partitionBy("lang").orderBy("_h", "text")
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(8)).alias("_h"))
-    rows = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_rows)
-    given = rows.select("lang", "_r", F.substring("text", 1, 4 * share).alias("text")).toPandas().sort_values(["lang", "_r"])
-    samples = {lang: " ".join(normal(x)[:share] for x in part.text) for lang, part in given.groupby("lang")}
-    return build(samples)
+    labelled = docs.where(F.col(lang_col).isNotNull())
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counts:
+        return build({})
+    budget = max(1, min(sample_chars, all_chars // len(counts)))
+    most = {r["lang"]: 4 * -(-budget // min(sample_rows, r["n"])) for r in counts}
+    # by far more rows than are used pass, as some are empty or repeated
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 8 * sample_rows / r["n"]))])
+    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(8))
+    rows = labelled.where(F.col(lang_col).isin(list(most)) & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) <= limits[F.col("lang")] * F.lit(1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(normal(text.as_py()), most[lang.as_py()]) for lang, text in zip(batch.column(0), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["lang", "h", "text"])
+
+    given = rows.mapInArrow(run, "lang string, h long, text string").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    given = given.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample_rows)
+    samples: dict[str, list[str]] = {}
+    for r in sorted(given.select("lang", "r", "text").collect()):  # at most `sample_rows` a language, four times their share of letters
+        samples.setdefault(r["lang"], []).append(r["text"])
+    return build({lang: shared(texts, budget) for lang, texts in samples.items()})
+
+
+def shared(texts: list[str], budget: int) -> str:
+    """``texts`` in one, each with as many letters as the others where it has them, ``budget`` together."""
+    share, left = [0] * len(texts), budget
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), left // (len(texts) - k))
+        left -= share[i]
+    return " ".join(spread(text, n) for text, n in zip(texts, share, strict=True) if n)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -179,6 +328,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     their coding cost, so it nears 1 as a text gets longer. Ties go to the
     language first by name. Other columns pass through untouched.
     """
+    docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = plus(docs.schema, lang_pred=T.StringType(), score=T.DoubleType())
     text_at = docs.columns.index(text_col)
