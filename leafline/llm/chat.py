@@ -9,12 +9,12 @@ gathered into one row or one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns whose places are worked out together; what lies before a chunk is summed a chunk at a time.
-CHUNK = 256
-LAST = 2**62
+from leafline.llm.runtime import Tables
+
+END = "<|im_end|>\n"
 
 
 def perspectives(
@@ -44,34 +44,41 @@ def perspectives(
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text_col), F.lit("")).alias("content"),
-    ).withColumn("chunk", F.coalesce(F.expr(f"turn div {CHUNK}"), F.lit(LAST)))
-    counts = given.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"))
+        F.monotonically_increasing_id().alias("tie"),
+    )
+    # all messages in order, so a conversation of any size, whatever its turns, lies in as many tasks as it fills
+    order = ["conv_id", F.asc_nulls_last("turn"), "speaker", "content", "tie"]
+    placed = given.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = Tables(messages.sparkSession).put(placed.select("conv_id", "speaker", "content", "at", F.shiftright("at", 33).cast("int").alias("chunk"), F.length("content").alias("n")))
+    lengths = placed.select("conv_id", "chunk", "at", "speaker", "n")
+    counts = lengths.groupBy("conv_id", "chunk").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
     earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.asc_nulls_last("turn"), "speaker", "content")
-    placed = given.withColumn("r", F.row_number().over(inside) - 1)
-    placed = placed.join(counts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).withColumn("position", F.col("before") + F.col("r"))
-    people = given.where(F.col("speaker") != system).select(F.col("conv_id").alias("p"), F.col("speaker").alias("perspective")).distinct()
+    counts = counts.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    people = lengths.where(F.col("speaker") != system).select(F.col("conv_id").alias("p"), F.col("speaker").alias("perspective")).distinct()
+    met = lengths.join(counts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).withColumn("position", F.col("at") + F.col("shift"))
     role = F.when(F.col("speaker") == system, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    turned = placed.join(people, F.col("conv_id").eqNullSafe(F.col("p"))).withColumn("role", role)
+    turned = met.join(people, F.col("conv_id").eqNullSafe(F.col("p"))).withColumn("role", role)
     turned = turned.withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit("<|im_start|>"), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n"))
-    turned = turned.withColumn("segment", F.concat(head, "content", F.lit("<|im_end|>\n"))).withColumn("size", F.length("segment").cast("long"))
-    turned = turned.withColumn("head", F.length(head).cast("long"))
-    sums = turned.groupBy("conv_id", "perspective", "chunk").agg(F.sum("size").alias("n"))
+    turned = turned.withColumn("head", F.length(_head()).cast("long")).withColumn("size", F.col("head") + F.col("n") + len(END))
+    sums = turned.groupBy("conv_id", "perspective", "chunk").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy("conv_id", "perspective").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("c2"), F.col("perspective").alias("p2"), F.col("chunk").alias("k2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    so_far = Window.partitionBy("conv_id", "perspective", "chunk").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    out = turned.withColumn("end_", F.sum("size").over(so_far))
+    sums = sums.select(F.col("conv_id").alias("c2"), F.col("perspective").alias("p2"), F.col("chunk").alias("k2"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("ahead"))
+    so_far = Window.partitionBy("conv_id", "perspective", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    out = turned.withColumn("so_far", F.sum("size").over(so_far))
     out = out.join(sums, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("perspective") == F.col("p2")) & (F.col("chunk") == F.col("k2")))
-    begin = F.col("ahead") + F.col("end_") - F.col("size")
-    train = F.col("role") == "assistant"
+    out = out.select("at", "perspective", "position", "role", "name", "head", (F.col("ahead") + F.col("so_far")).alias("end"), "size")
+    out = out.join(placed.select("at", "conv_id", "speaker", "content").hint("merge"), "at")
+    begin, train = F.col("end") - F.col("size"), F.col("role") == "assistant"
     return out.select(
-        "conv_id", "perspective", F.col("position").cast("long").alias("position"), "speaker", "role", "name", train.alias("train"), "segment",
-        begin.cast("long").alias("begin"), (F.col("ahead") + F.col("end_")).cast("long").alias("end"), F.when(train, begin + F.col("head")).cast("long").alias("train_from"),
+        "conv_id", "perspective", F.col("position").cast("long").alias("position"), "speaker", "role", "name", train.alias("train"), F.concat(_head(), "content", F.lit(END)).alias("segment"),
+        begin.cast("long").alias("begin"), F.col("end").cast("long").alias("end"), F.when(train, begin + F.col("head")).cast("long").alias("train_from"),
     )
 
 
+def _head() -> Column:
+    return F.concat(F.lit("<|im_start|>"), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("\n"))
+
+
 ORACLE = """
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations
