@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafline.llm.linear import Linear, fit
-from leafline.llm.runtime import cut, plus
+from leafline.llm.runtime import Tables, fresh, plus
 
 #: Domains of the labelled table, and the share of tokens that each should have.
 DOMAINS = ("clean", "toxic", "low")
@@ -34,8 +34,9 @@ def domain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(domain.isNotNull()).select(id_col, marks.alias("y"))
 
 
-def with_posteriors(docs: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` (white-space words) and ``posterior``, an array over domains."""
+def with_posteriors(docs: DataFrame, model: Linear, text_col: str = "text", tokens: str = "n_tokens", posterior: str = "posterior") -> DataFrame:
+    """``docs`` with columns ``tokens`` (white-space words) and ``posterior``, an array over domains; such columns of ``docs`` are replaced."""
+    docs = docs.drop(tokens, posterior)
     held = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col)
 
@@ -45,54 +46,65 @@ def with_posteriors(docs: DataFrame, model: Linear, text_col: str = "text") -> D
             p = 1 / (1 + np.exp(-np.clip(margins, -35, 35)))
             p /= p.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), p.ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), lists], [*batch.schema.names, "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), lists], [*batch.schema.names, tokens, posterior])
 
-    return docs.mapInArrow(run, plus(docs.schema, n_tokens=T.LongType(), posterior=T.ArrayType(T.DoubleType())))
+    return docs.mapInArrow(run, plus(docs.schema, **{tokens: T.LongType(), posterior: T.ArrayType(T.DoubleType())}))
 
 
-def rate(posterior: Column, steps: list[list[float]], cap: float) -> Column:
-    """The rate of a document after ``steps``, each a number a domain."""
+def rate(posterior: Column, steps: list[list[float]], cap: float, begin: Column | None = None) -> Column:
+    """The rate of a document after ``steps``, each a number a domain, from one (or ``cap``, if less) or ``begin`` on."""
+    begin = F.lit(min(1.0, float(cap))) if begin is None else begin
     if not steps:
-        return F.lit(min(1.0, cap))
+        return begin
     taken = F.array(*[F.array(*[F.lit(float(y)) for y in step]) for step in steps])
 
     def move(r: Column, step: Column) -> Column:
         pull = sum((posterior[k] * step[k] for k in range(len(steps[0]))), F.lit(0.0))
         return F.least(F.greatest(r - pull, F.lit(0.0)), F.lit(float(cap)))
 
-    return F.aggregate(taken, F.lit(min(1.0, float(cap))), move)
+    return F.aggregate(taken, begin, move)
 
 
-def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float | None = None, most_steps: int = 40, close: float = 1e-4) -> list[list[float]]:
+def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float | None = None, most_steps: int = 40, close: float = 1e-4, kept_steps: int = 8) -> list[list[float]]:
     """Steps of projected-gradient least squares over ``n_tokens, posterior`` of ``scored``.
 
     Targets are ``weights`` times ``total`` tokens; by default as many as the
-    first domain can fill at rate one. Gradients are scaled by the domains'
-    second moments, so a step of size one is safe and few are needed. Ends when
-    targets are met, or no longer come nearer, within ``close`` of the total.
+    first domain can fill at rate one, or all there are if its weight is zero.
+    Gradients are scaled by the domains' second moments, so a step of size one
+    is safe and few are needed. Ends when targets are met, or no longer come
+    nearer, within ``close`` of the total. Every ``kept_steps`` steps the rates so
+    far are written beside the posteriors, so no step folds more than that many.
     """
     k = len(weights)
-    tokens = F.col("n_tokens").cast("double")
-    p = [F.col("posterior")[i] for i in range(k)]
-    moments = scored.agg(*[F.sum(tokens * p[i] * p[j]) for i in range(k) for j in range(k)], *[F.sum(tokens * p[i]) for i in range(k)]).first()
+    p = [F.col(f"p{i}") for i in range(k)]
+    tables = Tables(scored.sparkSession)
+    given = scored.select(F.col("n_tokens").cast("double").alias("t"), *[F.col("posterior")[i].alias(f"p{i}") for i in range(k)])
+    moments = given.agg(*[F.sum(F.col("t") * p[i] * p[j]) for i in range(k) for j in range(k)], *[F.sum(F.col("t") * p[i]) for i in range(k)]).first()
     moments = np.array([x or 0.0 for x in moments])
     second, have = moments[: k * k].reshape(k, k), moments[k * k :]
     if have.sum() <= 0:
         return []
-    whole = total if total is not None else have[0] / weights[0]
-    target = np.array(weights) * whole
+    if total is None:
+        total = have[0] / weights[0] if weights[0] > 0 else have.sum()
+    target = np.array(weights) * total
     inverse = np.linalg.inv(second + np.eye(k) * 1e-9 * max(second.trace(), 1e-9))
     steps: list[list[float]] = []
-    last = None
+    held = tables.put(given.withColumn("r", F.lit(min(1.0, float(cap)))))
+    since, last = 0, None
     for _ in range(most_steps):
-        r = rate(F.col("posterior"), steps, cap)
-        sums = scored.select(F.col("posterior"), tokens.alias("t"), r.alias("r")).agg(*[F.sum(F.col("t") * F.col("r") * p[i]) for i in range(k)]).first()
+        now = rate(F.array(*p), steps[since:], cap, F.col("r"))
+        sums = held.select("t", *p, now.alias("r")).agg(*[F.sum(F.col("t") * F.col("r") * p[i]) for i in range(k)]).first()
         off = np.array([x or 0.0 for x in sums]) - target
         loss = float(off @ inverse @ off)
-        if np.abs(off).sum() <= close * whole or last is not None and last - loss <= 1e-4 * last:
+        if np.abs(off).sum() <= close * total or last is not None and last - loss <= 1e-4 * last:
             break
         last = loss
         steps.append((inverse @ off).tolist())
+        if len(steps) - since == kept_steps:
+            held, before = tables.put(held.select("t", *p, rate(F.array(*p), steps[since:], cap, F.col("r")).alias("r"))), held
+            tables.drop(before)
+            since = len(steps)
+    tables.drop(held)
     return steps
 
 
@@ -110,7 +122,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     """
     model = fit(docs, domain_labels(labels, id_col), id_col, text_col, len(DOMAINS), sample_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = cut(with_posteriors(rows, model).drop("text"))
+    scored = Tables(docs.sparkSession).put(with_posteriors(rows, model).drop("text"))
     steps = fit_rates(scored, [weights[x] for x in DOMAINS], cap, total) if model.weights.any() else []
     named = [F.col("posterior")[k].alias(f"p_{x}") for k, x in enumerate(DOMAINS)]
     return scored.select("doc_id", "n_tokens", *named, rate(F.col("posterior"), steps, cap).alias("rate"))
@@ -121,10 +133,17 @@ def sample_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
 
     Rates are at most one, and targets are as many tokens as the first domain
     has, so documents of that domain stay. Where no label was learned all stay.
+    A null id counts as any other in the hash; rows alike in id and text stay or
+    go together. Null and empty texts have a rate like others of their
+    posterior. An empty table gives an empty result; all columns, whatever
+    their names, are as they were.
     """
     model = fit(docs, domain_labels(labels, id_col), id_col, text_col, len(DOMAINS), sample_rows)
-    scored = cut(with_posteriors(docs.select(F.col(text_col).alias("text")), model).drop("text"))
-    steps = fit_rates(scored, [weights[x] for x in DOMAINS], 1.0) if model.weights.any() else []
-    kept = with_posteriors(docs, model, text_col)
+    if not model.weights.any():
+        return docs
+    tokens, posterior = fresh(docs.columns, "n_tokens"), fresh(docs.columns, "posterior")
+    # texts are scored once; the pass over them that the rates need reads what was written
+    scored = Tables(docs.sparkSession).put(with_posteriors(docs, model, text_col, tokens, posterior))
+    steps = fit_rates(scored.select(F.col(tokens).alias("n_tokens"), F.col(posterior).alias("posterior")), [weights[x] for x in DOMAINS], 1.0)
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    return kept.where(draw < rate(F.col("posterior"), steps, 1.0)).select(*docs.columns)
+    return scored.where(draw < rate(F.col(posterior), steps, 1.0)).select(*docs.columns)

@@ -15,7 +15,8 @@ from leafline.llm.runtime import plus
 
 
 def score(docs: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; a null text scores as an empty one."""
+    """``docs`` with ``score``, the probability of label 1; a null text scores as an empty one, a ``score`` that ``docs`` has is replaced."""
+    docs = docs.drop("score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col)
 

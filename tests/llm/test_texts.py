@@ -61,6 +61,52 @@ def test_blocks_only_restart_parses():
     assert abs(phrases[0] - apart.sum(0)).max() <= 2 * len(parts)
 
 
+@pytest.mark.parametrize("block", [1024, 64, 7])
+def test_long_texts_are_one_parse(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(5)
+    samples = {lang: sentence(rng, lang, 300) for lang in LETTERS}
+    texts = [sentence(rng, rng.choice(list(LETTERS)), n) for n in (0, 5, 400, 1500)] + ["aeio " * 700, "ae日io " * 500, "zz" * 1500, "a" * 2500]
+    _, phrases = langid.Parser(langid.build(samples)).phrases(texts)
+    for i, text in enumerate(texts):
+        plain = langid.normal(text) + (" " if text.endswith(" ") else "")
+        assert phrases[i].tolist() == [longest_match_phrases(plain, samples[lang]) if plain else 0 for lang in sorted(LETTERS)]
+
+
+def test_samples_are_spread_over_whole_texts(spark):
+    assert langid.spread("abc", 5) == "abc"
+    found = langid.spread("".join(chr(0x4E00 + i) for i in range(10_000)), 1000)
+    assert len(found) <= 1000 and found[0] == chr(0x4E00) and found[-1] == chr(0x4E00 + 9999)
+    assert langid.shared(["ab", "c" * 50, "d" * 500], 62) == f"ab {'c' * 30} {'d' * 30}"
+    letters = "".join(chr(0x4E00 + i) for i in range(3000))
+    docs = spark.createDataFrame([(i, f"{letters[i * 30 % 3000 :]}{letters}", "zh") for i in range(100)] + [(i, sentence(random.Random(i), "aa", 40), f"l{i}") for i in range(100, 130)], "doc_id long, text string, lang string")
+    model = langid.train(docs, "doc_id", "text", "lang", most_languages=5)
+    assert len(model.languages) == 5 and "zh" in model.languages and model.keys.nbytes < 8 << 20
+    tied = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a"), (3, "same text", None)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(tied, langid.train(tied, "doc_id", "text", "lang")).collect()} == {"a"}
+
+
+def test_columns_that_clash(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, f"user=bob4{i} {KEY} " + sentence(rng, "aa", 9), "b", "s", "t", "k") for i in range(12)], "doc_id long, text string, base string, spans string, n_tokens string, posterior string")
+    found = credentials.redact(docs)
+    assert found.columns == docs.columns and {(r["base"], r["spans"]) for r in found.collect()} == {("b", "s")}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    kept = mixing.sample_mixture(docs, labels)
+    assert kept.columns == docs.columns and {(r["n_tokens"], r["posterior"]) for r in kept.collect()} <= {("t", "k")}
+    known = docs.select("doc_id", "text", docs.base.alias("lang"), docs.spans.alias("score"), docs.base.alias("lang_pred"))
+    model = langid.train(known, "doc_id", "text", "lang")
+    assert langid.identify(known, model).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    texts = [(i, "token=abcdefgh1 " * n) for i, n in enumerate((0, 1, 63, 64, 65, 128, 20_000))]
+    found = {r["doc_id"]: r for r in credentials.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base(text))
+        assert found[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_languages(spark):
     rng = random.Random(3)
     rows = [(i, sentence(rng, lang, rng.randint(10, 80)), lang, "c") for i, lang in enumerate(rng.choices(list(LETTERS), k=300))]
@@ -311,6 +357,20 @@ def test_pipeline(spark, raw):
         assert [o for o, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= 1024
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, base string"
+    long = " ".join(f"w{i}x" for i in range(30_000)) + " "
+    rows = [(1, "a b c d e f", "x", None, None, "k"), (1, "a b c d e f", "x", None, None, "k"), (None, "lone text here", None, None, None, None), (None, None, None, None, None, None), (2, "", None, None, 0, None), (3, long, "x", "s", 1, None), (4, long + "end", "x", "s", 1, None)]
+    for name, held in (("some", rows), ("none", [])):
+        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    found = c.run(spark, f"{tmp_path}/some").collect()
+    assert {r["doc_id"] for r in found} == {1, None, 3} and sum(r["doc_id"] is None for r in found) == 1
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_language_stage_keeps_every_text_with_a_letter(spark):
     import corpus_pipeline as c
 
