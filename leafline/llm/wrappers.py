@@ -3,9 +3,11 @@
 Pages of a host are aligned one after the other. Where their streams of tags
 agree the wrapper stays; a run of like elements, or of like sequences, becomes
 a repeated group; elements that only some pages have become optional; text that
-differs becomes a slot. What each part of the wrapper is (article, menu, notice
-and so on) follows from its place, its names and how its text varies, and is
-then the same for every page of the host.
+differs becomes a slot. The main text is where most of what differs between the
+host's pages lies: slots alike on all of them are template, wherever they are.
+Names of elements then tell what of the rest is a menu, a notice or a reader's
+comment, widen or narrow the main element to a named one that holds as much,
+and decide alone only where a host has too few pages to compare.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -47,7 +50,9 @@ DROPPED_NAMES = frozenset(
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 MAIN_NAMES = frozenset("article articlebody post postbody entry story maincontent".split())
-DEEPEST, WIDEST = 48, 24
+DEEPEST = 48
+#: Pages from which on a text alike on all of them is template.
+ENOUGH = 3
 NAME = re.compile(r"[a-z]+")
 
 
@@ -270,36 +275,87 @@ def merge(a: list, b: list) -> None:
         for x, y in zip(left, right, strict=True):
             merge(x, y)
         return
-    n, m = len(left), len(right)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i][0] == right[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and left[i][0] == right[j][0]:
-            merge(left[i], right[j])
-            out.append(left[i])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            left[i][1] |= 1
-            out.append(left[i])
-            i += 1
-        else:
-            right[j][1] |= 1
-            out.append(right[j])
-            j += 1
+    for x, y in [*aligned([x[0] for x in left], [x[0] for x in right]), (len(left), len(right))]:
+        for node in (*left[i:x], *right[j:y]):
+            node[1] |= 1
+            out.append(node)
+        if x < len(left):
+            merge(left[x], right[y])
+            out.append(left[x])
+        i, j = x + 1, y + 1
     out = fold(out)
-    if len(out) > WIDEST:  # many orders of the same elements: a repeated group of optional ones
-        by_key: dict[str, list] = {}
-        for node in out:
-            if node[0] in by_key:
-                merge(by_key[node[0]], node)
-            else:
-                by_key[node[0]] = node
-            by_key[node[0]][1] |= 3
-        out = list(by_key.values())
-    a[3] = out
+    # optional elements of one key, in whatever order pages have them, are one group
+    first: dict[str, list] = {}
+    kept = []
+    for node in out:
+        if node[1] & 1 and node[0] in first:
+            merge(first[node[0]], node)
+            repeat(first[node[0]])
+        else:
+            kept.append(node)
+            if node[1] & 1:
+                first[node[0]] = node
+    a[3] = kept
+
+
+def aligned(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of ``left`` and ``right`` that belong together, in order on both sides, in time about their length.
+
+    Keys that either has once anchor the alignment along its longest rising run;
+    between anchors, equal heads and tails and then the next equal key are taken.
+    """
+    out: list[tuple[int, int]] = []
+    work = [(0, len(left), 0, len(right))]
+    while work:
+        a, b, c, d = work.pop()
+        while a < b and c < d and left[a] == right[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and left[b - 1] == right[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        ours, theirs = Counter(left[a:b]), Counter(right[c:d])
+        at = {key: y for y, key in enumerate(right[c:d], c) if theirs[key] == 1}
+        anchors = _rising([(x, at[left[x]]) for x in range(a, b) if ours[left[x]] == 1 and left[x] in at])
+        if anchors:
+            low, under = a, c
+            for x, y in [*anchors, (b, d)]:
+                work.append((low, x, under, y))
+                low, under = x + 1, y + 1
+            out += anchors
+            continue
+        places: dict[str, list[int]] = {}
+        for y in range(d - 1, c - 1, -1):
+            places.setdefault(right[y], []).append(y)
+        y = c - 1
+        for x in range(a, b):
+            rest = places.get(left[x], [])
+            while rest and rest[-1] <= y:
+                rest.pop()
+            # the next equal key, unless it would skip more than it leaves to the rest of this side
+            if rest and rest[-1] - y <= b - x:
+                y = rest.pop()
+                out.append((x, y))
+    return sorted(out)
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of ``pairs`` whose second numbers rise, too."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, y) in enumerate(pairs):
+        at = bisect_left(tails, y)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [y], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
 
 
 def wrapper_of(element: Element) -> list:
@@ -315,52 +371,62 @@ def mass(node: list, fixed: bool, in_article: bool = False) -> int:
     if dropped(node[0], in_article):
         return 0
     slot = node[2]
-    own = slot[1] - slot[2] if slot and (fixed or slot[0] < 3 or slot[3] == -1) else 0
+    own = slot[1] - slot[2] if slot and (fixed or not template(slot)) else 0
     return own + sum(mass(x, fixed, in_article) for x in node[3])
 
 
+def template(slot: list) -> bool:
+    """Whether a slot's text is alike on all of enough pages."""
+    return slot[0] >= ENOUGH and slot[3] != -1
+
+
+def centre_of(root: list, fixed: bool) -> list:
+    """The deepest element that holds most of the text that differs."""
+    at = root
+    while at[3]:
+        best = max(at[3], key=lambda x: mass(x, fixed))
+        held = mass(best, fixed)
+        if not held or held * 10 < mass(at, fixed) * 7 or best[0].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td"):
+            break
+        at = best
+    return at
+
+
 def decide(root: list) -> list:
     """The wrapper as rules [key, kept, children]: whether an element's own text is main text."""
-    mains: list[tuple[int, int]] = []
+    fixed = not mass(root, False)  # one page or copies of one: nothing tells its template from its text
+    whole = mass(root, fixed)
+    centre = centre_of(root, fixed)
+    named: dict[int, int] = {1: 0, 2: 0}
 
     def find(node: list, within: bool) -> None:
         if dropped(node[0], within):
             return
-        if (sure := is_main(node[0])) and (held := mass(node, True, within)):
-            mains.append((sure, held))
+        if sure := is_main(node[0]):
+            named[sure] += mass(node, fixed, within)
         for x in node[3]:
-            find(x, within or sure > 0)
+            if not sure or is_main(x[0]) != sure:
+                find(x, within or sure > 0)
 
     find(root, False)
-    most = {s: max((held for sure, held in mains if sure == s), default=0) for s in (1, 2)}
-    whole = mass(root, True)
-    fixed = not mass(root, False)  # copies of one page: nothing tells its template from its text
-    if most[2] and 2 * most[2] >= most[1]:
+    # a named element stands for the main text if it holds the greater part of what differs; names decide alone where nothing does
+    if 2 * named[2] >= max(whole, 1) or fixed and named[2] and 2 * named[2] >= named[1]:
         want = 2
-    elif most[1] and 4 * most[1] >= whole:
+    elif 2 * named[1] >= max(whole, 1) or fixed and 4 * named[1] >= max(whole, 1):
         want = 1
     else:
-        want = 2 if most[2] else 0
-    center: list | None = None
-    if not want:  # no named article: the deepest element with most of the varying text
-        center = root
-
-        def weigh(node: list) -> int:
-            return mass(node, fixed)
-
-        while center[3] and (best := max(center[3], key=weigh)) and weigh(best) * 10 >= weigh(center) * 7 and weigh(best):
-            if best[0].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td"):
-                break
-            center = best
+        want = 2 if fixed and named[2] else 0
 
     def rules(node: list, kept: bool, within: bool, out: bool) -> list:
         sure = is_main(node[0])
         out = out or dropped(node[0], within or sure > 0)
         within = within or sure > 0
-        kept = kept or bool(want and sure >= want and (sure == want or want == 1)) or node is center
+        kept = kept or bool(want and sure >= want and (sure == want or want == 1)) or (not want and node is centre)
         slot = node[2]
         own = kept and not out
-        if own and slot and not want and slot[0] >= 3 and (slot[3] != -1 and not fixed or 5 * slot[2] > 4 * slot[1]):
+        if own and slot and not fixed and template(slot):
+            own = False
+        if own and slot and not want and slot[0] >= ENOUGH and 5 * slot[2] > 4 * slot[1]:
             own = False
         return [node[0], int(own), [rules(x, kept, within, out) for x in node[3]]]
 
@@ -439,17 +505,18 @@ def _merged(given: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": given.host.iloc[:1], "wrapper": [json.dumps(whole)]})
 
 
-def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
+def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: tuple[int, ...] = (256, 16, 1)) -> DataFrame:
     """One wrapper a host, from all its pages: ``host, wrapper`` (JSON).
 
     Pages are merged where they are read, so what is shuffled is a wrapper for
-    each host and task; two rounds of merging keep a host that is everywhere
-    from meeting in one task.
+    each host and task; several rounds of merging, each with fewer groups a
+    host, keep a host that is everywhere from meeting in one task.
     """
     partial = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_partial, "host string, wrapper string")
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    some = salted.groupBy("host", "salt").applyInPandas(_merged, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(_merged, "host string, wrapper string")
+    for n in salts:
+        salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(n)))
+        partial = salted.groupBy("host", "salt").applyInPandas(_merged, "host string, wrapper string")
+    return partial
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from leafline.llm import wrappers
@@ -85,6 +87,90 @@ def tree(*children):
     return ["x", 0, None, [[k, 0, [1, 1, 0, 1], []] for k in children]]
 
 
+NEUTRAL = """<html><head><title>T{n}</title></head><body><div class=xa><div class=k><b>Brand</b> of all things</div><ul class=q><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li></ul></div>
+<div class=xb><div class=m><h1>Story {n} of the day</h1><p>Text {n} begins {words}</p>{more}<p>and ends {n}</p><div class=r>Written by our staff</div></div><div class=s>Read on in our other pages</div></div><div class=xc>All rights reserved since long ago</div></body></html>"""
+
+
+def neutral(n):
+    words = " ".join(f"w{n}x{i}" for i in range(20 + n))
+    more = "<p>More of {0}</p>".format(n) * (n % 3)
+    blocks = [f"Story {n} of the day", f"Text {n} begins {words}", *[f"More of {n}"] * (n % 3), f"and ends {n}"]
+    return NEUTRAL.format(n=n, words=words, more=more), " ".join(blocks)
+
+
+def through_wrapper(pages):
+    """The main text of each page by the wrapper of all of them, nothing but the alignment's functions."""
+    parsed = [wrappers.parse(page) for page in pages]
+    host = None
+    for page in parsed:
+        own = wrappers.wrapper_of(page)
+        if host is None:
+            host = own
+        else:
+            wrappers.merge(host, own)
+    rule = wrappers.decide(host)
+    return [" ".join(wrappers.main_blocks(page, rule, lambda: host)) for page in parsed]
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_neutral_names_are_told_apart_by_what_differs(monkeypatch, named):
+    """Titles, menus, by-lines and footers that are alike on all pages go although they lie beside and within the text, whatever the names."""
+    if not named:
+        for name in ("DROPPED_TAGS", "DROPPED_NAMES", "DROPPED_ROLES", "MAIN_NAMES"):
+            monkeypatch.setattr(wrappers, name, frozenset())
+        monkeypatch.setattr(wrappers, "is_main", lambda key: 0)
+    pages, texts = zip(*map(neutral, range(9)), strict=True)
+    assert through_wrapper(pages) == list(texts)
+
+
+def test_named_hosts_without_their_names(monkeypatch):
+    """The host of ``test_main_text`` by alignment alone: only what differs within the text's element and is no word list's matter is left."""
+    for name in ("DROPPED_TAGS", "DROPPED_NAMES", "DROPPED_ROLES", "MAIN_NAMES"):
+        monkeypatch.setattr(wrappers, name, frozenset())
+    monkeypatch.setattr(wrappers, "is_main", lambda key: 0)
+    found = through_wrapper([PAGE.format(n=n, tag="article") for n in range(9)])
+    assert found == [wanted(n) for n in range(9)]
+
+
+def test_a_decoy_named_like_an_article_loses_to_what_differs():
+    pages = [f"<body><div class=post>Try our app today, it is free</div><div class=z><p>{' '.join(f'v{n}y{i}' for i in range(30))}</p></div></body>" for n in range(6)]
+    assert through_wrapper(pages) == [" ".join(f"v{n}y{i}" for i in range(30)) for n in range(6)]
+
+
+def plain_alignment(left, right):
+    """The length of the longest common subsequence, by its table."""
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i in range(len(left) - 1, -1, -1):
+        for j in range(len(right) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if left[i] == right[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_alignment_against_the_table():
+    rng = random.Random(2)
+    good = whole = 0
+    for _ in range(300):
+        left = [rng.choice("abcdefghij") for _ in range(rng.randint(0, 12))]
+        right = list(left)
+        for _ in range(rng.randint(0, 5)):
+            if right and rng.random() < 0.5:
+                right.pop(rng.randrange(len(right)))
+            else:
+                right.insert(rng.randint(0, len(right)), rng.choice("abcdefghijkl"))
+        found = wrappers.aligned(left, right)
+        assert all(left[x] == right[y] for x, y in found)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:], strict=False))
+        good, whole = good + len(found), whole + plain_alignment(left, right)
+    assert good >= 0.97 * whole
+
+
+def test_very_long_lists_align_in_time():
+    left = [f"k{i}" for i in range(60_000)]
+    right = [f"k{i}" for i in range(60_000) if i % 7] + ["p", "q"] * 20_000
+    assert len(wrappers.aligned(left, right)) == sum(1 for i in range(60_000) if i % 7)
+    assert len(wrappers.aligned(["p", "q"] * 40_000, ["q", "p", "p"] * 30_000)) > 0
+
+
 def test_alignment_generalises():
     a = tree("h", "p")
     wrappers.merge(a, tree("h", "q", "p"))
