@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,8 +14,20 @@ from pyspark.sql import functions as F
 NUMBER = r"^[-+~]?[0-9]+([.,:：/~\-][0-9]+)*(%|[A-Za-z]+)?$"
 DATE = r"^[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}$"
 PLACEHOLDERS = ("-", "—", "–", "－")
-GENERIC_TERMS = ("data", "document", "field", "info", "information", "item", "list", "table", "text", "value")
-ABBREVIATIONS = {"amt": "amount", "desc": "description", "id": "identifier", "no": "number", "num": "number", "qty": "quantity", "uom": "unit"}
+#: Words that name nothing, and the ways to spell short forms out.
+GENERIC_TERMS = ("信息", "数据", "内容", "文档", "字段", "记录", "记录集合", "提取", "解析", "结果")
+SHORT_FORMS = (
+    ("id", "identifier"),
+    ("no", "number"),
+    ("no", "num"),
+    ("num", "number"),
+    ("num", "no"),
+    ("qty", "quantity"),
+    ("amt", "amount"),
+    ("desc", "description"),
+    ("uom", "unit of measure"),
+    ("uom", "unit"),
+)
 
 
 def nfkc(text: Column) -> Column:
@@ -32,24 +45,26 @@ def spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit("<|txt_split|>"), F.lit(" ")), r"(?U)\s+", " "))
 
 
+def decoded(text: Column) -> Column:
+    """Character references of every kind decoded, which SQL has no function for."""
+
+    def plain(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in values:
+            yield part.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(plain, "string")(text)
+
+
 def cell_text(markup: Column) -> Column:
     """The text of a cell: breaks are new lines, images their alt text, tags gone, references decoded."""
     text = F.regexp_replace(markup, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, r"(?is)<img\b[^>]*?\balt=\"([^\"]*)\"[^>]*>", "$1")
-    text = decoded(F.regexp_replace(text, r"<[^>]+>", ""))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"^\n+|\n+$", ""))
-
-
-def decoded(text: Column) -> Column:
-    """The character references that tables carry, the ampersand last so that nothing is decoded twice."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    text = F.replace(decoded(F.regexp_replace(text, r"<[^>]+>", "")), F.lit("\u00a0"), F.lit(" "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), r"\s*\n\s*", "\n"))
 
 
 def without_tags(text: Column) -> Column:
-    return F.trim(F.regexp_replace(decoded(F.regexp_replace(text, r"<[^>]+>", " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(text, r"<[^>]+>", " ")), r"(?U)\s+", " "))
 
 
 def match_key(text: Column) -> Column:
@@ -62,20 +77,31 @@ def field_key(text: Column) -> Column:
 
 
 def locator_key(text: Column) -> Column:
-    """Lower case without white space, separators, brackets, quotes and bars."""
-    return F.regexp_replace(F.lower(text), r"[\s_\-./\\:：,，。;；()（）\[\]【】{}<>《》'\"“”‘’|]+", "")
+    """Compatibility composition in lower case without white space, separators, brackets, quotes and bars."""
+    return locator_signs(nfkc(text))
+
+
+def locator_signs(text: Column) -> Column:
+    """``locator_key`` of a text that is composed already."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s_\-./\\|:：,，。;；()（）\[\]{}<>《》\"'`]+", "")
 
 
 def terms(text: Column) -> Column:
     """The whole text and its runs of two or more word signs or CJK, as distinct locator keys of two signs or more."""
-    found = F.concat(F.array(text), F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_\-.]{2,}|[一-鿿]{2,})"), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(found, locator_key), lambda x: F.length(x) >= 2))
+    composed = nfkc(text)
+    found = F.concat(F.array(composed), F.regexp_extract_all(composed, F.lit(r"([A-Za-z0-9_\-.]{2,}|[一-鿿]{2,})"), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(found, locator_signs), lambda x: F.length(x) >= 2))
+
+
+def useful(term: Column) -> Column:
+    """Whether a composed term names something: not generic, of two signs or more, of three if all are ASCII letters and digits."""
+    key = locator_signs(term)
+    return ~F.trim(term).isin(*GENERIC_TERMS) & ~key.isin(*GENERIC_TERMS) & (F.length(key) >= 2) & ~((F.length(key) < 3) & key.rlike("^[a-z0-9]+$"))
 
 
 def useful_terms(found: Column, most: int = 48) -> Column:
-    """Terms that are not generic, ASCII ones of three signs or more, the first ``most``."""
-    kept = F.filter(found, lambda x: ~x.isin(*GENERIC_TERMS) & ((F.length(x) >= 3) | ~x.rlike(r"^[\x00-\x7F]*$")))
-    return F.slice(F.array_distinct(kept), 1, most)
+    """Distinct useful terms, trimmed, the first ``most``."""
+    return F.slice(F.array_distinct(F.transform(F.filter(found, useful), lambda x: F.trim(x))), 1, most)
 
 
 def query_grams(text: Column, most: int = 24) -> Column:
@@ -92,21 +118,54 @@ def query_grams(text: Column, most: int = 24) -> Column:
 
 
 def structure_tokens(text: Column, most: int = 80) -> Column:
-    """Tokens of up to 24 signs and the pairs of the first 18 signs of the text without separators."""
-    tokens = F.filter(F.split(F.lower(text), r"[\s,，.。;；:：/|_\-]+"), lambda x: (x != "") & (F.length(x) <= 24))
-    head = F.substring(F.regexp_replace(F.lower(text), r"[\s,，.。;；:：/|_\-]+", ""), 1, 19)
-    pairs = F.when(F.length(head) >= 2, F.transform(F.sequence(F.lit(1), F.length(head) - 1), lambda i: F.substring(head, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.array_distinct(F.concat(tokens, pairs)), 1, most)
+    """Tokens of up to 24 signs, each token of more than three followed by the pairs at its first 18 places; distinct, the first ``most``."""
+    tokens = F.filter(F.split(text, r"(?U)\s+|/|,|，|、|;|；|\||：|:|\(|\)|（|）"), lambda x: x != "")
+
+    def of(token: Column) -> Column:
+        n = F.length(token)
+        none = F.array().cast("array<string>")
+        pairs = F.when(n > 3, F.transform(F.sequence(F.lit(1), F.least(n - 1, F.lit(18))), lambda i: F.substring(token, i, F.lit(2)))).otherwise(none)
+        return F.concat(F.when(n <= 24, F.array(token)).otherwise(none), pairs)
+
+    return F.slice(F.array_distinct(F.flatten(F.transform(tokens, of))), 1, most)
 
 
 def variants(term: Column) -> Column:
-    """Ways to write a term: as is, in words, joined, capitalised, with short forms spelt out, and in capitals if short."""
-    words = F.lower(F.trim(F.regexp_replace(F.regexp_replace(term, r"([a-z0-9])([A-Z])", "$1 $2"), r"[\s_\-./]+", " ")))
-    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    spelt = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(table[w], w)), " ")
-    upper = F.when(F.length(term) <= 4, F.upper(term))
-    found = F.array(F.trim(term), words, F.replace(words, F.lit(" "), F.lit("")), F.initcap(words), spelt, upper)
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != "")))
+    """Ways to write a term, in order and distinct.
+
+    As composed, with capitals apart, with separators as spaces, without any, in
+    title case, with each short form spelt out in each way, apart and joined,
+    and in capitals where it has no others or no more than five signs. Tags are
+    blanks and invisible signs are gone; a generic term has none.
+    """
+    text = F.trim(nfkc(term))
+    plain = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"[\u200b\u200c\u200d\ufeff]+", "")
+    return F.when(F.coalesce(text, F.lit("")).isin("", *GENERIC_TERMS), F.array().cast("array<string>")).otherwise(_bound(plain, _spelt))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spelt(text: Column) -> Column:
+    camel = F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])", " ")
+    apart = F.regexp_replace(camel, r"[_\-./\\|]+", " ")
+    parts = F.filter(F.split(apart, r"(?U)\s+"), lambda x: x != "")
+    title = F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), " ")
+    forms = F.array(*[F.struct(F.lit(a).alias("short"), F.lit(b).alias("long")) for a, b in SHORT_FORMS])
+
+    def written(part: Column, i: Column) -> Column:
+        fitting = F.filter(forms, lambda f: f["short"] == F.lower(part))
+        return F.flatten(F.transform(fitting, lambda f: _both(F.array_join(F.transform(parts, lambda x, j: F.when(j == i, f["long"]).otherwise(x)), " "))))
+
+    capitals = F.when(((F.upper(text) == text) & (F.lower(text) != text)) | (F.length(text) <= 5), F.array(F.upper(text))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.array(text, camel, apart, F.regexp_replace(camel, r"(?U)[\s_\-./\\|]+", ""), title), F.flatten(F.transform(parts, written)), capitals)
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*GENERIC_TERMS)))
+
+
+def _both(text: Column) -> Column:
+    return F.array(text, F.regexp_replace(text, r"(?U)\s+", ""))
 
 
 def excerpt(text: Column, most: int) -> Column:

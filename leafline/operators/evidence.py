@@ -8,29 +8,39 @@ from pyspark.sql import functions as F
 from leafline.functions.text import match_key
 
 #: Weights of the evidence score.
-PAGE, SELECTED, TERM_BASE, TERM_EACH, TERM_LENGTH, TERM_MOST, FIELD_LIKE, FALLBACK = 15, 45, 24, 8, 8, 80, 22, 8
+PAGE, SELECTED, TERM_BASE, TERM_EACH, TERM_COUNT, TERM_MOST, FIELD_LIKE, FALLBACK = 15, 45, 24, 8, 8, 80, 22, 8
 MOST_SELECTED = 32
 
 
-def score(items: DataFrame, terms: DataFrame, pages: Column, selected: Column) -> DataFrame:
-    """Each item's integer score, with how many terms it holds.
+def score(items: DataFrame, terms: DataFrame, pages: Column | None = None, selected: Column | None = None, fallback: bool = False, terms_bytes: int = 1 << 20) -> DataFrame:
+    """Each item's integer score, with how many distinct terms it holds.
 
     ``items`` has ``id, page_no, excerpt, field_like, uncertainties`` and
-    ``terms`` a ``term`` column, of few rows. A page in range adds 15, selection
-    45, terms up to 80 in all, the look of a field 22; without any of these 8;
-    each uncertainty takes 3, 18 at most.
+    ``terms`` a ``term`` column. A page in range adds 15, selection 45, terms 24
+    and 8 for each of up to eight, 80 at most, the look of a field 22. With
+    ``fallback`` an item without any of these has 8 where no range is given. Each uncertainty
+    takes 3, 18 at most; nothing falls below 0. Where there is a selection,
+    items outside it have 0. Terms of more than ``terms_bytes`` together are
+    refused: they are a query's own and go to all tasks.
     """
     keyed = items.withColumn("_key", match_key(F.col("excerpt")))
     wanted = terms.select(match_key(F.col("term")).alias("t")).where(F.length("t") >= 2).distinct()
-    # terms are a query's own, so their list is small; one pass over the items finds them all
-    listed = wanted.agg(F.array_sort(F.collect_set("t")).alias("terms"))
-    held = keyed.crossJoin(F.broadcast(listed)).withColumn("hits", F.filter("terms", lambda t: F.contains(F.col("_key"), t)))
-    each = F.aggregate("hits", F.lit(0), lambda s, t: s + F.lit(TERM_BASE) + F.lit(TERM_EACH) * F.least(F.length(t), F.lit(TERM_LENGTH)))
-    in_page, chosen = pages.cast("int") * PAGE, selected.cast("int") * SELECTED
-    look = F.col("field_like").cast("int") * FIELD_LIKE
-    base = in_page + chosen + F.least(each, F.lit(TERM_MOST)) + look
-    total = F.when(base == 0, FALLBACK).otherwise(base) - F.least(F.lit(18), F.col("uncertainties") * 3)
-    return held.select("id", "page_no", F.size("hits").alias("hits"), total.cast("int").alias("score"))
+    if (wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > terms_bytes:
+        raise ValueError("the terms of one query are too many")
+    listed = F.array(*[F.lit(r["t"]) for r in wanted.orderBy("t").collect()]).cast("array<string>")
+    held = keyed.withColumn("hits", F.size(F.filter(listed, lambda t: F.contains(F.col("_key"), t))))
+    found = F.when(F.col("hits") > 0, F.least(F.lit(TERM_MOST), TERM_BASE + TERM_EACH * F.least(F.col("hits"), F.lit(TERM_COUNT)))).otherwise(0)
+    base = found + F.col("field_like").cast("int") * FIELD_LIKE
+    if pages is not None:
+        base = base + pages.cast("int") * PAGE
+    if selected is not None:
+        base = base + selected.cast("int") * SELECTED
+    if fallback and pages is None:
+        base = F.when(base == 0, FALLBACK).otherwise(base)
+    total = F.greatest(F.lit(0), base - F.least(F.lit(18), F.col("uncertainties") * 3))
+    if selected is not None:
+        total = F.when(selected, total).otherwise(0)
+    return held.select("id", "page_no", "hits", total.cast("int").alias("score"))
 
 
 def top(scored: DataFrame, most: int = MOST_SELECTED) -> DataFrame:

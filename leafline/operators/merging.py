@@ -77,19 +77,111 @@ def missing(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFram
     return expected.join(actual, keys, "left").fillna("")
 
 
+def compared(expected: DataFrame, actual: DataFrame, keys: list[str], expected_value: str, actual_value: str) -> DataFrame:
+    """Expected and actual values side by side, those that only one side has too, with ``state``: same, changed, missing or extra."""
+    met = expected.select(*keys, F.col(expected_value).alias("expected"), F.lit(True).alias("_e")).join(actual.select(*keys, F.col(actual_value).alias("actual"), F.lit(True).alias("_a")), keys, "full")
+    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("expected").eqNullSafe(F.col("actual")), "same").otherwise("changed")
+    return met.select(*keys, "expected", "actual", state.alias("state"))
+
+
+def absent(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """Expected keys that nothing has."""
+    return expected.join(actual, keys, "left_anti")
+
+
+#: How a header continues another.
+WIDTH_APART, HEADER_LIKE, LEAST_TABLES, LEAST_ROWS = 2, 0.45, 3, 3
+
+
+def detail_row(cells: Column) -> Column:
+    """Whether a row is numbered and has three cells or more with text."""
+    first = F.trim(F.coalesce(F.get(cells, F.lit(0)), F.lit("")))
+    return first.rlike(r"^[0-9]+(\.0+)?$") & (F.size(filled(cells)) >= 3)
+
+
+def filled(cells: Column) -> Column:
+    return F.filter(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+
+
+def header_keys(cells: Column) -> Column:
+    """Distinct headers in lower case, word signs and CJK alone."""
+    keys = F.transform(cells, lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-zA-Z_À-ɏ一-鿿]+", ""))
+    return F.array_distinct(F.filter(keys, lambda c: c != ""))
+
+
+def generic_headers(cells: Column) -> Column:
+    """Whether there are headers and all are a column's number."""
+    some = filled(cells)
+    return (F.size(some) > 0) & F.forall(some, lambda c: c.rlike("^列[0-9]+$"))
+
+
+def header_similarity(left: Column, right: Column) -> Column:
+    """Share of ``left``'s headers that ``right`` has, those that hold or are held by one of its others half."""
+    a, b = header_keys(left), header_keys(right)
+    exact = F.size(F.array_intersect(a, b))
+    held = F.size(F.filter(F.array_except(a, b), lambda x: F.exists(b, lambda y: F.contains(x, y) | F.contains(y, x))))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise((exact + held * 0.5) / F.greatest(F.size(a), F.lit(1)))
+
+
+def embedded_headers(rows: DataFrame) -> DataFrame:
+    """The first row of each table that heads numbered ones: ``doc_id, table_no, header_row`` (its index) and ``header_cells``.
+
+    It is among the first eight, has three cells or more with text of which
+    less than half are numbers and six in ten differ, and a detail row follows
+    within three.
+    """
+    head = rows.where("row_index < 11").withColumn("detail", detail_row(F.col("cells")))
+    next_ = Window.partitionBy("doc_id", "table_no").orderBy("row_index").rowsBetween(1, 3)
+    some = filled(F.col("cells"))
+    number = lambda c: F.regexp_replace(c, r"[,\s￥¥$%]", "").rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$")
+    keyed = F.filter(F.transform(some, lambda c: F.regexp_replace(F.lower(c), r"[^0-9a-zA-Z_À-ɏ一-鿿]+", "")), lambda c: c != "")
+    heads = (F.size(some) >= 3) & ~F.col("detail") & (F.size(F.filter(some, number)) * 2 < F.size(some)) & (F.size(F.array_distinct(keyed)) * 10 >= F.size(keyed) * 6) & (F.size(keyed) > 0)
+    found = head.withColumn("follows", F.max(F.col("detail").cast("int")).over(next_)).where(heads & (F.col("follows") == 1) & (F.col("row_index") < 8))
+    best = F.min(F.struct("row_index", "cells")).alias("b")
+    return found.groupBy("doc_id", "table_no").agg(best).select("doc_id", "table_no", F.col("b.row_index").alias("header_row"), F.col("b.cells").alias("header_cells"))
+
+
+def continuations(tables: DataFrame, rows: DataFrame) -> DataFrame:
+    """Whether each table of a document continues its first headed one.
+
+    ``tables`` has ``doc_id, table_no, headers`` (array), ``rows`` ``doc_id,
+    table_no, row_index`` (from 0) and ``cells``. The anchor is the first table
+    with a header row of its own or headers that are more than numbers. Tables
+    before it count as they are; of it and the later ones those whose width is
+    within two of the anchor's and whose headers are like its own, or that have
+    none and begin with numbered rows. Returns ``doc_id, table_no, header_row,
+    anchor_headers, included``; tables without rows are left out.
+    """
+    first = rows.groupBy("doc_id", "table_no").agg(F.max(F.size("cells")).alias("row_width"), F.max(F.when(F.col("row_index") < 5, detail_row(F.col("cells")).cast("int"))).alias("numbered"))
+    held = tables.join(first, ["doc_id", "table_no"]).join(embedded_headers(rows), ["doc_id", "table_no"], "left")
+    own = F.coalesce("header_cells", "headers", F.array().cast("array<string>"))
+    held = held.withColumn("own", F.transform(own, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    heads = F.col("header_row").isNotNull() | ((F.size("own") > 0) & ~generic_headers(F.col("own")))
+    anchor = held.where(heads).groupBy("doc_id").agg(F.min(F.struct("table_no", "own")).alias("a")).select("doc_id", F.col("a.table_no").alias("anchor_no"), F.col("a.own").alias("anchor_headers"))
+    met = held.join(anchor, "doc_id")
+    some, wide = filled(F.col("own")), F.size(filled(F.col("anchor_headers")))
+    width = F.greatest(F.size(some), "row_width")
+    near = (wide == 0) | (width == 0) | (F.abs(width - wide) <= WIDTH_APART)
+    named = (F.size(some) > 0) & ~generic_headers(some) & ~detail_row(some)
+    like = F.when(named, header_similarity(F.col("anchor_headers"), some) >= HEADER_LIKE).otherwise(F.col("numbered") == 1)
+    return met.select("doc_id", "table_no", "header_row", "anchor_headers", ((F.col("table_no") < F.col("anchor_no")) | (near & like)).alias("included"))
+
+
 def consolidated(tables: DataFrame, rows: DataFrame) -> DataFrame:
-    """Continuation tables joined to the first of their header and width.
+    """Detail rows of each document's continuing tables as one table, padded to one width.
 
-    ``tables`` has ``doc_id, table_no, header, width``; a table without header
-    takes the last one before it of the same width. Returns ``rows`` with the
-    table they end up in and their place in it.
+    Returns ``doc_id, place`` (from 0), ``table_no, row_index, cells`` for
+    documents of three tables or more that give three detail rows or more of
+    two columns or more.
     """
-    so_far = Window.partitionBy("doc_id", "width").orderBy("table_no").rowsBetween(Window.unboundedPreceding, 0)
-    owner = F.last(F.when(F.col("header").isNotNull(), F.col("table_no")), ignorenulls=True).over(so_far)
-    held = tables.withColumn("owner", F.coalesce(owner, F.col("table_no")))
-    placed = rows.join(held.select("doc_id", "table_no", "owner"), ["doc_id", "table_no"])
-    place = F.row_number().over(Window.partitionBy("doc_id", "owner").orderBy("table_no", "row_index")) - 1
-    return placed.withColumn("place", place)
+    enough = tables.groupBy("doc_id").agg(F.count("*").alias("t")).where(F.col("t") >= LEAST_TABLES).select("doc_id")
+    found = continuations(tables.join(enough, "doc_id", "left_semi"), rows).where("included")
+    held = rows.join(found, ["doc_id", "table_no"]).where((F.col("row_index") > F.coalesce("header_row", F.lit(-1))) & detail_row(F.col("cells")))
+    sizes = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.greatest(F.max(F.size("cells")), F.max(F.size("anchor_headers"))).alias("width"))
+    wide = held.join(sizes.where((F.col("n") >= LEAST_ROWS) & (F.col("width") > 1)), "doc_id")
+    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.trim(F.coalesce(F.get("cells", i), F.lit(""))))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("table_no", "row_index")) - 1
+    return wide.select("doc_id", place.cast("long").alias("place"), "table_no", "row_index", cells.alias("cells"))
 
 
 def column_votes(values: DataFrame, cells: DataFrame) -> DataFrame:

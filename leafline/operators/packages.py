@@ -24,12 +24,31 @@ def tree_text(nodes: DataFrame, preview: int = 60) -> DataFrame:
     return nodes.select("doc_id", "ord", line.alias("line"))
 
 
-def table_shapes(shapes: DataFrame) -> DataFrame:
-    """The evidence shape of each table: record from eight rows and three columns on, else kv_or_field up to eight, else mixed."""
-    rows, cols = F.col("row_count"), F.col("max_width")
-    shape = F.when((rows >= 8) & (cols >= 3), "record").when(cols <= 2, "kv_or_field").when(rows <= 8, "kv_or_field").otherwise("mixed")
-    stable = F.col("min_width") == F.col("max_width")
-    return shapes.select("table_id", shape.alias("shape"), ((rows <= 24) & (cols <= 8)).alias("field_like"), ((rows >= 8) & (cols >= 4) & stable).alias("record_like"))
+def table_shapes(rows: DataFrame, signals: DataFrame) -> DataFrame:
+    """The evidence shape of each table: complex, record, kv_or_field, mixed or table, and what it rests on.
+
+    ``rows`` is a grid, ``signals`` has ``table_id, complex``. A row is like a
+    field if a colon is in it or, in tables of up to 24 rows, if it has up to
+    four cells with text of which one has up to twelve signs; it is repeated if
+    four cells or more hold two values at most. ``record_like`` and
+    ``field_like`` are the stricter tests for lists of fields.
+    """
+    some = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != "")
+    colon = F.array_join(some, " ").rlike("[:：]")
+    short = F.size(some).between(1, 4) & F.exists(some, lambda c: F.length(c) <= 12)
+    marked = rows.select("table_id", F.size("cells").alias("cells"), F.size(some).alias("some"), colon.alias("colon"), short.alias("short"), ((F.size(some) >= 4) & (F.size(F.array_distinct(some)) <= 2)).alias("repeated"))
+    held = marked.groupBy("table_id").agg(
+        F.count("*").alias("row_count"), F.max("cells").alias("column_count"), F.sum("cells").alias("all_cells"), F.sum("some").alias("filled"), F.sum(F.col("repeated").cast("int")).alias("repeated_rows"),
+        F.sum(F.col("colon").cast("int")).alias("colons"), F.sum((F.col("colon") | F.col("short")).cast("int")).alias("either"),
+    )
+    held = held.join(signals.select("table_id", "complex"), "table_id", "left").fillna(False, ["complex"])
+    n, cols = F.col("row_count"), F.col("column_count")
+    fields = F.when(n <= 24, F.col("either")).otherwise(F.col("colons"))
+    large = (n >= 8) & (cols >= 3)
+    base = F.when(large & (F.col("repeated_rows") < F.greatest(F.lit(3), F.floor(n / 2))), "record_table").when(fields >= F.least(F.lit(3), F.greatest(n, F.lit(1))), "kv_or_field_table").otherwise("table")
+    shape = F.when(F.col("complex"), "complex_table").when(large & (fields > 0), "mixed_table").otherwise(base)
+    empty = F.floor((F.col("all_cells") - F.col("filled")) * 10_000 / F.col("all_cells")).cast("long")
+    return held.select("table_id", shape.alias("shape"), n.alias("row_count"), cols.alias("column_count"), fields.cast("long").alias("field_rows"), F.col("repeated_rows").cast("long").alias("repeated_rows"), empty.alias("empty_share"))
 
 
 def segments(rows: DataFrame, regions: DataFrame) -> DataFrame:

@@ -113,7 +113,8 @@ def validated(records: DataFrame, key: str, fields: list[Field]) -> DataFrame:
         if f.required:
             checks.append(F.when(absent, f"required:{f.key}"))
         if f.type == "number":
-            checks.append(F.when(~absent & value.try_cast("double").isNull(), f"type:{f.key}"))
+            # a truth value passes for a number
+            checks.append(F.when(~absent & value.try_cast("double").isNull() & ~F.lower(value).isin("true", "false"), f"type:{f.key}"))
         if f.type == "boolean":
             checks.append(F.when(~absent & ~F.lower(value).isin("true", "false"), f"type:{f.key}"))
         if f.values:

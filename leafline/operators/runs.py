@@ -53,8 +53,12 @@ def status_of(status: Column) -> Column:
     return F.when(some("running"), "running").when(some("failed"), "failed").when(some("needs_review"), "needs_review").when(whole, "completed").otherwise("pending")
 
 
-def status_rollup(runs: DataFrame, by: Sequence[str]) -> DataFrame:
-    return runs.groupBy(*by).agg(status_of(F.col("status")).alias("status"), F.count("*").alias("run_count"))
+def status_rollup(runs: DataFrame, by: Sequence[str], keys: Sequence[str] = REPOSITORY_KEY) -> DataFrame:
+    """The status of each group by its latest effective runs alone, and how many runs it has in all."""
+    newest = latest_effective(runs, [*dict.fromkeys([*by, *keys])], ("run_id", "status"))
+    status = newest.groupBy(*by).agg(status_of(F.col("status")).alias("status"))
+    counts = runs.groupBy(*by).agg(F.count("*").alias("run_count"))
+    return status.join(counts, list(by)).select(*by, "status", "run_count")
 
 
 def trace_rollup(traces: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -76,7 +80,7 @@ def trace_rollup(traces: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def refresh_tasks(runs: DataFrame) -> DataFrame:
-    """What a task shows of its runs: count, status, time and a short summary.
+    """What a task shows of its runs: count, status of the effective ones, time and a short summary.
 
     The summary is the latest summary text, else the latest page text, else the
     latest error, cut to 180 characters.
@@ -88,12 +92,12 @@ def refresh_tasks(runs: DataFrame) -> DataFrame:
     summary = F.col("run_type") == "summary"
     found = runs.groupBy("task_id").agg(
         F.count("*").alias("run_count"),
-        status_of(F.col("status")).alias("status"),
         F.max("updated_at").alias("updated_at"),
         newest(F.col("output_text"), summary).alias("a"),
         newest(F.col("output_text"), ~summary).alias("b"),
         newest(F.col("error_message"), F.lit(True)).alias("c"),
     )
+    found = found.join(status_rollup(runs, ("task_id",)).select("task_id", "status"), "task_id")
     return found.select("task_id", "run_count", "status", "updated_at", F.substring(F.coalesce("a", "b", "c", F.lit("")), 1, 180).alias("summary"))
 
 
@@ -113,8 +117,8 @@ def runtime_rollup(runs: DataFrame) -> DataFrame:
         F.sum((~summary & (F.col("status") == "failed")).cast("int")).cast("long").alias("failed_pages"),
         F.sum((~summary & (F.col("status") == "completed")).cast("int")).cast("long").alias("completed_pages"),
     )
-    pages = status_rollup(effective.where(~summary), ("task_id",)).select("task_id", F.col("status").alias("page_status"))
-    sums = status_rollup(effective.where(summary), ("task_id",)).select("task_id", F.col("status").alias("summary_status"))
+    pages = effective.where(~summary).groupBy("task_id").agg(status_of(F.col("status")).alias("page_status"))
+    sums = effective.where(summary).groupBy("task_id").agg(status_of(F.col("status")).alias("summary_status"))
     out = last.join(counts, "task_id").join(pages, "task_id", "left").join(sums, "task_id", "left")
     return out.select("task_id", "run_id", label.alias("label"), F.coalesce("page_status", F.lit("pending")).alias("page_status"), F.coalesce("summary_status", F.lit("pending")).alias("summary_status"), "failed_pages", "completed_pages")
 

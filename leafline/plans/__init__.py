@@ -1,3 +1,15 @@
 """Named queries over the driver's tables; importing this registers them."""
 
-from leafline.plans import document_queries, evidence_queries, merge_queries, package_queries, run_queries, table_queries, text_queries  # noqa: F401
+from leafline.plans import (  # noqa: F401
+    document_queries,
+    evidence_queries,
+    fact_queries,
+    merge_queries,
+    output_queries,
+    package_queries,
+    payload_queries,
+    run_queries,
+    table_queries,
+    text_queries,
+    tree_queries,
+)

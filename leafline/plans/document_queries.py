@@ -15,7 +15,7 @@ from leafline.sources import artifacts as A
 def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as content lists: flat for even ones, nested by page for odd ones."""
     c = table(spark, sf_dir, "conversations")
-    item = F.struct(F.lit("text").alias("type"), F.substring("text", 1, 30).alias("text"), F.when(F.col("role") == "user", 1).alias("text_level"), F.floor(F.col("turn") / 2).cast("int").alias("page_idx"))
+    item = F.struct(F.lit("text").alias("type"), F.col("text"), F.when(F.col("role") == "user", 1).alias("text_level"), F.floor(F.col("turn") / 2).cast("int").alias("page_idx"))
     rows = c.select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("int").alias("page"), item.alias("item"))
     flat = rows.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "item"))), lambda x: x["item"])).alias("content"))
     paged = rows.where("conv_id % 2 = 1").groupBy("conv_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "item"))), lambda x: x["item"]).alias("items"))
@@ -25,12 +25,11 @@ def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "content_list_blocks",
-    """SELECT conv_id AS doc_id, CAST(turn // 2 + 1 AS INT) AS page_no, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS ord, CASE WHEN role = 'user' THEN 'title' ELSE 'text' END AS kind, 1 AS level, substr(text, 1, 30) AS text, '' AS html
-      FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) = max(turn) + 1)""",
+    """SELECT conv_id AS doc_id, CAST(CASE WHEN conv_id % 2 = 0 THEN turn // 2 + 1 ELSE dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 2) END AS INT) AS page_no,
+      CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS ord, CASE WHEN role = 'user' THEN 'title' ELSE 'text' END AS kind, 1 AS level, text, '' AS html FROM conversations""",
 )
 def content_list_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last")).where("n = last + 1").select(F.col("conv_id").alias("doc_id"))
-    return A.content_blocks(content_lists(spark, sf_dir), "conv_id").join(whole, "doc_id", "left_semi")
+    return A.content_blocks(content_lists(spark, sf_dir), "conv_id")
 
 
 @register("artifact_rows", """SELECT c_custkey AS id, sha256(b) AS content_hash, CAST(strlen(b) AS BIGINT) AS size_bytes, 'customer/' || c_custkey || '.json' AS object_key, b AS body FROM (SELECT c_custkey, '{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS b FROM customer)""")
@@ -109,11 +108,23 @@ def header_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "table_risk",
-    f"""WITH {_TABLES}, s AS (SELECT *, coalesce(bool_or(header IS NOT NULL) OVER (PARTITION BY doc_id, width ORDER BY table_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM t)
-      SELECT doc_id, table_no, CASE WHEN header IS NULL AND NOT seen THEN 'critical' WHEN header IS NULL OR rows >= 24 THEN 'warning' ELSE 'none' END AS severity FROM s""",
+    f"""WITH {LINES}, t AS (SELECT table_id // 10 AS doc_id, table_id AS table_no, count(*) AS rows, any_value(flag) FILTER (row_index = 0) AS flag FROM lines GROUP BY 1, 2),
+      k AS (SELECT *, CASE WHEN table_no % 2 = 0 THEN 6 ELSE 5 END AS width FROM t), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, width ORDER BY table_no) > 1 AND flag <> 'R' AS again FROM k),
+      m AS (SELECT doc_id, table_no, concat_ws(',', CASE WHEN rows >= 5 THEN 'large_table' END, CASE WHEN table_no % 11 = 0 THEN 'matrix_table_shape' END, CASE WHEN rows % 4 = 0 THEN 'ragged_rows' END, CASE WHEN again THEN 'possible_continuation_without_header' END) AS marks FROM s)
+      SELECT doc_id, table_no, marks, CASE WHEN marks = '' THEN 'none' WHEN marks = 'large_table' THEN 'warning' ELSE 'critical' END AS severity FROM m""",
 )
 def table_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table_risks(document_tables(spark, sf_dir))
+    """An order's lines as a table: of half the tables in a document one width, of the others another; first rows of data unless returned."""
+    made = lines(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("rows"), F.max(F.when(F.col("row_index") == 0, F.struct("line", "part", "quantity", "price", "flag"))).alias("r"))
+    t = F.col("table_id")
+    width = F.when(t % 2 == 0, 6).otherwise(5)
+    data = F.array("r.line", "r.part", "r.quantity", "r.price")
+    first = F.when(F.col("r.flag") == "R", F.array(*map(F.lit, ("Line", "Part", "Quantity", "Price")))).otherwise(data)
+    tables = made.select(
+        F.floor(t / 10).alias("doc_id"), t.alias("table_no"), width.alias("width"), F.when(F.col("rows") % 4 == 0, width - 1).otherwise(width).alias("min_width"), width.alias("max_width"),
+        F.when(F.col("rows") >= 5, F.array(F.lit("large_table"))).otherwise(F.array().cast("array<string>")).alias("marks"), (t % 11 == 0).alias("matrix"), F.lit(False).alias("complex"), first.alias("first_row"),
+    )
+    return D.table_risks(tables)
 
 
 @register("fast_path_cache", f"WITH {_TABLES} SELECT table_no, rows >= 4 AND header IS NOT NULL AS fast, sha256(concat_ws(chr(1), 'skill', 'a,b', header, CAST(width AS VARCHAR))) AS cache_key FROM t")
@@ -162,26 +173,36 @@ def record_to_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOX = "({k} % 4) * 200 AS {p}x0, ({k} % 7) * 100 AS {p}y0, ({k} % 4) * 200 + 260 AS {p}x1, ({k} % 7) * 100 + 130 AS {p}y1"
 
 
-@register(
-    "block_match_iou",
-    f"""WITH i AS (SELECT p_size AS page_no, p_partkey AS item_id, p_name AS item_text, p_type AS item_kind, {_BOX.format(k="p_partkey", p="i")} FROM part WHERE p_partkey % 2 = 0),
-      b AS (SELECT p_size AS page_no, p_partkey AS block_id, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS block_text, p_type AS block_kind, {_BOX.format(k="p_partkey", p="b")} FROM part WHERE p_partkey % 5 < 3),
+_MATCH = f"""i AS (SELECT p_partkey // 40 AS page_no, p_partkey AS item_id, p_name AS item_text, p_type AS item_kind, {_BOX.format(k="p_partkey", p="i")} FROM part),
+      b AS (SELECT p_partkey // 40 AS page_no, p_partkey AS block_id, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS block_text, p_type AS block_kind, {_BOX.format(k="(p_partkey + 3)", p="b")} FROM part),
       m AS (SELECT *, list_distinct(string_split(lower(item_text), ' ')) AS u, list_distinct(string_split(lower(block_text), ' ')) AS v, greatest(0, least(ix1, bx1) - greatest(ix0, bx0)) * greatest(0, least(iy1, by1) - greatest(iy0, by0)) AS sh FROM i JOIN b USING (page_no)),
-      s AS (SELECT page_no, item_id, block_id, CASE WHEN item_kind = block_kind THEN 100 ELSE 0 END + CASE WHEN item_text = block_text THEN 120 WHEN contains(item_text, block_text) OR contains(block_text, item_text) THEN 80 ELSE len(list_intersect(u, v)) * 60 // len(list_distinct(list_concat(u, v))) END
-        + sh * 40 // ((ix1 - ix0) * (iy1 - iy0) + (bx1 - bx0) * (by1 - by0) - sh) AS score FROM m)
-      SELECT page_no, item_id, block_id, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY page_no, item_id ORDER BY score DESC, block_id) = 1""",
-)
-def block_match_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+      s AS (SELECT page_no, item_id, block_id, CASE WHEN item_kind = block_kind THEN 100 ELSE 0 END + CASE WHEN item_text = block_text THEN 120 WHEN contains(item_text, block_text) OR contains(block_text, item_text) THEN 80 ELSE len(list_intersect(u, v)) * 60 // greatest(len(u), len(v)) END
+        + sh * 40 // ((ix1 - ix0) * (iy1 - iy0) + (bx1 - bx0) * (by1 - by0) - sh) AS score FROM m)"""
+
+
+def placed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as items and as blocks, forty a page, each in its box."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
 
-    def box(name: str) -> list:
+    def box(name: str, k) -> list:
         x, y = (k % 4) * 200, (k % 7) * 100
         return [x.alias(f"{name}x0"), y.alias(f"{name}y0"), (x + 260).alias(f"{name}x1"), (y + 130).alias(f"{name}y1")]
 
-    items = p.where("p_partkey % 2 = 0").select(F.col("p_size").alias("page_no"), k.alias("item_id"), F.col("p_name").alias("item_text"), F.col("p_type").alias("item_kind"), *box("i"))
+    page = F.floor(k / 40).alias("page_no")
+    items = p.select(page, k.cast("long").alias("item_id"), F.col("p_name").alias("item_text"), F.col("p_type").alias("item_kind"), *box("i", k))
     text = F.when(k % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name"))
-    blocks = p.where("p_partkey % 5 < 3").select(F.col("p_size").alias("page_no"), k.alias("block_id"), text.alias("block_text"), F.col("p_type").alias("block_kind"), *box("b"))
-    return D.block_scores(items, blocks)
+    return items, p.select(page, k.cast("long").alias("block_id"), text.alias("block_text"), F.col("p_type").alias("block_kind"), *box("b", k + 3))
+
+
+@register("block_match_iou", f"WITH {_MATCH} SELECT page_no, item_id, block_id, CAST(score AS BIGINT) AS score FROM s")
+def block_match_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.block_scores(*placed_parts(spark, sf_dir)).drop("overlap")
+
+
+@register("block_match_assigned")
+def block_match_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with a block of its own; taking in order is not for SQL, a test compares with a plain loop."""
+    return D.assigned_blocks(D.block_scores(*placed_parts(spark, sf_dir)))
 
 
 @register("controlled_udf", "SELECT p_partkey, len(string_split(p_name, ' ')) AS result FROM part")
@@ -191,12 +212,12 @@ def controlled_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "result_evidence_match",
-    """WITH v AS (SELECT item_id AS value_id, substr(text, 1, 24) AS value FROM benchmark), b AS (SELECT doc_id AS block_id, doc_id // 10 AS page_no, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END AS kind, text FROM documents),
-      m AS (SELECT value_id, block_id, page_no, least(length(value), 12) + CASE WHEN kind = 'table' THEN 2 ELSE 0 END AS score FROM v JOIN b ON contains(lower(text), lower(value)) AND list_contains(regexp_split_to_array(lower(text), '[^0-9A-Za-zÀ-ÿ]+'), list_filter(regexp_split_to_array(lower(value), '[^0-9A-Za-zÀ-ÿ]+'), lambda w: w <> '')[1]))
-      SELECT value_id, CAST(row_number() OVER (PARTITION BY value_id ORDER BY score DESC, page_no, block_id) AS INT) AS place, block_id, score FROM m QUALIFY place <= 2""",
+    """WITH v AS (SELECT item_id AS value_id, text AS value FROM benchmark), b AS (SELECT doc_id AS block_id, doc_id // 10 AS page_no, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END AS kind, lower(text) AS text FROM documents),
+      m AS (SELECT value_id, block_id, page_no, least(length(value), 12) + CASE WHEN kind = 'table' THEN 2 ELSE 0 END AS score FROM v JOIN b ON contains(b.text, lower(value))), f AS (SELECT * FROM m QUALIFY page_no = min(page_no) OVER (PARTITION BY value_id))
+      SELECT value_id, CAST(row_number() OVER (PARTITION BY value_id ORDER BY score DESC, block_id) AS INT) AS place, block_id, score FROM f QUALIFY place <= 2""",
 )
 def result_evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("value_id"), F.substring("text", 1, 24).alias("value"))
+    values = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("value_id"), F.col("text").alias("value"))
     d = F.col("doc_id")
     blocks = table(spark, sf_dir, "documents").select(d.alias("block_id"), F.floor(d / 10).alias("page_no"), F.when(d % 3 == 0, "table").otherwise("text").alias("kind"), "text")
     return D.matched_blocks(values, blocks)

@@ -20,15 +20,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SCORED = f"""{ITEMS}, terms AS (SELECT DISTINCT regexp_replace(lower(split_part(text, ' ', 1)), '[^0-9a-zA-Z]+', '', 'g') AS t FROM benchmark WHERE item_id < 20),
-  hit AS (SELECT id, count(t) AS hits, coalesce(sum(CASE WHEN t IS NOT NULL THEN 24 + 8 * least(length(t), 8) END), 0) AS each FROM items LEFT JOIN terms ON length(t) >= 2 AND contains(regexp_replace(lower(excerpt), '[^0-9a-zA-Z]+', '', 'g'), t) GROUP BY id),
-  base AS (SELECT i.*, hits, CASE WHEN page_no BETWEEN 3 AND 40 THEN 15 ELSE 0 END + CASE WHEN id % 17 = 0 THEN 45 ELSE 0 END + least(each, 80) + CASE WHEN field_like THEN 22 ELSE 0 END AS b FROM items i JOIN hit USING (id)),
-  scored AS (SELECT id, page_no, CAST(hits AS INT) AS hits, CAST(CASE WHEN b = 0 THEN 8 ELSE b END - least(18, uncertainties * 3) AS INT) AS score FROM base)"""
+SCORED = f"""{ITEMS}, terms AS (SELECT DISTINCT regexp_replace(lower(split_part(text, ' ', 1)), '[^0-9a-zA-Z]+', '', 'g') AS t FROM benchmark),
+  hit AS (SELECT id, count(t) AS hits FROM items LEFT JOIN terms ON length(t) >= 2 AND contains(regexp_replace(lower(excerpt), '[^0-9a-zA-Z]+', '', 'g'), t) GROUP BY id),
+  base AS (SELECT i.*, hits, CASE WHEN hits > 0 THEN least(80, 24 + 8 * least(hits, 8)) ELSE 0 END + CASE WHEN field_like THEN 22 ELSE 0 END AS b FROM items i JOIN hit USING (id)),
+  scored AS (SELECT id, page_no, CAST(hits AS INT) AS hits, CAST(greatest(0, CASE WHEN b = 0 THEN 8 ELSE b END - least(18, uncertainties * 3)) AS INT) AS score FROM base)"""
+
+
+def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("term"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("term"))
-    return E.score(items(spark, sf_dir), terms, F.col("page_no").between(3, 40), F.col("id") % 17 == 0)
+    return E.score(items(spark, sf_dir), benchmark_terms(spark, sf_dir), fallback=True)
+
+
+@register(
+    "evidence_score_selected",
+    f"""WITH {SCORED} SELECT id, page_no, CAST(hits AS INT) AS hits, CAST(CASE WHEN id % 17 = 0 THEN greatest(0, b + 45 + CASE WHEN page_no BETWEEN 3 AND 40 THEN 15 ELSE 0 END - least(18, uncertainties * 3)) ELSE 0 END AS INT) AS score FROM base""",
+)
+def evidence_score_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores where some items were selected: the others have none."""
+    return E.score(items(spark, sf_dir), benchmark_terms(spark, sf_dir), F.col("page_no").between(3, 40), F.col("id") % 17 == 0)
 
 
 @register("evidence_score", f"WITH {SCORED} SELECT * FROM scored")

@@ -12,13 +12,13 @@ from leafline.plans.adapters import LINES, RUNS, lines, runs
 from leafline.registry import register
 from leafline.session import table
 
-CHAT = "chat AS (SELECT conv_id AS group_id, turn AS ord, CASE WHEN length(text) % 5 = 0 THEN 'skip' WHEN length(text) % 3 = 0 THEN 'merge_prev' ELSE 'keep' END AS decision, substr(text, 1, 20) AS text FROM conversations)"
+CHAT = "chat AS (SELECT conv_id AS group_id, turn AS ord, CASE WHEN length(text) % 5 = 0 THEN 'skip' WHEN length(text) % 3 = 0 THEN 'merge_prev' ELSE 'keep' END AS decision, text FROM conversations)"
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     decision = F.when(n % 5 == 0, "skip").when(n % 3 == 0, "merge_prev").otherwise("keep")
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("ord"), decision.alias("decision"), F.substring("text", 1, 20).alias("text"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("ord"), decision.alias("decision"), "text")
 
 
 @register(
@@ -38,9 +38,9 @@ def scalar_first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.first_filled(rows, "conv_id", ["turn"], ["role", "text"])
 
 
-@register("chunk_row_dedupe", "SELECT conv_id AS group_id, 'a' || (turn % 3) AS anchor, turn AS row_index, min(substr(text, 1, 10)) AS text FROM conversations GROUP BY ALL")
+@register("chunk_row_dedupe", "SELECT conv_id AS group_id, 'a' || (turn % 3) AS anchor, turn AS row_index, min(text) AS text FROM conversations GROUP BY ALL")
 def chunk_row_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.concat(F.lit("a"), (F.col("turn") % 3).cast("string")).alias("anchor"), F.col("turn").alias("row_index"), F.substring("text", 1, 10).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.concat(F.lit("a"), (F.col("turn") % 3).cast("string")).alias("anchor"), F.col("turn").alias("row_index"), "text")
     copies = rows.withColumn("chunk", F.explode(F.array(F.lit(1), F.lit(2))))
     return M.chunk_rows(copies)
 
@@ -86,21 +86,48 @@ def missing_fields_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.missing(expected, actual, ["c_custkey"])
 
 
-@register("missing_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register(
+    "fields_compared",
+    """WITH e AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0)
+      SELECT coalesce(e.k, a.k) AS field_key, e.v AS expected, a.v AS actual, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'extra' WHEN e.v = a.v THEN 'same' ELSE 'changed' END AS state FROM e FULL JOIN a ON e.k = a.k""",
+)
+def fields_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("field_key"), F.col("c_mktsegment").alias("v"))
+    other = c.where("field_key % 5 <> 0").withColumn("v", F.when(F.col("field_key") % 4 == 0, "other").otherwise(F.col("v")))
+    return M.compared(c.where("field_key % 3 <> 0"), other, ["field_key"], "v", "v")
+
+
+@register("missing_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < DATE '1994-01-01')")
 def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers none of whose orders was finished early."""
+    found = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderdate < date '1994-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return M.absent(table(spark, sf_dir, "customer").select("c_custkey"), found, ["c_custkey"])
+
+
+def split_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order's lines over tables of two rows: headed, numbered columns only, headed alike, headed otherwise, and again."""
+    rows = lines(spark, sf_dir).select(F.col("table_id").alias("doc_id"), F.floor(F.col("row_index") / 2).alias("table_no"), (F.col("row_index") % 2).alias("row_index"), F.array("line", "part", "quantity", "price").alias("cells"))
+    kind = F.col("table_no") % 4
+    headers = [F.array(*map(F.lit, names)) for names in (("Line", "Part", "Quantity", "Price"), ("列1", "列2", "列3", "列4"), ("Line no", "Part", "Qty", "Price"), ("Name", "Address", "City", "Phone"))]
+    named = F.when(kind == 0, headers[0]).when(kind == 1, headers[1]).when(kind == 2, headers[2]).otherwise(headers[3])
+    return rows.select("doc_id", "table_no").distinct().withColumn("headers", named), rows
 
 
 @register(
     "continuation_consolidate",
-    f"""WITH {LINES}, p AS (SELECT table_id AS doc_id, row_index // 2 AS table_no, row_index, part, CASE WHEN row_index // 2 < 2 THEN 'Part' END AS header FROM lines),
-      t AS (SELECT DISTINCT doc_id, table_no, header FROM p), o AS (SELECT doc_id, table_no, coalesce(last_value(CASE WHEN header IS NOT NULL THEN table_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY table_no), table_no) AS owner FROM t)
-      SELECT doc_id, owner, row_number() OVER (PARTITION BY doc_id, owner ORDER BY table_no, row_index) - 1 AS place, part FROM p JOIN o USING (doc_id, table_no)""",
+    f"""WITH {LINES}, r AS (SELECT table_id AS doc_id, row_index // 2 AS table_no, row_index % 2 AS row_index, concat_ws('|', line, part, quantity, price) AS cells FROM lines),
+      k AS (SELECT doc_id FROM r GROUP BY 1 HAVING count(DISTINCT table_no) >= 3), m AS (SELECT * FROM r SEMI JOIN k USING (doc_id) WHERE table_no % 4 <> 3)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY table_no, row_index) - 1 AS place, table_no, row_index, cells FROM m QUALIFY count(*) OVER (PARTITION BY doc_id) >= 3""",
 )
 def continuation_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).select(F.col("table_id").alias("doc_id"), F.floor(F.col("row_index") / 2).alias("table_no"), "row_index", "part")
-    tables = rows.select("doc_id", "table_no", F.when(F.col("table_no") < 2, "Part").alias("header"), F.lit(1).alias("width")).distinct()
-    return M.consolidated(tables, rows).select("doc_id", "owner", "place", "part")
+    tables, rows = split_tables(spark, sf_dir)
+    return M.consolidated(tables, rows).withColumn("cells", F.array_join("cells", "|"))
+
+
+@register("continuation_skipped", f"WITH {LINES} SELECT DISTINCT table_id AS doc_id, row_index // 2 AS table_no FROM lines WHERE (row_index // 2) % 4 = 3")
+def continuation_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose headers are too unlike the first one's."""
+    return M.continuations(*split_tables(spark, sf_dir)).where("not included").select("doc_id", "table_no")
 
 
 @register(
@@ -150,24 +177,25 @@ def kv_text_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.line_pairs(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text", {"status": (), "total": ("amount due",), "buyer": ("customer",)})
 
 
-HEADINGS = """head AS (SELECT 1 AS doc_id, CAST(r_regionkey AS BIGINT) * 100000 AS ord, 'r' || r_regionkey AS node_id, CAST(r_regionkey + 1 AS VARCHAR) || ' ' || r_name AS title, 1 AS level, NULL AS up FROM region
-  UNION ALL SELECT 1, CAST(n_regionkey AS BIGINT) * 100000 + (n_nationkey + 1) * 1000, 'n' || n_nationkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || ' ' || n_name, 2, 'r' || n_regionkey FROM nation
-  UNION ALL SELECT 1, CAST(n_regionkey AS BIGINT) * 100000 + (n_nationkey + 1) * 1000 + s_suppkey % 900 + 1, 's' || s_suppkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || s_suppkey || ' ' || s_name, 3, 'n' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 900)"""
+#: A document a region; its number, then its nations' and suppliers', in order.
+HEADINGS = """head AS (SELECT r_regionkey AS doc_id, CAST(0 AS BIGINT) AS ord, 'r' || r_regionkey AS node_id, CAST(r_regionkey + 1 AS VARCHAR) || ' ' || r_name AS title, 1 AS level, NULL AS up FROM region
+  UNION ALL SELECT n_regionkey, CAST(n_nationkey + 1 AS BIGINT) * 1000000000000, 'n' || n_nationkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || ' ' || n_name, 2, 'r' || n_regionkey FROM nation
+  UNION ALL SELECT n_regionkey, CAST(n_nationkey + 1 AS BIGINT) * 1000000000000 + s_suppkey + 1, 's' || s_suppkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || s_suppkey || ' ' || s_name, 3, 'n' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and suppliers as one document's numbered headings."""
+    """Each region as a document with its nations and suppliers as numbered headings."""
     region, nation, supplier = (table(spark, sf_dir, x) for x in ("region", "nation", "supplier"))
 
     def number(*parts):
         return F.concat_ws(".", *[p.cast("string") for p in parts])
 
-    base = F.col("n_regionkey").cast("long") * 100_000 + (F.col("n_nationkey") + 1) * 1000
-    r = region.select((F.col("r_regionkey").cast("long") * 100_000).alias("ord"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node_id"), F.concat(number(F.col("r_regionkey") + 1), F.lit(" "), "r_name").alias("title"))
-    n = nation.select(base.alias("ord"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"), F.concat(number(F.col("n_regionkey") + 1, F.col("n_nationkey") + 1), F.lit(" "), "n_name").alias("title"))
-    s = supplier.where("s_suppkey < 900").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    s = s.select((base + F.col("s_suppkey") % 900 + 1).alias("ord"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"), F.concat(number(F.col("n_regionkey") + 1, F.col("n_nationkey") + 1, F.col("s_suppkey")), F.lit(" "), "s_name").alias("title"))
-    return r.unionByName(n).unionByName(s).withColumn("doc_id", F.lit(1))
+    base = (F.col("n_nationkey") + 1).cast("long") * 1_000_000_000_000
+    r = region.select(F.col("r_regionkey").alias("doc_id"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node_id"), F.concat(number(F.col("r_regionkey") + 1), F.lit(" "), "r_name").alias("title"))
+    n = nation.select(F.col("n_regionkey").alias("doc_id"), base.alias("ord"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"), F.concat(number(F.col("n_regionkey") + 1, F.col("n_nationkey") + 1), F.lit(" "), "n_name").alias("title"))
+    s = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    s = s.select(F.col("n_regionkey").alias("doc_id"), (base + F.col("s_suppkey") + 1).alias("ord"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"), F.concat(number(F.col("n_regionkey") + 1, F.col("n_nationkey") + 1, F.col("s_suppkey")), F.lit(" "), "s_name").alias("title"))
+    return r.unionByName(n).unionByName(s)
 
 
 @register("heading_levels", f"WITH {HEADINGS} SELECT node_id, level FROM head")
@@ -182,22 +210,22 @@ def tree_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "tree_modules",
-    f"""WITH {HEADINGS}, p AS (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM head),
-      m AS (SELECT a.node_id, count(*) AS members FROM p a JOIN p b ON b.ord >= a.ord AND NOT EXISTS (SELECT 1 FROM p c WHERE c.ord > a.ord AND c.ord <= b.ord AND c.level <= a.level) GROUP BY 1)
-      SELECT printf('module_%03d', place) AS module_id, node_id, level, members FROM p JOIN m USING (node_id)""",
+    f"""WITH {HEADINGS}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM head),
+      e AS (SELECT *, coalesce(CASE level WHEN 1 THEN n + 1 WHEN 2 THEN min(CASE WHEN level <= 2 THEN place END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) ELSE place + 1 END, n + 1) AS over_ FROM p)
+      SELECT doc_id, printf('module_%03d', place) AS module_id, node_id, level, over_ - place AS members FROM e""",
 )
 def tree_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.modules(T.heading_levels(headings(spark, sf_dir))).select("module_id", "node_id", "level", "members")
+    return T.modules(T.heading_levels(headings(spark, sf_dir))).select("doc_id", "module_id", "node_id", "level", "members")
 
 
 @register(
     "tree_scope",
     f"""WITH {HEADINGS} SELECT 'n' || n_nationkey AS anchor_id, node_id, CASE WHEN node_id = 'n' || n_nationkey THEN 'anchor' ELSE 'descendant' END AS reason
-      FROM nation JOIN head ON (node_id = 'n' || n_nationkey OR up = 'n' || n_nationkey) WHERE n_nationkey % 4 = 0""",
+      FROM nation JOIN head ON (node_id = 'n' || n_nationkey OR up = 'n' || n_nationkey)""",
 )
 def tree_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = T.heading_levels(headings(spark, sf_dir))
-    chosen = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 0").select(F.lit(1).alias("doc_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"))
+    chosen = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"))
     return T.scope(held, chosen).select("anchor_id", "node_id", "reason")
 
 

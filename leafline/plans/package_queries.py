@@ -23,9 +23,25 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.as_markdown(T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir)))), 3)
 
 
-@register("table_shape_v2", f"WITH {LINES}, n AS (SELECT table_id, count(*) + 1 AS n FROM lines GROUP BY 1) SELECT table_id, CASE WHEN n >= 8 THEN 'record' ELSE 'kv_or_field' END AS shape, n <= 24 AS field_like, n >= 8 AS record_like FROM n")
+@register(
+    "table_shape_v2",
+    f"""WITH {LINES}, n AS (SELECT table_id, count(*) + 1 AS n, table_id % 9 = 0 AS complex FROM lines GROUP BY 1)
+      SELECT table_id, CASE WHEN complex THEN 'complex_table' WHEN n >= 8 THEN 'record_table' ELSE 'table' END AS shape, n AS row_count, 6 AS column_count, CAST(0 AS BIGINT) AS field_rows, CAST(0 AS BIGINT) AS repeated_rows, CAST(0 AS BIGINT) AS empty_share FROM n""",
+)
 def table_shape_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.table_shapes(T.shape(T.grid(line_tables(spark, sf_dir))))
+    made = line_tables(spark, sf_dir)
+    return P.table_shapes(T.grid(made), made.select("table_id", (F.col("table_id") % 9 == 0).alias("complex")))
+
+
+@register(
+    "table_shape_fields",
+    f"""WITH {LINES}, n AS (SELECT table_id, count(*) AS n, count(*) FILTER (flag = 'R') AS r FROM lines GROUP BY 1)
+      SELECT table_id, CASE WHEN n >= 8 THEN 'mixed_table' ELSE 'kv_or_field_table' END AS shape, n AS row_count, 3 AS column_count, n AS field_rows, CAST(0 AS BIGINT) AS repeated_rows, CAST(r * 10000 // (3 * n) AS BIGINT) AS empty_share FROM n""",
+)
+def table_shape_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three cells as fields: a label with a colon, a value, and a flag that is blank where returned."""
+    rows = lines(spark, sf_dir).select("table_id", (F.col("row_index") + 1).cast("int").alias("row_index"), F.array(F.concat("line", F.lit(":")), "price", F.when(F.col("flag") == "R", "").otherwise(F.col("flag"))).alias("cells"))
+    return P.table_shapes(rows, rows.select("table_id", F.lit(False).alias("complex")).distinct())
 
 
 @register(
@@ -37,18 +53,18 @@ def table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.segments(rows, T.record_regions(rows))
 
 
-@register("tree_text", f"WITH {HEADINGS} SELECT ord, repeat('    ', level - 1) || substr(title, 1, 12) AS line FROM head")
+@register("tree_text", f"WITH {HEADINGS} SELECT doc_id, ord, repeat('    ', level - 1) || substr(title, 1, 12) AS line FROM head")
 def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.tree_text(tree.heading_levels(headings(spark, sf_dir)), 12).select("ord", "line")
+    return P.tree_text(tree.heading_levels(headings(spark, sf_dir)), 12)
 
 
-@register("tree_dispatch", f"WITH {HEADINGS}, p AS (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM head) SELECT printf('module_%03d', place) AS module_id, 'step_' || printf('module_%03d', place) AS step_id, CASE WHEN EXISTS (SELECT 1 FROM head c WHERE c.up = p.node_id) THEN 60 ELSE 90 END AS confidence FROM p WHERE NOT (level = 1 AND place % 2 = 1)")
+@register("tree_dispatch", f"WITH {HEADINGS}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place FROM head) SELECT doc_id, printf('module_%03d', place) AS module_id, 'step_' || printf('module_%03d', place) AS step_id, CASE WHEN p.node_id IN (SELECT up FROM head WHERE up IS NOT NULL) THEN 60 ELSE 90 END AS confidence FROM p WHERE NOT (level = 1 AND place % 2 = 1)")
 def tree_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     held = tree.heading_levels(headings(spark, sf_dir))
     pages = held.select("doc_id", "node_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) % 2 + 1).alias("page_count"))
-    return tree.dispatch(tree.modules(held), pages).select("module_id", "step_id", "confidence")
+    return tree.dispatch(tree.modules(held), pages).select("doc_id", "module_id", "step_id", "confidence")
 
 
 @register(

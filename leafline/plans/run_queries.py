@@ -39,7 +39,11 @@ def runs_latest_object_operations(spark: SparkSession, sf_dir: str) -> DataFrame
 STATUS_SQL = "CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'needs_review') THEN 'needs_review' WHEN bool_and(status = 'completed') THEN 'completed' ELSE 'pending' END"
 
 
-@register("runs_status_rollup", f"WITH {RUNS} SELECT task_id, run_type, {STATUS_SQL} AS status, count(*) AS run_count FROM runs GROUP BY ALL")
+#: A run counts towards a status while no newer one has its scope.
+EFFECTIVE = "eff AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY task_id, run_type, start_page, end_page, run_purpose, template_id, prompt_name ORDER BY updated_at DESC, run_id DESC) = 1)"
+
+
+@register("runs_status_rollup", f"WITH {RUNS}, {EFFECTIVE}, n AS (SELECT task_id, run_type, count(*) AS run_count FROM runs GROUP BY ALL) SELECT task_id, run_type, {STATUS_SQL} AS status, any_value(run_count) AS run_count FROM eff JOIN n USING (task_id, run_type) GROUP BY ALL")
 def runs_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.status_rollup(runs(spark, sf_dir), ("task_id", "run_type"))
 
@@ -56,11 +60,11 @@ def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "runs_task_refresh",
-    f"""WITH {RUNS}, s AS (SELECT task_id, count(*) AS run_count, {STATUS_SQL} AS status, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at,
+    f"""WITH {RUNS}, {EFFECTIVE}, e AS (SELECT task_id, {STATUS_SQL} AS status FROM eff GROUP BY 1), s AS (SELECT task_id, count(*) AS run_count, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at,
       arg_max(output_text, row(updated_at, run_id)) FILTER (run_type = 'summary' AND length(output_text) > 0) AS a,
       arg_max(output_text, row(updated_at, run_id)) FILTER (run_type <> 'summary' AND length(output_text) > 0) AS b,
       arg_max(error_message, row(updated_at, run_id)) FILTER (length(error_message) > 0) AS c FROM runs GROUP BY task_id)
-    SELECT task_id, run_count, status, updated_at, substr(coalesce(a, b, c, ''), 1, 180) AS summary FROM s""",
+    SELECT task_id, run_count, status, updated_at, substr(coalesce(a, b, c, ''), 1, 180) AS summary FROM s JOIN e USING (task_id)""",
 )
 def runs_task_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refresh_tasks(runs(spark, sf_dir)).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))

@@ -41,8 +41,26 @@ def test_numbers_and_codes(spark, cell, wanted):
 
 
 def test_variants(spark):
-    assert one(spark, X.variants(F.col("v")), v="unitQty") == ["unitQty", "unit qty", "unitqty", "Unit Qty", "unit quantity"]
+    assert one(spark, X.variants(F.col("v")), v="unitQty") == ["unitQty", "unit Qty", "Unit Qty", "unit quantity", "unitquantity"]
     assert one(spark, X.variants(F.col("v")), v="id") == ["id", "Id", "identifier", "ID"]
+    assert one(spark, X.variants(F.col("v")), v="Ｎo_items") == ["No_items", "No items", "Noitems", "No Items", "number items", "numberitems", "num items", "numitems"]
+    assert one(spark, X.variants(F.col("v")), v="数据") == []
+
+
+def test_useful_terms(spark):
+    found = spark.createDataFrame([(["ab", "abc", "数据", "中文", "a-b", "abc", " 结果 ", "中", ""],)], "v array<string>")
+    assert found.select(X.useful_terms(F.col("v")).alias("x")).first()["x"] == ["abc", "中文"]
+
+
+def test_structure_tokens(spark):
+    assert one(spark, X.structure_tokens(F.col("v")), v="abcd, ef|（gh）") == ["abcd", "ab", "bc", "cd", "ef", "gh"]
+    long = one(spark, X.structure_tokens(F.col("v")), v="".join(chr(97 + i) for i in range(26)))
+    assert len(long) == 18 and long[0] == "ab" and long[-1] == "rs"
+
+
+@pytest.mark.parametrize(("kind", "title", "wanted"), [("Header", "", True), ("text", "page-number 3", True), ("text", "页脚", True), ("text", "Body", False)])
+def test_layout_marks(spark, kind, title, wanted):
+    assert one(spark, X.layout_mark(F.col("k"), F.col("t")), k=kind, t=title) is wanted
 
 
 def grid(spark, *markup):
@@ -66,6 +84,16 @@ def test_spans_and_ragged_rows(spark):
     assert cells(rows, 2) == []
 
 
+def test_unclosed_and_nested_cells(spark):
+    rows = grid(
+        spark,
+        "<table><tr><td>1<td>2</td></tr></table>",
+        "<table><tr><td>o<table><tr><td>i</td></tr></table></td></tr></table>",
+        "<table><tr><td>a&#233;&eacute;&nbsp;b&hellip;</td><td title='x>y'>c<!-- <td>no</td> --></td></tr><tr><td>lost</table>",
+    )
+    assert [cells(rows, i) for i in range(3)] == [[["2"]], [["i"]], [["aéé b…", "c"]]]
+
+
 def test_colspan_overrides_what_spans_down(spark):
     rows = grid(spark, "<table><tr><td>a</td><td rowspan=3>b</td></tr><tr><td colspan=2>c</td></tr><tr><td>d</td><td>e</td></tr></table>")
     assert cells(rows) == [["a", "b"], ["c", "c"], ["d", "e"]]
@@ -79,7 +107,7 @@ def test_header_of_two_levels(spark):
     )
     view = tables.record_view(tables.record_regions(rows)).first()
     assert view["records"] == [["A1", "10", "20", "x"], ["A2", "11", "21", "y"]]
-    assert view["headers"][1] in ("Sizes / Small", "Small")
+    assert view["headers"] == ["Name", "Small", "Large", "Note"]  # the row with a spanning cell scores eight less
 
 
 def test_no_records_in_prose(spark):
@@ -102,9 +130,11 @@ def test_tree(spark):
 
 def test_status_precedence(spark):
     cases = {"r": ["failed", "running"], "f": ["failed", "needs_review"], "n": ["completed", "needs_review"], "c": ["completed"], "p": ["completed", "pending"]}
-    frame = spark.createDataFrame([(k, s) for k, v in cases.items() for s in v], "g string, status string")
-    found = {r["g"]: r["status"] for r in runs.status_rollup(frame, ("g",)).collect()}
-    assert found == {"r": "running", "f": "failed", "n": "needs_review", "c": "completed", "p": "pending"}
+    rows = [(k, i, s, i, 1) for k, v in cases.items() for i, s in enumerate(v)]
+    rows += [("c", 90, "failed", 7, 1), ("c", 91, "completed", 7, 2), ("s", 92, "completed", 7, 1), ("s", 93, "failed", 7, 2)]
+    frame = spark.createDataFrame(rows, "g string, run_id long, status string, start_page long, updated_at long")
+    found = {r["g"]: (r["status"], r["run_count"]) for r in runs.status_rollup(frame, ("g",), ("start_page",)).collect()}
+    assert found == {"r": ("running", 2), "f": ("failed", 2), "n": ("needs_review", 2), "c": ("completed", 3), "p": ("pending", 2), "s": ("failed", 2)}
 
 
 def test_rules(spark):
@@ -139,3 +169,48 @@ def test_snapshots(spark, tmp_path):
 def test_only_registered_functions(spark):
     with pytest.raises(KeyError):
         documents.controlled(spark.createDataFrame([("a",)], "t string"), "os.system", "t")
+
+
+def brute_assignment(scores):
+    """Each item in order, the best block left of its page."""
+    taken, out = set(), set()
+    for page in sorted({s[0] for s in scores}):
+        for item in sorted({s[1] for s in scores if s[0] == page}):
+            left = [s for s in scores if s[0] == page and s[1] == item and s[3] > 0 and (page, s[2]) not in taken]
+            if left:
+                best = max(left, key=lambda s: (s[3], s[4], -s[2]))
+                taken.add((page, best[2]))
+                out.add((page, item, best[2], best[3]))
+    return out
+
+
+def test_blocks_are_assigned_once(spark):
+    import random
+
+    rng = random.Random(1)
+    scores = [(page, item, block, rng.choice([0, 0, 40, 100, 220]), rng.randint(0, 3)) for page in range(4) for item in range(8) for block in range(6)]
+    frame = spark.createDataFrame(scores, "page_no long, item_id long, block_id long, score long, overlap long")
+    assert {tuple(r) for r in documents.assigned_blocks(frame).collect()} == brute_assignment(scores)
+
+
+def test_continuations_by_their_own_headers(spark):
+    tables_ = [(1, 0, []), (1, 1, []), (1, 2, ["a", "b"]), (1, 3, ["列1", "列2"]), (2, 0, ["No", "Part", "Price"]), (2, 1, ["No", "Part", "Price"])]
+    rows = [
+        (1, 0, 0, ["intro", "", ""]), (1, 1, 0, ["Shop list", "", ""]), (1, 1, 1, ["No", "Part", "Price"]), (1, 1, 2, ["1", "nut", "2.50"]), (1, 2, 0, ["1", "not", "mine"]),
+        (1, 3, 0, ["2", "bolt", "3.50", "x"]), (1, 3, 1, ["sum", "", "6.00"]), (1, 3, 2, ["3.0", "cap", "1"]), (2, 0, 0, ["1", "a", "b"]), (2, 1, 0, ["2", "a", "b"]),
+    ]
+    t = spark.createDataFrame(tables_, "doc_id long, table_no long, headers array<string>")
+    r = spark.createDataFrame(rows, "doc_id long, table_no long, row_index long, cells array<string>")
+    found = sorted((x["doc_id"], x["place"], x["cells"]) for x in merging.consolidated(t, r).collect())
+    assert found == [(1, 0, ["1", "nut", "2.50", ""]), (1, 1, ["2", "bolt", "3.50", "x"]), (1, 2, ["3.0", "cap", "1", ""])]
+
+
+def test_scores_of_evidence(spark):
+    items = spark.createDataFrame([(1, 1, "alpha beta gamma", True, 0), (2, 9, "nothing", False, 3), (3, 9, "alpha", False, 9)], "id long, page_no long, excerpt string, field_like boolean, uncertainties long")
+    terms = spark.createDataFrame([("Alpha",), ("beta",), ("x",), ("alpha",)], "term string")
+    of = lambda frame: {r["id"]: r["score"] for r in frame.collect()}
+    assert of(evidence.score(items, terms)) == {1: 40 + 22, 2: 0, 3: 32 - 18}
+    assert of(evidence.score(items, terms, fallback=True)) == {1: 62, 2: 0, 3: 14}
+    assert of(evidence.score(items, terms, F.col("page_no") == 1, F.col("id") == 1)) == {1: 15 + 45 + 40 + 22, 2: 0, 3: 0}
+    with pytest.raises(ValueError):
+        evidence.score(items, terms, terms_bytes=1)
