@@ -3,11 +3,12 @@
 For each language a suffix automaton is built over a bounded sample of its
 labelled text. A text is parsed greedily into longest substrings of that
 sample, from its first letter to its last; the language whose sample needs the
-fewest phrases wins. Transitions are kept in one hashed table of those that
-exist. A batch of texts is parsed in blocks at once: each block is parsed as if
-a phrase began with it, and where the parse before it runs over the block's
-begin it is followed until both begin a phrase at the same letter. From there on
-they are one, so the phrases are those of the parse without blocks.
+fewest phrases wins. Transitions are kept in one table of those that exist, so
+an alphabet of any size takes no more room. A batch of texts is parsed in blocks
+at once: each block is parsed as if a phrase began with it, and where the parse
+before it runs over the block's begin it is followed until both begin a phrase
+at the same letter. From there on they are one, so the phrases are those of the
+parse without blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from leafline.llm.runtime import plus
 
 #: Letters that are parsed one after the other while other blocks are, too.
 BLOCK = 1024
-_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str) -> str:
@@ -79,35 +79,58 @@ def automaton(codes: np.ndarray) -> list[dict[int, int]]:
 class Model:
     """Languages, the letters known, and the transitions of all their automata.
 
-    ``keys`` and ``states`` are an open hash table of ``state * width + code``;
-    ``first`` has the state after a letter that begins a phrase, a row a language.
+    The transitions of a state lie at ``base[state] + code`` of ``table``, in
+    places that those of others leave free: each is its own state and, in the
+    lowest ``bits`` bits, the next. The first states have none there: ``first``
+    has the state after a letter that begins a phrase, a row a language.
     """
 
     languages: list[str]
     letters: str
     roots: np.ndarray
     first: np.ndarray
-    keys: np.ndarray
-    states: np.ndarray
+    base: np.ndarray
+    table: np.ndarray
+    bits: int
     phrase_bits: np.ndarray
 
 
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - bits)).astype(np.int64)
+def interleaved(states: list[dict[int, int]], width: int, bits: int, tries: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Where each state's transitions begin, and the table they share, about as long as there are transitions.
 
-
-def hashed(keys: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An open hash table, at most half full, of distinct ``keys`` not below 0."""
-    bits = max(4, int(2 * len(keys)).bit_length())
-    table, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-    at, left = _slots(keys, bits), np.arange(len(keys))
-    while len(left):
-        free = left[table[at[left]] < 0]
-        table[at[free]] = keys[free]  # of several at one place the last stays
-        values[at[free]] = states[free]
-        left = left[table[at[left]] != keys[left]]
-        at[left] = (at[left] + 1) & ((1 << bits) - 1)
-    return table, values
+    States of many transitions go first, each to the first of some free places
+    where all fit, else to the end; those of one fill the gaps.
+    """
+    base, used, low = np.zeros(len(states), np.int64), bytearray(width), 0
+    owners, targets, places = [], [], []
+    for state in sorted(range(len(states)), key=lambda s: -len(states[s])):
+        codes = sorted(states[state])
+        if not codes:
+            break
+        at = used.find(0, low)
+        for k in range(tries):
+            if at < 0 or at + codes[-1] - codes[0] >= len(used):
+                used.extend(bytes(max(width, len(used) // 4)))
+                at = at if at >= 0 else used.find(0, low)
+            if not any(used[at + c - codes[0]] for c in codes):
+                break
+            if len(codes) > 1 and k + 2 == tries:
+                low = at
+                at = len(used)
+                used.extend(bytes(width))
+            else:
+                at = used.find(0, at + 1)
+        for c in codes:
+            used[at + c - codes[0]] = 1
+        if len(codes) == 1:
+            low = at
+        base[state] = at - codes[0] + width  # so that no code leads before the table
+        owners += [state] * len(codes)
+        targets += [states[state][c] for c in codes]
+        places += [int(base[state]) + c for c in codes]
+    table = np.full(len(used) + 2 * width, -1, np.int64)
+    table[places] = np.array(owners, np.int64) << bits | np.array(targets, np.int64)
+    return base, table
 
 
 def build(samples: dict[str, str]) -> Model:
@@ -116,21 +139,19 @@ def build(samples: dict[str, str]) -> Model:
     # code 0 is the space, 1 every letter in no sample
     letters = "".join(sorted({c for x in languages for c in samples[x]} - {" "}))
     code = {c: i + 2 for i, c in enumerate(letters)} | {" ": 0}
-    width, base = len(letters) + 2, 0
-    keys, states, roots = [], [], []
-    first = np.zeros((len(languages), width), np.int32)
+    width, roots, states = len(letters) + 2, [], []
+    first = np.zeros((len(languages), width), np.int64)
     for k, language in enumerate(languages):
-        step = automaton(np.array([code[c] for c in samples[language]], np.int64))
-        first[k] = base  # a letter in no sample of the language is a phrase of its own
+        step, root = automaton(np.array([code[c] for c in samples[language]], np.int64)), len(states)
+        first[k] = root  # a letter in no sample of the language is a phrase of its own
         for c, to in step[0].items():
-            first[k, c] = to + base
-        keys.append(np.array([(state + base) * width + c for state, found in enumerate(step) for c in found], np.int64))
-        states.append(np.array([to + base for found in step for to in found.values()], np.int32))
-        roots.append(base)
-        base += len(step)
-    table, values = hashed(np.concatenate(keys), np.concatenate(states)) if keys else (np.full(1, -1, np.int64), np.zeros(1, np.int32))
-    bits = np.array([math.log2(len(samples[x]) + 2) for x in languages])
-    return Model(languages, letters, np.array(roots, np.int32), first, table, values, bits)
+            first[k, c] = to + root
+        states += [{}, *({c: to + root for c, to in found.items()} for found in step[1:])]
+        roots.append(root)
+    bits = max(1, len(states).bit_length())
+    base, table = interleaved(states, width, bits)
+    weights = np.array([math.log2(len(samples[x]) + 2) for x in languages])
+    return Model(languages, letters, np.array(roots, np.int64), first, base, table, bits, weights)
 
 
 class Parser:
@@ -138,8 +159,6 @@ class Parser:
 
     def __init__(self, model: Model):
         self.model, self.width = model, len(model.letters) + 2
-        self.known: dict[int, int] = {}
-        self.bits, self.last = len(model.keys).bit_length() - 1, len(model.keys) - 1
         self.codes = np.zeros(0x110000, np.uint8 if self.width <= 256 else np.int32)
         for start in range(0, 0x110000, 0x1000):
             if start not in range(0xD800, 0xE000):
@@ -152,22 +171,13 @@ class Parser:
     def step(self, language: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where the letter begins a phrase."""
         m = self.model
-        keys = state.astype(np.int64) * self.width + code
-        at = _slots(keys, self.bits)
-        held = m.keys.take(at)
-        to = m.states.take(at)
-        begins = held != keys
-        left = np.flatnonzero(begins & (held >= 0))
-        while len(left):  # another key's place: it may lie behind
-            at[left] = (at[left] + 1) & self.last
-            held = m.keys.take(at[left])
-            same = held == keys[left]
-            to[left[same]] = m.states.take(at[left[same]])
-            begins[left[same]] = False
-            left = left[~same & (held >= 0)]
-        begins |= state == m.roots.take(language)
-        fresh = np.flatnonzero(begins)
-        to[fresh] = m.first[language[fresh], code[fresh]]
+        at = m.base.take(state)
+        at += code
+        to = m.table.take(at)
+        begins = (to >> m.bits) != state
+        to &= (1 << m.bits) - 1
+        new = np.flatnonzero(begins)
+        to[new] = m.first[language.take(new), code.take(new)]
         return to, begins
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,23 +270,23 @@ class Parser:
 
     def _followed(self, codes: np.ndarray, language: int, state: int, at: int, end: int, starts: np.ndarray) -> tuple[int, int]:
         """As ``_joined`` for one parse at any length, a letter at a time."""
-        if not self.known:
-            some = self.model.keys >= 0
-            self.known = dict(zip(self.model.keys[some].tolist(), self.model.states[some].tolist(), strict=True))
-        root, first, more = int(self.model.roots[language]), self.model.first[language], 0
+        m, more = self.model, 0
+        mask = (1 << m.bits) - 1
         while at < end:
-            code = int(codes[at])
-            to = self.known.get(state * self.width + code, -1)
-            if to < 0 or state == root:
-                if starts[at]:
-                    return at, more
+            code = codes.item(at)
+            entry = m.table.item(m.base.item(state) + code)
+            if entry >> m.bits == state:
+                state = entry & mask
+            elif starts[at]:
+                return at, more
+            else:
                 more += 1
-                to = int(first[code])
-            state, at = to, at + 1
+                state = m.first.item(language, code)
+            at += 1
         return end, more
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, most_languages: int = 200, all_chars: int = 2_000_000) -> Model:
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, most_languages: int = 200, all_chars: int = 1_000_000) -> Model:
     """Fit on labelled texts of the ``most_languages`` commonest languages.
 
     A language adds ``sample_chars`` letters of ``sample_rows`` texts, and all of

@@ -81,7 +81,7 @@ def test_samples_are_spread_over_whole_texts(spark):
     letters = "".join(chr(0x4E00 + i) for i in range(3000))
     docs = spark.createDataFrame([(i, f"{letters[i * 30 % 3000 :]}{letters}", "zh") for i in range(100)] + [(i, sentence(random.Random(i), "aa", 40), f"l{i}") for i in range(100, 130)], "doc_id long, text string, lang string")
     model = langid.train(docs, "doc_id", "text", "lang", most_languages=5)
-    assert len(model.languages) == 5 and "zh" in model.languages and model.keys.nbytes < 8 << 20
+    assert len(model.languages) == 5 and "zh" in model.languages and model.table.nbytes < 8 << 20
     tied = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a"), (3, "same text", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.identify(tied, langid.train(tied, "doc_id", "text", "lang")).collect()} == {"a"}
 
