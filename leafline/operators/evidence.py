@@ -149,10 +149,10 @@ def recall_score(candidates: DataFrame) -> DataFrame:
         + F.when(c("rows") > 0, 12).otherwise(0)
         + F.when(c("columns") >= 3, 8).otherwise(0)
         + F.when(c("type_match"), 6).otherwise(-6)
-        + F.when(c("slot_in_title"), 56).otherwise(F.least(F.lit(54), c("title_hits") * 18))
-        + F.least(F.lit(42), c("body_hits") * 14)
-        + F.least(F.lit(34), c("window_hits") * 16)
+        + F.when(c("slot_in_title"), 56).otherwise(F.least(F.lit(54), c("title_hits") * 16))
+        + F.least(F.lit(42), c("body_hits") * 8)
+        + F.least(F.lit(34), c("window_hits") * 6)
         + F.when(c("header_hit"), 8).otherwise(0)
-        - F.least(F.lit(34), c("negative_hits") * 17)
+        - F.least(F.lit(34), c("negative_hits") * 9)
     )
     return candidates.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(98), total)).cast("int"))

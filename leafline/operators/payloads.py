@@ -52,7 +52,7 @@ def flat_text(item: Column) -> Column:
 
     def texts(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in values:
-            yield part.map(lambda x: flat(json.loads(x) if x[:1] in "[{\"" else x), na_action="ignore").fillna("")
+            yield part.map(lambda x: flat(json.loads(x) if x.startswith(("[", "{", '"')) else x), na_action="ignore").fillna("")
 
     return F.pandas_udf(texts, "string")(item)
 

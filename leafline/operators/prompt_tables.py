@@ -74,7 +74,7 @@ def display_views(shapes: DataFrame, view: DataFrame, kv: DataFrame, merged: Dat
 def markdown_rows(texts: DataFrame, id_col: str = "id", text_col: str = "markdown") -> DataFrame:
     """Rows of Markdown tables: ``id, row_no`` (0 the header) and ``cells``; rules and lines without bars are left out."""
     lines = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    rows = lines.where(F.col("line").rlike(r"^\|.*\|$") & ~F.col("line").rlike(r"^\|(\s*:?-{2,}:?\s*\|)+$"))
+    rows = lines.where(F.col("line").rlike(r"^\|.*\|$") & ~F.col("line").rlike(r"^\|(\s*:?-+:?\s*\|)+$"))
     inner = F.expr("substring(line, 2, length(line) - 2)")
     cells = F.transform(F.split(F.replace(inner, F.lit("\\|"), F.lit("\u0001")), r"\|"), lambda c: F.trim(F.replace(c, F.lit("\u0001"), F.lit("|"))))
     return rows.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("line_no")) - 1).alias("row_no"), cells.alias("cells"))

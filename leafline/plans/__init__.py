@@ -4,6 +4,7 @@ from leafline.plans import (  # noqa: F401
     document_queries,
     evidence_queries,
     fact_queries,
+    locator_queries,
     merge_queries,
     output_queries,
     package_queries,

@@ -116,7 +116,7 @@ def chunk_context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANDIDATES = "cand AS (SELECT p_size AS query_id, p_partkey AS candidate_id, p_size % 4 AS rows, p_partkey % 6 AS columns, p_partkey % 3 = 0 AS type_match, p_partkey % 11 = 0 AS slot_in_title, p_partkey % 5 AS title_hits, p_partkey % 4 AS body_hits, p_partkey % 3 AS window_hits, p_partkey % 2 = 0 AS header_hit, CAST(p_partkey % 7 = 0 AS INT) * 2 AS negative_hits, p_partkey % 13 = 0 AS blocked FROM part)"
 RECALL = f"""{CANDIDATES}, rec AS (SELECT *, CAST(greatest(0, least(98, 30 + CASE WHEN rows > 0 THEN 12 ELSE 0 END + CASE WHEN columns >= 3 THEN 8 ELSE 0 END + CASE WHEN type_match THEN 6 ELSE -6 END
-  + CASE WHEN slot_in_title THEN 56 ELSE least(54, title_hits * 18) END + least(42, body_hits * 14) + least(34, window_hits * 16) + CASE WHEN header_hit THEN 8 ELSE 0 END - least(34, negative_hits * 17))) AS INT) AS score FROM cand)"""
+  + CASE WHEN slot_in_title THEN 56 ELSE least(54, title_hits * 16) END + least(42, body_hits * 8) + least(34, window_hits * 6) + CASE WHEN header_hit THEN 8 ELSE 0 END - least(34, negative_hits * 9))) AS INT) AS score FROM cand)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
