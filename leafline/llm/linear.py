@@ -92,7 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, outputs:
 
     About ``sample_rows`` labels are drawn by a hash of their id (all of them,
     if there are fewer), so the sample that one task learns from is bounded and
-    doesn't depend on how rows are stored. An empty sample gives zero weights.
+    doesn't depend on how rows are stored. The task holds all features of these
+    rows, so its memory grows with the length of their texts, not with the
+    table. An empty sample gives zero weights.
     """
     spread = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(6)), F.lit(1 << 30))
     given = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "y", spread.alias("_h"))

@@ -398,3 +398,57 @@ def test_rows_without_id_are_drawn_apart(spark):
     labels = spark.createDataFrame([(i, quality, 0) for i, _, quality in kinds], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert 0 < mixing.sample_mixture(docs, labels).where("doc_id is null").count() < 300
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for _ in range(2):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & M64
+    return x ^ (x >> 32)
+
+
+def plain_margin(text, weights, bits):
+    """One score, a word at a time in plain integers."""
+    from leafline.llm import hashing
+
+    words = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+", (text or "").encode())
+    singles = [plain_mix(sum(int(hashing._BYTES[b]) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word)) & M64) for word in words]
+    doubles = [plain_mix((a * 0xA24BAED4963EE407 + b) & M64) for a, b in zip(singles, singles[1:], strict=False)]
+    places = [h >> (64 - bits) for h in singles + doubles]
+    return sum(float(weights[p]) for p in places) / max(1, len(places)) ** 0.5 + float(weights[-1])
+
+
+def test_scores_are_sparse_dot_products():
+    import pyarrow as pa
+
+    bits = 10
+    weights = np.random.default_rng(3).standard_normal((1, (1 << bits) + 1)).astype(np.float32)
+    texts = ["", None, "one", "One two, three!", "naïve 中文 a1b2 -- x", "tab\tand\nline  ", "w " * 5000, "$$$"]
+    margins, counts = linear.Linear(bits, weights).margins(pa.array(texts))
+    assert np.allclose(margins[:, 0], [plain_margin(t, weights[0], bits) for t in texts])
+    assert counts.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_rates_without_a_cap_meet_any_target(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    p, tokens = rng.dirichlet([0.2, 0.2, 0.2], 300), rng.integers(1, 500, 300)
+    scored = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "n_tokens long, posterior array<double>")
+    for weights, total in (([0.2, 0.3, 0.5], 20.0 * tokens.sum()), ([0.0, 0.5, 0.5], None)):
+        steps = mixing.fit_rates(scored, weights, float("inf"), total, most_steps=80, kept_steps=5)
+        got = scored.select(*[F.sum(F.col("n_tokens") * F.col("posterior")[i] * mixing.rate(F.col("posterior"), steps, float("inf"))) for i in range(3)]).first()
+        wanted = np.array(weights) * (total or tokens.sum())
+        assert np.abs(np.array(got) - wanted).sum() <= (2e-3 if total else 0.2) * wanted.sum()
+
+
+def test_equal_turns_of_one_conversation_lie_in_several_tasks(spark):
+    rows = [(1, None if i % 2 else 5, "ann" if i % 3 else "bob", f"m{i % 700}") for i in range(2000)] + [(None, 1, "x", "y")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = sorted(str(tuple(r)) for r in chat.perspectives(frame).collect())
+    assert found == sorted(map(str, con.execute(chat.ORACLE).fetchall()))
