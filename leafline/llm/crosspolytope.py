@@ -21,6 +21,8 @@ from leafline.llm.vectors import by_dimension, matrix, one_zero, units, usable
 
 #: Axes of one rotation that a query's probes are made of, at most.
 AXES = 128
+#: Rows of candidates that a task keeps before it hands some over.
+HELD_ROWS = 1_000_000
 
 
 def rotated(unit: np.ndarray, table: int) -> np.ndarray:
@@ -162,6 +164,15 @@ def search(
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; differences of any size neither overflow nor vanish when squared."""
+    apart = np.abs(a - b)
+    most = apart.max(1)
+    scale = np.where((most > 0) & ((most > 1e100) | (most < 1e-100)), most, 1.0)
+    apart /= scale[:, None]
+    return np.sqrt((apart * apart).sum(1)) * scale
+
+
 def _ranked(pairs: DataFrame, index: DataFrame, asked: DataFrame, k: int, held: bool) -> DataFrame:
     """The nearest ``k + 1`` entries of each query among ``pairs`` (query, row): ``query, score, ids, others``."""
     met = pairs.hint("merge").join(index.select("row", "v").hint("merge"), "row").select("query", "row", "v")
@@ -170,7 +181,19 @@ def _ranked(pairs: DataFrame, index: DataFrame, asked: DataFrame, k: int, held:
     else:
         met = met.hint("merge").join(asked.select(F.col("id").alias("query"), F.col("v").alias("q")).hint("merge"), "query").select("query", "row", "v", "q")
 
+    def nearest(query: np.ndarray, row: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The first ``k + 1`` of each query: nothing farther can be among the first ``k + 1`` of all."""
+        order = np.lexsort((row, away, query))
+        query, row, away = query[order], row[order], away[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        keep = np.flatnonzero(nth <= k)
+        return query[keep], row[keep], away[keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what a task has found so far, up to so many rows that memory stays small however many queries there are
+        found: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             query, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             away = np.zeros(len(query))
@@ -180,18 +203,18 @@ def _ranked(pairs: DataFrame, index: DataFrame, asked: DataFrame, k: int, held:
                     sought = np.stack([wanted.value[x] for x in names.tolist()])[where]
                 else:
                     sought = matrix(batch.column(3).take(pa.array(at)), dim)
-                # the largest difference comes out first, so squares neither overflow nor vanish
-                apart = np.abs(values - sought)
-                most = apart.max(1)
-                scaled = apart / np.where((most > 1e100) | (most < 1e-100), np.where(most > 0, most, 1.0), 1.0)[:, None]
-                away[at] = np.sqrt((scaled * scaled).sum(1)) * np.where((most > 1e100) | (most < 1e-100), np.where(most > 0, most, 1.0), 1.0)
-            order = np.lexsort((row, away, query))
-            query, row, away = query[order], row[order], away[order]
-            first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-            nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-            # nothing farther than the k + 1st of a batch can be among the first k + 1 of all
-            keep = np.flatnonzero(nth <= k)
-            yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(row[keep]), pa.array(away[keep])], ["query", "row", "score"])
+                away[at] = _distances(values, sought)
+            if len(query):
+                found.append(nearest(query, row, away))
+                size += len(found[-1][0])
+            if size > HELD_ROWS:
+                found = [nearest(*map(np.concatenate, zip(*found, strict=True)))]
+                size = len(found[0][0])
+                if 2 * size > HELD_ROWS:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found[0])], ["query", "row", "score"])
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, nearest(*map(np.concatenate, zip(*found, strict=True))))], ["query", "row", "score"])
 
     near = met.mapInArrow(run, "query long, row long, score double")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "row"))).where(F.col("r") <= k + 1)
