@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafline.functions.text import field_key, like_key
+
 #: Kinds of outputs, kinds that hold rows, and limits of brief texts.
 KINDS = ("field_list", "data_table", "kv_table", "kv_record_table", "record_collection", "custom")
 ROW_KINDS = ("data_table", "record_collection")
@@ -158,3 +160,66 @@ def overviews(outputs: DataFrame, errors: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("ord"))
     first = errors.withColumn("p", place).where(F.col("p") <= MOST_ERRORS).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "error"))), lambda x: x["error"]), "|").alias("errors"))
     return kinds.join(first, "run_id", "left").fillna("", ["errors"])
+
+
+def _key(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "^[:：]+|[:：]+$", "")
+
+
+def decision_pairs(decisions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys and values that row decisions give, each once an anchor, in order: ``group_id, place, key, value, anchor``.
+
+    ``decisions`` has ``group_id, ord, decision, anchor, row_index, pairs`` (array
+    of key, value), ``label, values``; ``rows`` ``group_id, anchor, row_index,
+    cells``. A decision that is not skip gives its own pairs; without any, the
+    cells of its row by turns, where all keys look like keys; else its label
+    with its one value, unless they say the same.
+    """
+    asked = decisions.where("decision <> 'skip'")
+    by_anchor = rows.where("anchor <> ''").groupBy("group_id", "anchor").agg(F.max_by("cells", "row_index").alias("a"))
+    by_index = rows.where("row_index > 0").groupBy("group_id", "row_index").agg(F.max_by("cells", "anchor").alias("b"))
+    held = asked.join(by_anchor, ["group_id", "anchor"], "left").join(by_index, ["group_id", "row_index"], "left")
+    kind = "array<struct<key:string,value:string>>"
+    none = F.array().cast(kind)
+
+    def pair(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value"))
+
+    own = F.filter(F.transform(F.coalesce("pairs", none), lambda p: pair(_key(p["key"]), F.trim(F.coalesce(p["value"], F.lit(""))))), lambda p: (p["key"] != "") & (p["value"] != ""))
+    cells = F.filter(F.transform(F.coalesce("a", "b", F.array().cast("array<string>")), lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    held = held.withColumn("own", own).withColumn("cells", cells)
+    n = F.size("cells")
+    turns = F.when(n >= 2, F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda i: pair(_key(F.get("cells", i * 2)), F.get("cells", i * 2 + 1)))).otherwise(none)
+    turned = F.when((n >= 2) & (n % 2 == 0) & F.forall(turns, lambda p: like_key(p["key"])), turns).otherwise(none)
+    values = F.filter(F.transform(F.coalesce("values", F.array().cast("array<string>")), lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    label = _key(F.col("label"))
+    single = F.when(like_key(label) & (F.size(values) == 1) & (field_key(label) != field_key(F.get(values, F.lit(0)))), F.array(pair(label, F.get(values, F.lit(0))))).otherwise(none)
+    found = held.withColumn("turned", turned).withColumn("single", single)
+    chosen = F.when(F.size("own") > 0, F.col("own")).when(F.size("turned") > 0, F.col("turned")).otherwise(F.col("single"))
+    flat = found.select("group_id", "ord", "anchor", F.posexplode(chosen).alias("i", "p"))
+    first = flat.groupBy("group_id", F.col("p.key").alias("key"), F.col("p.value").alias("value"), "anchor").agg(F.min(F.struct("ord", "i")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("o"))
+    return first.select("group_id", place.alias("place"), "key", "value", "anchor")
+
+
+def result_kinds(results: DataFrame) -> DataFrame:
+    """The kind of a confirmed result: as it says, else by its shape: table, text, decision or object.
+
+    ``results`` has ``result_id, said`` and ``body``, a map of JSON texts.
+    """
+    keys = F.map_keys("body")
+    has = lambda name: F.array_contains(keys, name)
+    lists = has("headers") & has("rows") & F.element_at("body", F.lit("headers")).startswith("[") & F.element_at("body", F.lit("rows")).startswith("[")
+    shape = F.when(lists, "table").when(has("decision") & ~(has("text") & (F.size("body") <= 2)), "decision").when(has("text") & (F.size("body") <= 2), "text").when(F.size("body") > 0, "object").otherwise("")
+    return results.select("result_id", F.when(F.trim("said").isin("decision", "object", "table", "text"), F.trim("said")).otherwise(shape).alias("result_kind"))
+
+
+def payload_metrics(facts: DataFrame, shown: DataFrame) -> DataFrame:
+    """What of a document's facts was shown: pages, blocks, tables, their rows in all and shown, and the longest table.
+
+    Both have ``doc_id, page_no, block_no, rows`` (of a table, else null);
+    ``shown`` is the part that was selected.
+    """
+    part = shown.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"), F.count("*").alias("blocks"), F.count("rows").alias("tables"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+    whole = facts.groupBy("doc_id").agg(F.sum("rows").alias("full_rows"))
+    return whole.join(part, "doc_id", "left").fillna(0, ["pages", "blocks", "tables", "rows", "most", "full_rows"])

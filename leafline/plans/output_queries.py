@@ -239,3 +239,39 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_request_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.request_chunks(lines(spark, sf_dir).select("table_id", "row_index", F.array("line", "part").alias("cells")))
+
+
+@register(
+    "row_decision_pairs",
+    f"""WITH {LINES}, c AS (SELECT table_id AS group_id, row_index + 1 AS ord, part AS anchor, CASE WHEN row_index % 4 = 3 THEN 'skip' ELSE 'keep' END AS decision, row_index % 4 AS k, * FROM lines),
+      p AS (SELECT group_id, ord, 0 AS i, anchor, 'Flag' AS key, flag AS value FROM c WHERE k = 0 UNION ALL SELECT group_id, ord, unnest([0, 1]), anchor, unnest(['Price', 'Day']), unnest([price, shipped]) FROM c WHERE k = 1 UNION ALL SELECT group_id, ord, 0, anchor, 'Label', price FROM c WHERE k = 2),
+      f AS (SELECT group_id, key, value, anchor, min(row(ord, i)) AS o FROM p GROUP BY ALL)
+      SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY o) AS INT) AS place, key, value, anchor FROM f""",
+)
+def row_decision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own pairs, cells by turns and a label with one value, by turns; every fourth line is skipped."""
+    r = F.col("row_index")
+    held = lines(spark, sf_dir)
+    pairs = F.when(r % 4 == 0, F.array(F.struct(F.lit("Flag:").alias("key"), F.col("flag").alias("value")), F.struct(F.lit("none").alias("key"), F.lit(" ").alias("value"))))
+    decisions = held.select(F.col("table_id").alias("group_id"), (r + 1).alias("ord"), F.when(r % 4 == 3, "skip").otherwise("keep").alias("decision"), F.col("part").alias("anchor"), (r + 1).alias("row_index"), pairs.alias("pairs"), F.lit("Label：").alias("label"), F.array(F.col("price"), F.lit("")).alias("values"))
+    cells = F.when(r % 4 == 1, F.array(F.lit("Price:"), F.col("price"), F.lit(""), F.lit("Day"), F.col("shipped"))).otherwise(F.array(F.lit("12"), F.col("price")))
+    rows = held.select(F.col("table_id").alias("group_id"), F.lit("").alias("anchor"), (r + 1).alias("row_index"), cells.alias("cells"))
+    return O.decision_pairs(decisions, rows)
+
+
+@register("result_kinds", "SELECT p_partkey AS result_id, CASE p_partkey % 6 WHEN 0 THEN 'table' WHEN 1 THEN 'text' WHEN 2 THEN 'decision' WHEN 3 THEN 'object' WHEN 4 THEN '' ELSE 'text' END AS result_kind FROM part")
+def result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    one = lambda *parts: F.create_map(*[F.lit(x) for x in parts])
+    body = F.when(k == 0, one("headers", "[1]", "rows", "[]")).when(k == 1, one("text", "x")).when(k == 2, one("decision", "y", "text", "x", "more", "z")).when(k == 3, one("headers", "h", "rows", "[]")).when(k == 4, F.create_map().cast("map<string,string>")).otherwise(one("decision", "x", "a", "b", "c", "d"))
+    return O.result_kinds(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("result_id"), F.when(k == 5, " text ").otherwise("odd").alias("said"), body.alias("body")))
+
+
+@register(
+    "payload_metrics",
+    f"""WITH {LINES}, f AS (SELECT table_id // 5 AS doc_id, table_id AS page_no, row_index AS block_no, CASE WHEN flag <> 'N' THEN row_index + 1 END AS rows FROM lines), s AS (SELECT doc_id, count(DISTINCT page_no) AS pages, count(*) AS blocks, count(rows) AS tables, sum(rows) AS rows, max(rows) AS most FROM f WHERE block_no % 2 = 1 GROUP BY 1)
+      SELECT f.doc_id, CAST(coalesce(sum(f.rows), 0) AS BIGINT) AS full_rows, coalesce(any_value(pages), 0) AS pages, coalesce(any_value(blocks), 0) AS blocks, coalesce(any_value(tables), 0) AS tables, CAST(coalesce(any_value(s.rows), 0) AS BIGINT) AS rows, coalesce(any_value(most), 0) AS most FROM f LEFT JOIN s USING (doc_id) GROUP BY 1""",
+)
+def payload_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = lines(spark, sf_dir).select(F.floor(F.col("table_id") / 5).alias("doc_id"), F.col("table_id").alias("page_no"), F.col("row_index").alias("block_no"), F.when(F.col("flag") != "N", F.col("row_index") + 1).alias("rows"))
+    return O.payload_metrics(facts, facts.where("block_no % 2 = 1"))

@@ -21,6 +21,7 @@ def one(spark, column, **values):
         (X.field_key, "Name _:：-x", "namex"),
         (X.locator_key, "（A）[b]、c / D|「", "ab、cd「"),
         (X.cell_text, "a<br>b &amp;lt; <b>c</b>\xa0d", "a\nb &lt; c d"),
+        (X.evaluation_key, " Ａ , ，;; B：：c（d） //e|| ", "a,b:c(d)/e|"),
         (X.safe_name, "../a b/中.x", "a_b_中_x"),
         (X.safe_name, "//", "item"),
         (X.first_decimal, "about -12.50 and 3", "-12.50"),
