@@ -61,3 +61,17 @@ def locator_table_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = rows.select("doc_id").distinct()
     queries = ids.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit("").alias("slot"), F.array(F.lit("RETURNED")).alias("seeds"), F.array().cast("array<string>").alias("negatives"), F.array().cast("array<string>").alias("expected"))
     return L.windows(L.profiles(queries), rows).select("query_id", "start", "end", "score")
+
+
+@register("locator_role_closure")
+def locator_role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of the best candidates of each size of parts; taking in order is not for SQL, a test has written-out cases."""
+    from pyspark.sql import Window
+
+    k, words = F.col("p_partkey"), F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    place = F.row_number().over(Window.partitionBy("p_size").orderBy(F.desc("p_retailprice"), k))
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_size").alias("query_id"), place.alias("place"), k.alias("node_id"), F.when(k % 4 == 0, "text").otherwise("table").alias("kind"), (k % 20).alias("first"), (k % 20 + 1).alias("last"), F.array("p_type", "p_brand").alias("path"),
+        F.when(k % 3 == 0, words).otherwise(F.array().cast("array<string>")).alias("headers"), words.alias("tokens"), (place <= 2).alias("selected"), (k % 5 == 0).alias("rejected"), (k % 13 == 0).alias("blocked"),
+    )
+    return L.closed_roles(rows)

@@ -154,3 +154,22 @@ def test_markdown_and_header_choice(spark):
 def test_target_indices(spark):
     frame = spark.createDataFrame([("table:3:12",), ("table:3:x",), ("structured-object:1:4",), (None,)], "t string")
     assert [r["x"] for r in frame.select(facts.target_index(F.col("t"), "table").alias("x")).collect()] == [12, -1, -1, -1]
+
+
+def test_roles_close_in_document_order(spark):
+    def row(place, node, kind="table", first=1, last=1, path=("a",), headers=(), tokens=(), selected=False, rejected=False, blocked=False):
+        return (7, place, node, kind, first, last, list(path), list(headers), list(tokens), selected, rejected, blocked)
+
+    head = ("No", "Part", "Price")
+    rows = [
+        row(1, "n2", first=2, last=2, headers=head, tokens=("x",), selected=True),
+        row(2, "n5", first=9, last=9, headers=("a1", "b1", "c1"), path=("q",), tokens=("z",), selected=True),
+        row(3, "n3", first=3, last=3, headers=("no", "part name", "price"), path=("b",)),  # like the primary's
+        row(4, "n4", first=4, last=4, headers=head, path=("c",), tokens=("u", "v", "w")),  # next to n3, a continuation by then
+        row(5, "n6", kind="text", first=5, last=5, path=("d",), tokens=("u", "v"), rejected=True),  # near n4 with two tokens
+        row(6, "n7", first=30, last=30, path=("e",), tokens=("u",), rejected=True),
+        row(7, "n8", first=3, last=3, headers=head, path=("f",), blocked=True),
+        row(13, "n9", first=3, last=3, headers=head),
+    ]
+    frame = spark.createDataFrame(rows, "query_id long, place int, node_id string, kind string, first int, last int, path array<string>, headers array<string>, tokens array<string>, selected boolean, rejected boolean, blocked boolean")
+    assert {r["node_id"]: r["role"] for r in locator.closed_roles(frame).collect()} == {"n2": "primary", "n5": "related", "n3": "continuation", "n4": "continuation", "n6": "related", "n7": "rejected"}
