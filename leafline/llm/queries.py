@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import chat, collisions, credentials, crosspolytope, langid, minhash, mixing, packing, quality, wrappers
+from leafline.llm import chat, collisions, credentials, crosspolytope, langid, minhash, mixing, packing, passages, quality, wrappers
 from leafline.session import table
 
 
@@ -62,6 +62,13 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
@@ -80,6 +87,7 @@ _QUERIES = {
     "op8_cross_parsing_language": op8_cross_parsing_language,
     "op9_credential_linking": op9_credential_linking,
     "op10_soft_mixing": op10_soft_mixing,
+    "op12_run_length_index": op12_run_length_index,
     "pipeline": pipeline,
 }
 
