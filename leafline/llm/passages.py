@@ -11,7 +11,8 @@ some megabytes, and each step is a shuffle of chunks' parts by anchor:
    anchor's bucket. There every anchor's strips are halved by document; a
    run-length index is built of the earlier halves and the later ones are
    streamed against it, until no half has two documents. A window whose match is
-   as long as a window repeats an earlier document.
+   as long as a window repeats an earlier document. Strips alike are one there,
+   that of the smallest document with it, and repeated whole in all others.
 3. Answers return to the chunks, which cover the windows and cut them out.
 
 An anchor in very many chunks is split by the windows themselves.
@@ -205,9 +206,8 @@ def held(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 def candidates(chunk: Chunk, shared: list, length: int, buckets: int) -> dict:
     """The chunk's strips with shared anchors, as distinct texts in order of bucket, and where each occurs.
 
-    Returns arrays ``bucket, key`` (the anchor there), ``texts`` (a list), ``one,
-    two`` (the smallest ids, ``two`` with ``one`` again where there is no other),
-    and per occurrence ``of`` (its text), ``start, size, id``.
+    Returns arrays ``bucket, key`` (the anchor there), ``texts`` (a list), ``one``
+    (the smallest id), and per occurrence ``of`` (its text), ``start, size, id``.
     """
 
     def whole(field: str) -> np.ndarray:
@@ -238,15 +238,12 @@ def candidates(chunk: Chunk, shared: list, length: int, buckets: int) -> dict:
     ids = chunk.ids[chunk.owner[start]]
     one = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(one, of, ids)
-    two = np.full(len(known), np.iinfo(np.int64).max)
-    later = ids > one[of]
-    np.minimum.at(two, of[later], ids[later])
-    return {"bucket": bucket[first], "key": key[first], "texts": list(known), "one": one, "two": np.where(two == np.iinfo(np.int64).max, one, two), "of": of, "start": start, "size": size, "id": ids}
+    return {"bucket": bucket[first], "key": key[first], "texts": list(known), "one": one, "of": of, "start": start, "size": size, "id": ids}
 
 
 def asked(joined: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Rows ``bucket, chunk`` with the chunk's distinct strips of that bucket: ``keys, ones, twos, sizes, texts``."""
-    names = ["bucket", "chunk", "keys", "ones", "twos", "sizes", "texts"]
+    """Rows ``bucket, chunk`` with the chunk's distinct strips of that bucket: ``keys, ones, sizes, texts``."""
+    names = ["bucket", "chunk", "keys", "ones", "sizes", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,10 +255,10 @@ def asked(joined: DataFrame, length: int, buckets: int) -> DataFrame:
                 rows = []
                 for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(found["bucket"])], strict=True):
                     texts = found["texts"][a:z]
-                    rows.append((packed(found["key"][a:z]), found["one"][a:z].tobytes(), found["two"][a:z].tobytes(), np.array([len(x) for x in texts], np.uint32).tobytes(), b"".join(texts)))
+                    rows.append((packed(found["key"][a:z]), found["one"][a:z].tobytes(), np.array([len(x) for x in texts], np.uint32).tobytes(), b"".join(texts)))
                 yield pa.RecordBatch.from_arrays([pa.array(found["bucket"][edges].astype(np.int32)), pa.array(np.full(len(edges), r["chunk"])), *[pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]], names)
 
-    return joined.mapInArrow(run, "bucket int, chunk long, keys binary, ones binary, twos binary, sizes binary, texts binary")
+    return joined.mapInArrow(run, "bucket int, chunk long, keys binary, ones binary, sizes binary, texts binary")
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -272,7 +269,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gr
     an earlier one answers for all that they hold.
     """
     bits = np.zeros(len(starts), np.uint64)
-    full = np.where(sizes - length + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(sizes - length + 1, 63).astype(np.uint64)) - np.uint64(1))
+    full = all_windows(sizes, length)
     at = np.lexsort((ids, groups))
     part = np.zeros(len(starts), np.int64)  # which of a group's halves of halves
     while len(at):
@@ -302,71 +299,61 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gr
     return bits
 
 
+def all_windows(sizes: np.ndarray, length: int) -> np.ndarray:
+    """The bits of all windows of strips of these sizes."""
+    return ~np.uint64(0) >> (MOST - (sizes - length + 1)).astype(np.uint64)
+
+
 def answers(wanted: DataFrame, length: int, slice_bytes: int) -> DataFrame:
-    """Rows ``chunk, bucket, firsts, rests``: per strip asked about, the repeated windows in its first document and in later ones."""
+    """Rows ``chunk, bucket, repeats``: per strip asked about, the bits of the windows that its first document there repeats."""
 
     def run(rows: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        of, keys, ones, twos = [], [], [], []
-        for r in rows.to_pylist():
-            ends = np.cumsum(np.frombuffer(r["sizes"], np.uint32).astype(np.int64)).tolist()
-            texts, a, mine = r["texts"], 0, []
-            for z in ends:
+        of, keys, ones = [], [], []
+        for sizes, texts in zip(rows["sizes"], rows["texts"], strict=True):
+            texts, a, mine = texts.as_py(), 0, []
+            for z in np.cumsum(np.frombuffer(sizes.as_py(), np.uint32).astype(np.int64)).tolist():
                 mine.append(known.setdefault(texts[a:z], len(known)))
                 a = z
             of.append(np.array(mine, np.int64))
-            keys.append(unpacked(r["keys"]))
-            ones.append(np.frombuffer(r["ones"], np.int64))
-            twos.append(np.frombuffer(r["twos"], np.int64))
-        all_of, all_ones, all_twos = np.concatenate(of), np.concatenate(ones), np.concatenate(twos)
+        for key, one in zip(rows["keys"], rows["ones"], strict=True):
+            keys.append(unpacked(key.as_py()))
+            ones.append(np.frombuffer(one.as_py(), np.int64))
         size = np.array([len(x) for x in known], np.int64)
         data = np.frombuffer(b"".join(known), np.uint8)
+        del known
         start = np.cumsum(size) - size
-        key = np.zeros(len(known), np.uint64)
-        key[all_of] = np.concatenate(keys)
-        # a strip stands for its two smallest documents: whoever has it later repeats what the second one repeats
-        top = np.iinfo(np.int64).max
-        head = np.full(len(known), top)
-        np.minimum.at(head, all_of, all_ones)
-        tail = np.full(len(known), top)
-        for x in (all_ones, all_twos):
-            np.minimum.at(tail, all_of, np.where(x > head[all_of], x, top))
-        later = np.flatnonzero(tail < top)
-        item = np.concatenate([np.arange(len(known)), later])
-        ids = np.concatenate([head, tail[later]])
-        bits = np.zeros(len(item), np.uint64)
-        by = np.argsort(key[item], kind="stable")
-        steps = np.flatnonzero(np.append(True, np.diff(key[item][by].view(np.int64)) != 0))
-        bytes_before = np.append(0, np.cumsum(size[item][by]))
+        every = np.concatenate(of)
+        key = np.zeros(len(size), np.int64)
+        key[every] = np.concatenate(keys).view(np.int64)
+        head = np.full(len(size), np.iinfo(np.int64).max)
+        np.minimum.at(head, every, np.concatenate(ones))
+        bits = np.zeros(len(size), np.uint64)
+        by = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.append(True, np.diff(key[by]) != 0))
+        before = np.append(0, np.cumsum(size[by]))
         a = 0
         while a < len(by):  # whole anchors, some megabytes at a time
-            z = int(np.searchsorted(bytes_before, bytes_before[a] + slice_bytes))
-            n = int(np.searchsorted(steps, z))
-            z = int(steps[n]) if n < len(steps) else len(by)
+            n = int(np.searchsorted(edges, np.searchsorted(before, before[a] + slice_bytes)))
+            z = int(edges[n]) if n < len(edges) else len(by)
             here = by[a:z]
-            bits[here] = repeated_windows(data, start[item[here]], size[item[here]], key[item[here]].view(np.int64), ids[here], length)
+            bits[here] = repeated_windows(data, start[here], size[here], key[here], head[here], length)
             a = z
-        rest = bits[: len(known)].copy()
-        rest[later] = bits[len(known) :]
-        firsts, rests = [], []
-        for mine, one in zip(of, ones, strict=True):
-            firsts.append(np.where(one > head[mine], rest[mine], bits[mine]).tobytes())
-            rests.append(rest[mine].tobytes())
-        return pa.table([rows["chunk"], rows["bucket"], pa.array(firsts, pa.binary()), pa.array(rests, pa.binary())], ["chunk", "bucket", "firsts", "rests"])
+        full = all_windows(size, length)
+        blobs = [np.where(one > head[mine], full[mine], bits[mine]).tobytes() for mine, one in zip(of, ones, strict=True)]
+        return pa.table([rows["chunk"], rows["bucket"], pa.array(blobs, pa.binary())], ["chunk", "bucket", "repeats"])
 
-    return wanted.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, firsts binary, rests binary")
+    return wanted.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, repeats binary")
 
 
 def covered(chunk: Chunk, found: dict, marks: list, length: int) -> np.ndarray:
     """Which bytes of the chunk lie in a repeated window."""
     change = np.zeros(len(chunk.data) + 1, np.int32)
     if marks and found["texts"]:
-        by = sorted(marks, key=lambda x: x["bucket"])
-        firsts = np.concatenate([np.frombuffer(x["firsts"], np.uint64) for x in by])
-        rests = np.concatenate([np.frombuffer(x["rests"], np.uint64) for x in by])
+        repeats = np.concatenate([np.frombuffer(x["repeats"], np.uint64) for x in sorted(marks, key=lambda x: x["bucket"])])
         of = found["of"]
-        bits = np.where(found["id"] == found["one"][of], firsts[of], rests[of])
-        for t in range(MOST):
+        bits = np.where(found["id"] == found["one"][of], repeats[of], all_windows(found["size"] + length - 1, length))
+        for t in range(int(found["size"].max())):
             on = found["start"][((bits >> np.uint64(t)) & np.uint64(1)).astype(bool)] + t
             np.add.at(change, on, 1)
             np.add.at(change, on + length, -1)
@@ -410,7 +397,7 @@ def repeated_passages(
     length: int = 50,
     chunk_bytes: int = 4 << 20,
     bucket_bytes: int = 8 << 20,
-    slice_bytes: int = 4 << 20,
+    slice_bytes: int = 2 << 20,
     most_chunks: int = 4096,
 ) -> DataFrame:
     """Per document its id (as ``id``), ``n_bytes``, the ``spans`` of bytes that it repeats, and the ``kept`` rest.
@@ -434,6 +421,6 @@ def repeated_passages(
     shared = tables.put(shared_anchors(anchors(staged, length, buckets), most_chunks))
     by_chunk = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "wide")).alias("shared"))
     marks = tables.put(answers(asked(staged.join(by_chunk, "chunk"), length, buckets), length, slice_bytes))
-    marked = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "firsts", "rests")).alias("marks"))
+    marked = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "repeats")).alias("marks"))
     return cut_out(staged.join(by_chunk, "chunk", "left").join(marked, "chunk", "left"), length, buckets)
 

@@ -96,9 +96,13 @@ class RunIndex:
         start = np.ones(len(owner), bool)
         start[1:] = owner[1:] != owner[:-1]
         at = np.maximum.accumulate(np.where(start, np.arange(len(owner)), 0)) if len(owner) else owner
-        self.step = np.zeros(len(self.first), np.int64)
+        # where a run's first row goes by a step back: a run, and how far into it
+        self.size = self.last - self.first + 1
+        self.goes, self.into = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64)
         if len(owner):
-            self.step[self.runs] = np.array([base[x] for x in owner.tolist()], np.int64) + passed - passed[at]
+            to = np.array([base[x] for x in owner[start].tolist()], np.int64)[np.cumsum(start) - 1] + passed - passed[at]
+            self.goes[self.runs] = np.searchsorted(self.first, to, side="right") - 1
+            self.into[self.runs] = to - self.first[self.goes[self.runs]]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Symbols that the texts from ``a`` and from ``b`` have in common, ``most`` at most."""
@@ -119,47 +123,43 @@ class RunIndex:
         by = np.argsort(-sizes, kind="stable")
         shift, ends, active = classes.astype(np.int64)[by] * 257, (starts + sizes)[by], sizes[by]
         at = at[by]
-        row = np.zeros(len(by), np.int64)
+        run, ahead = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
         place = np.full(len(by), self.head[0], np.int64)
         length = np.zeros(len(by), np.int64)
         many = len(self.first) + 1
         for j in range(int(active[0]) if len(active) else 0):
             n = int(np.searchsorted(-active, -j))  # those longer than j
             code = shift[:n] + data[ends[:n] - 1 - j] + 1
-            run = np.searchsorted(self.first, row[:n], side="right") - 1
-            hit = self.code[run] == code
-            miss = np.flatnonzero(~hit)
-            ahead = row[:n] - self.first[run]
+            at_run, at_ahead = run[:n], ahead[:n]
+            miss = np.flatnonzero(self.code[at_run] != code)
+            place[:n] -= 1
+            length[:n] += 1
             if len(miss):
-                c, k = code[miss], run[miss]
+                c, k = code[miss], at_run[miss]
                 below = np.searchsorted(self.keys, c * many + k)
-                above = below - 1
-                has_below = np.zeros(len(miss), bool)
-                inside = below < len(self.runs)
-                has_below[inside] = self.code[self.runs[below[inside]]] == c[inside]
-                has_above = np.zeros(len(miss), bool)
-                inside = above >= 0
-                has_above[inside] = self.code[self.runs[above[inside]]] == c[inside]
-                up, down = self.runs[np.maximum(above, 0)], self.runs[np.minimum(below, len(self.runs) - 1)]
-                left, here = length[miss], place[miss]
+                down, up = self.runs[np.minimum(below, len(self.runs) - 1)], self.runs[np.maximum(below - 1, 0)]
+                has_below, has_above = self.code[down] == c, self.code[up] == c
+                left, here = length[miss] - 1, place[miss] + 1
                 one = np.where(has_above, self.common(here, self.tail[up], np.where(has_above, left, 0)), -1)
                 two = np.where(has_below, self.common(here, self.head[down], np.where(has_below, left, 0)), -1)
                 takes_up = one >= two
-                any_ = has_above | has_below
+                found = has_above | has_below
                 to = np.where(takes_up, up, down)
-                run[miss] = to
-                ahead[miss] = np.where(takes_up, self.last[to] - self.first[to], 0)
-                place[miss] = np.where(any_, np.where(takes_up, self.tail[to], self.head[to]), here)
-                length[miss] = np.where(any_, np.maximum(one, two), -1)
-                stay = miss[~any_]
-            else:
-                stay = miss
-            kept = row[stay]
-            row[:n] = self.step[run] + ahead
-            place[:n] -= 1
-            length[:n] += 1
-            row[stay] = kept
-            place[stay] += 1
+                length[miss] = np.maximum(one, two) + 1
+                place[miss] = np.where(found, np.where(takes_up, self.tail[to], self.head[to]) - 1, here)
+                stay = miss[~found]
+                kept = at_run[stay], at_ahead[stay]
+                at_run[miss] = to
+                at_ahead[miss] = np.where(takes_up, self.size[to] - 1, 0)
+            at_ahead += self.into[at_run]
+            at_run[:] = self.goes[at_run]
+            beyond = np.flatnonzero(at_ahead >= self.size[at_run])
+            while len(beyond):
+                at_ahead[beyond] -= self.size[at_run[beyond]]
+                at_run[beyond] += 1
+                beyond = beyond[at_ahead[beyond] >= self.size[at_run[beyond]]]
+            if len(miss):
+                at_run[stay], at_ahead[stay] = kept
             out[at[:n] - 1 - j] = length[:n]
         return out
 
