@@ -1,21 +1,23 @@
 """Passages that documents repeat from one another, found to the byte.
 
-A stretch of ``length`` bytes is a window, and its anchor is the least hash of
-the shorter grams in it: equal windows have equal anchors, wherever they are.
-Consecutive windows with one anchor form a strip. Documents travel in chunks of
-some megabytes, and each step is a shuffle of chunks' parts by anchor:
-
-1. Anchors that more than one document has are found from five bytes an anchor
-   and chunk.
-2. The strips with such anchors, each distinct text of a chunk once, go to their
-   anchor's bucket. There every anchor's strips are halved by document; a
+A stretch of ``length`` bytes is a window, and its anchor is the gram in it with
+the least hash: equal windows have equal anchors, wherever they are.
+Consecutive windows with one anchor form a strip. A window holds half of what it
+has besides its anchor before it or behind it; the anchor with that context is
+the window's key. Documents travel in chunks of some megabytes, and each step is
+a shuffle of chunks' parts:
+
+1. Keys that more than one document has are found from five bytes a key and
+   chunk.
+2. The windows with such keys, as strips, each distinct text of a chunk once, go
+   to their anchor's bucket. There every anchor's strips are halved by document; a
    run-length index is built of the earlier halves and the later ones are
    streamed against it, until no half has two documents. A window whose match is
    as long as a window repeats an earlier document. Strips alike are one there,
    that of the smallest document with it, and repeated whole in all others.
 3. Answers return to the chunks, which cover the windows and cut them out.
 
-An anchor in very many chunks is split by the windows themselves.
+A key in very many chunks is split by the windows themselves.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from leafline.llm.runindex import RunIndex, spread
 from leafline.llm.runtime import Tables
 
-SHORT = 40  # bits of an anchor within its bucket; a chance collision only adds work
+SHORT = 40  # bits of a hash within its bucket; a chance collision only adds work
 MOST = 64  # windows of a strip at most, a bit each
 SEGMENT = 1 << 17  # bytes hashed at a time, so that arrays stay in the processor's cache
 
@@ -45,13 +47,15 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes from each place, from hashes of halves."""
-    h, have = data.astype(np.uint64) + np.uint64(1), 1
-    while have * 2 <= size:
-        h, have = mixed(h[:-have], h[have:]), have * 2
-    n = len(data) - size + 1
-    return h if have == size else mixed(h[:n], h[size - have : size - have + n])
+def doubled_hashes(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size, a hash of so many bytes from each place, from hashes of halves."""
+    out, h, have = {}, data.astype(np.uint64) + np.uint64(1), 1
+    for size in sorted(sizes):
+        while have * 2 <= size:
+            h, have = mixed(h[:-have], h[have:]), have * 2
+        n = len(data) - size + 1
+        out[size] = h[:n] if have == size else mixed(h[:n], h[size - have : size - have + n])
+    return [out[x] for x in sizes]
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -64,38 +68,61 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_size(length: int) -> int:
-    """Bytes of the grams among which a window's anchor is chosen: three eighths of it, so about 17 of 300 places are anchors at 50."""
+    """Bytes of an anchor: three eighths of a window, so that at 50 one place in 17 is an anchor."""
     return max(1, length * 3 // 8)
 
 
-def strips(data: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of every strip; ``owner`` is a document's number for each byte, -1 for none."""
-    found, n = [], len(data) - length + 1
-    for a in range(0, max(0, n), SEGMENT):
-        z = min(n, a + SEGMENT)
-        anchor = least(gram_hashes(data[a : z + length - 1], gram_size(length)), length - gram_size(length) + 1)
-        own = owner[a:z]
-        whole = (own == owner[a + length - 1 : z + length - 1]) & (own >= 0)
-        new = np.ones(z - a, bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]) | (own[1:] != own[:-1])
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, z - a))
-        keep = whole[at]
-        found.append((anchor[at[keep]], at[keep] + a, size[keep]))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    anchor, start, size = map(np.concatenate, zip(*found, strict=True))
-    if (size > MOST).any():
-        parts = -(-size // MOST)
-        of = np.repeat(np.arange(len(size)), parts)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        anchor, start, size = anchor[of], start[of] + nth * MOST, np.minimum(MOST, size[of] - nth * MOST)
-    return anchor, start, size
-
-
-def located(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An anchor's bucket, and its short form there."""
-    return ((anchor >> np.uint64(SHORT)) % np.uint64(buckets)).astype(np.int64), anchor & np.uint64((1 << SHORT) - 1)
+def context_size(length: int) -> int:
+    """Bytes of context in a key: a window has so many before its anchor, or else behind it."""
+    return (length - gram_size(length)) // 2
+
+
+class Strips:
+    """Strips as arrays: ``anchor, start`` (first window), ``size`` (windows), ``place`` (of the anchor), ``before, behind`` (keys of its windows with the context before the anchor, and of the others)."""
+
+    def __init__(self, data: np.ndarray, owner: np.ndarray, length: int):
+        """``owner`` is a document's number for each byte, -1 for none."""
+        gram, context, n = gram_size(length), context_size(length), len(data) - length + 1
+        found = [np.zeros(0, np.int64)] * 3
+        hashes = [np.zeros(0, np.uint64)] * 3
+        low = np.uint64((1 << SEGMENT.bit_length()) - 1)
+        for a in range(0, max(0, n), SEGMENT):
+            z = min(n, a + SEGMENT)
+            grams, contexts = doubled_hashes(data[a : z + length - 1], gram, gram + context)
+            place = (least(grams & ~low | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & low).astype(np.int64)
+            own = owner[a:z]
+            whole = (own == owner[a + length - 1 : z + length - 1]) & (own >= 0)
+            new = np.ones(z - a, bool)
+            new[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1])
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, z - a))
+            at, size = at[whole[at]], size[whole[at]]
+            place = place[at]
+            found = [np.concatenate(x) for x in zip(found, (at + a, size, place + a), strict=True)]
+            keys = contexts[np.maximum(place - context, 0)] ^ np.uint64(1), contexts[np.minimum(place, len(contexts) - 1)]
+            hashes = [np.concatenate(x) for x in zip(hashes, (grams[place], *keys), strict=True)]
+        self.start, self.size, self.place = found
+        self.anchor, self.before, self.behind = hashes
+        if (self.size > MOST).any():
+            parts = -(-self.size // MOST)
+            of = np.repeat(np.arange(len(parts)), parts)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            size = self.size[of]
+            for name, value in vars(self).items():
+                setattr(self, name, value[of])
+            self.start, self.size = self.start + nth * MOST, np.minimum(MOST, size - nth * MOST)
+        #: Windows that begin up to here have the context before the anchor.
+        self.turn = np.clip(self.place - context_size(length) + 1, self.start, self.start + self.size)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys that occur, and the first window with each."""
+        one, two = self.turn > self.start, self.turn < self.start + self.size
+        return np.concatenate([self.before[one], self.behind[two]]), np.concatenate([self.start[one], self.start[two]])
+
+
+def located(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's bucket, and its short form there."""
+    return ((hashes >> np.uint64(SHORT)) % np.uint64(buckets)).astype(np.int64), hashes & np.uint64((1 << SHORT) - 1)
 
 
 def packed(short: np.ndarray) -> bytes:
@@ -150,38 +177,36 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text")).mapInArrow(run, schema)
 
 
-def anchors(staged: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Rows ``bucket, chunk, anchors``: a chunk's anchors once, or twice where more than one of its documents has them."""
+def keys(staged: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Rows ``bucket, chunk, keys``: a chunk's keys once, or twice where more than one of its documents has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 chunk = Chunk(r["data"], r["n_bytes"], r["ids"], r["sizes"])
-                anchor, start, _ = strips(chunk.data, chunk.owner, length)
-                key = chunk.ids[chunk.owner[start]]
-                by = np.argsort(anchor, kind="stable")
-                anchor, key = anchor[by], key[by]
-                first = np.ones(len(anchor), bool)
-                first[1:] = anchor[1:] != anchor[:-1]
-                at = np.flatnonzero(first)
+                key, start = Strips(chunk.data, chunk.owner, length).keys()
+                doc = chunk.ids[chunk.owner[start]]
+                by = np.argsort(key, kind="stable")
+                key, doc = key[by], doc[by]
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
                 if not len(at):
                     continue
-                several = np.minimum.reduceat(key, at) != np.maximum.reduceat(key, at)
-                bucket, short = located(np.repeat(anchor[at], 1 + several), buckets)
+                several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+                bucket, short = located(np.repeat(key[at], 1 + several), buckets)
                 by = np.argsort(bucket, kind="stable")
                 bucket, short = bucket[by], short[by]
                 edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 blobs = [packed(x) for x in np.split(short, edges[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(np.full(len(edges), r["chunk"])), pa.array(blobs, pa.binary())], ["bucket", "chunk", "anchors"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(np.full(len(edges), r["chunk"])), pa.array(blobs, pa.binary())], ["bucket", "chunk", "keys"])
 
-    return staged.select("chunk", "n_bytes", "data", "ids", "sizes").mapInArrow(run, "bucket int, chunk long, anchors binary")
+    return staged.select("chunk", "n_bytes", "data", "ids", "sizes").mapInArrow(run, "bucket int, chunk long, keys binary")
 
 
-def shared_anchors(found: DataFrame, most_chunks: int) -> DataFrame:
-    """Rows ``chunk, bucket, shared, wide``: its anchors that another document has too, in ``wide`` those in more than ``most_chunks`` chunks."""
+def shared_keys(found: DataFrame, most_chunks: int) -> DataFrame:
+    """Rows ``chunk, bucket, shared, wide``: its keys that another document has too, in ``wide`` those in more than ``most_chunks`` chunks."""
 
     def run(rows: pa.Table) -> pa.Table:
-        each = [unpacked(x.as_py()) for x in rows["anchors"]]
+        each = [unpacked(x.as_py()) for x in rows["keys"]]
         values, counts = np.unique(np.concatenate(each), return_counts=True)
         several, wide = values[counts > 1], values[counts > 2 * most_chunks]
         out = {"chunk": [], "bucket": [], "shared": [], "wide": []}
@@ -204,7 +229,7 @@ def held(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def candidates(chunk: Chunk, shared: list, length: int, buckets: int) -> dict:
-    """The chunk's strips with shared anchors, as distinct texts in order of bucket, and where each occurs.
+    """The chunk's windows with shared keys in strips, as distinct texts in order of bucket, and where each occurs.
 
     Returns arrays ``bucket, key`` (the anchor there), ``texts`` (a list), ``one``
     (the smallest id), and per occurrence ``of`` (its text), ``start, size, id``.
@@ -213,20 +238,26 @@ def candidates(chunk: Chunk, shared: list, length: int, buckets: int) -> dict:
     def whole(field: str) -> np.ndarray:
         return np.sort(np.concatenate([(np.uint64(x["bucket"]) << np.uint64(SHORT)) | unpacked(x[field]) for x in shared]))
 
-    anchor, start, size = strips(chunk.data, chunk.owner, length)
-    bucket, key = located(anchor, buckets)
-    full = (bucket.astype(np.uint64) << np.uint64(SHORT)) | key
-    near, wide = held(whole("shared"), full), held(whole("wide"), full)
-    start_w, key_w, bucket_w = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if wide.any():
-        start_w = spread(start[wide], size[wide])
+    def located_whole(hashes: np.ndarray) -> np.ndarray:
+        bucket, short = located(hashes, buckets)
+        return (bucket.astype(np.uint64) << np.uint64(SHORT)) | short
+
+    all_ = Strips(chunk.data, chunk.owner, length)
+    near, wide = whole("shared"), whole("wide")
+    before, behind = located_whole(all_.before), located_whole(all_.behind)
+    end = all_.start + all_.size
+    one, two = held(near, before) & (all_.turn > all_.start), held(near, behind) & (all_.turn < end)
+    start = np.where(one, all_.start, all_.turn)
+    size = np.where(two, end, all_.turn) - start
+    start, size, anchor = start[one | two], size[one | two], all_.anchor[one | two]
+    far_one, far_two = held(wide, before) & (all_.turn > all_.start), held(wide, behind) & (all_.turn < end)
+    start_w = np.concatenate([spread(all_.start[far_one], (all_.turn - all_.start)[far_one]), spread(all_.turn[far_two], (end - all_.turn)[far_two])])
+    if len(start_w):  # their hashes are their anchors
         hashes = np.full(len(start_w), np.uint64(length))
         for t in range(length):
             hashes = mixed(hashes, chunk.data[start_w + t].astype(np.uint64))
-        bucket_w, key_w = located(hashes, buckets)
-    start = np.concatenate([start[near], start_w])
-    size = np.concatenate([size[near], np.ones(len(start_w), np.int64)])
-    bucket, key = np.concatenate([bucket[near], bucket_w]), np.concatenate([key[near], key_w])
+        start, size, anchor = np.concatenate([start, start_w]), np.concatenate([size, np.ones(len(start_w), np.int64)]), np.concatenate([anchor, hashes])
+    bucket, key = located(anchor, buckets)
     by = np.argsort(bucket, kind="stable")
     start, size, bucket, key = start[by], size[by], bucket[by], key[by]
     known: dict[bytes, int] = {}
@@ -410,7 +441,7 @@ def repeated_passages(
     back each. Extra columns are ignored; an empty table gives an empty result.
 
     The other parameters bound memory and change no result: bytes of a chunk, of
-    text a bucket, of strips indexed at a time, and the chunks that an anchor may
+    text a bucket, of strips indexed at a time, and the chunks that a key may
     be in before its windows are dealt out one by one.
     """
     spark = docs.sparkSession
@@ -418,7 +449,7 @@ def repeated_passages(
     staged = tables.put(chunks(docs, id_col, text_col, chunk_bytes))
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    shared = tables.put(shared_anchors(anchors(staged, length, buckets), most_chunks))
+    shared = tables.put(shared_keys(keys(staged, length, buckets), most_chunks))
     by_chunk = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "wide")).alias("shared"))
     marks = tables.put(answers(asked(staged.join(by_chunk, "chunk"), length, buckets), length, slice_bytes))
     marked = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "repeats")).alias("marks"))
