@@ -136,6 +136,12 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, each made when it is reached."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Chunk:
     """Some documents' bytes in a row, with the id that each byte's document has."""
 
@@ -174,7 +180,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Dat
         if texts:
             yield row()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def keys(staged: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -182,7 +188,7 @@ def keys(staged: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 chunk = Chunk(r["data"], r["n_bytes"], r["ids"], r["sizes"])
                 key, start = Strips(chunk.data, chunk.owner, length).keys()
                 doc = chunk.ids[chunk.owner[start]]
@@ -278,7 +284,7 @@ def asked(joined: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 found = candidates(Chunk(r["data"], r["n_bytes"], r["ids"], r["sizes"]), r["shared"], length, buckets)
                 if not found["texts"]:
                     continue
@@ -398,7 +404,7 @@ def cut_out(joined: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 chunk = Chunk(r["data"], r["n_bytes"], r["ids"], r["sizes"])
                 if r["marks"]:
                     gone = covered(chunk, candidates(chunk, r["shared"], length, buckets), r["marks"], length)
@@ -426,7 +432,7 @@ def repeated_passages(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 50,
-    chunk_bytes: int = 4 << 20,
+    chunk_bytes: int = 2 << 20,
     bucket_bytes: int = 8 << 20,
     slice_bytes: int = 2 << 20,
     most_chunks: int = 4096,
