@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import chat, collisions, credentials, crosspolytope, langid, minhash, mixing, packing, passages, quality, wrappers
+from leafline.llm import chat, collisions, credentials, crosspolytope, langid, minhash, mixing, packing, passages, periods, quality, wrappers
 from leafline.session import table
 
 
@@ -69,6 +69,21 @@ def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, one in ten with a repeat planted by rule."""
+    found = periods.periodic_runs(periods.with_planted_repeats(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periods.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
@@ -88,6 +103,7 @@ _QUERIES = {
     "op9_credential_linking": op9_credential_linking,
     "op10_soft_mixing": op10_soft_mixing,
     "op12_run_length_index": op12_run_length_index,
+    "op13_suffix_tree_runs": op13_suffix_tree_runs,
     "pipeline": pipeline,
 }
 
