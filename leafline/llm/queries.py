@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import chat, collisions, credentials, crosspolytope, langid, minhash, mixing, packing, passages, periods, quality, wrappers
+from leafline.llm import chat, collisions, credentials, crosspolytope, importance, langid, minhash, mixing, packing, passages, periods, quality, wrappers
 from leafline.session import table
 
 
@@ -62,6 +62,12 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ngram_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents most like the benchmark's texts, one in twenty."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat 50 bytes of an earlier one."""
     found = passages.repeated_passages(table(spark, sf_dir, "documents"), length=50)
@@ -102,6 +108,7 @@ _QUERIES = {
     "op8_cross_parsing_language": op8_cross_parsing_language,
     "op9_credential_linking": op9_credential_linking,
     "op10_soft_mixing": op10_soft_mixing,
+    "op11_ngram_importance": op11_ngram_importance,
     "op12_run_length_index": op12_run_length_index,
     "op13_suffix_tree_runs": op13_suffix_tree_runs,
     "pipeline": pipeline,
