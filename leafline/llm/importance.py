@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafline.llm.runtime import Tables
+from leafline.llm.runtime import Tables, short_batches
 
 LONGEST = 3
 #: Letters A-Z become small; all bytes but digits, small letters and those beyond ASCII part words.
@@ -227,6 +227,7 @@ def resample(
     for each range of scores.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     tables = Tables(spark)
     sides = [{r["bucket"]: r["n"] for r in counted(x, c, buckets, block_bytes).collect()} for x, c in ((docs, text_col), (target, target_col))]
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

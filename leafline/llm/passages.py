@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.runindex import RunIndex, spread
-from leafline.llm.runtime import Tables
+from leafline.llm.runtime import Tables, short_batches
 
 SHORT = 40  # bits of a hash within its bucket; a chance collision only adds work
 MOST = 64  # windows of a strip at most, a bit each
@@ -451,6 +451,7 @@ def repeated_passages(
     be in before its windows are dealt out one by one.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     tables = Tables(spark)
     staged = tables.put(chunks(docs, id_col, text_col, chunk_bytes))
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0

@@ -11,7 +11,8 @@ stretch with several periods are one, with the smallest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.runindex import spread
+from leafline.llm.runtime import short_batches
 
 
 class Suffixes:
@@ -164,10 +166,11 @@ def maximal_runs(words: np.ndarray, sizes: np.ndarray, least: int, times: int) -
     return start[by], length[by], period[by]
 
 
-def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 24, times: int = 3, block_words: int = 200_000) -> DataFrame:
+def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 24, times: int = 3, edit: Callable[[int | None, list[bytes]], list[bytes]] | None = None, block_words: int = 200_000) -> DataFrame:
     """Per row its id (as ``id``), ``n_words``, ``runs`` and the ``collapsed`` text.
 
-    Words are what lies between spaces, tabs and line ends (ASCII). ``runs``
+    Words are what lies between spaces, tabs and line ends (ASCII); ``edit`` may
+    give others for a row's id and words before the search. ``runs``
     holds ``start, length, period`` in words of each stretch with that smallest
     period which no neighbouring word extends, of ``least`` words and ``times``
     periods or more, by start, then period. ``collapsed`` leaves each run's first
@@ -205,6 +208,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             first, texts, total = 0, [], 0
             for i in range(batch.num_rows):
                 x = (batch.column(1)[i].as_py() or b"").split()
+                x = edit(batch.column(0)[i].as_py(), x) if edit else x
                 if texts and total + len(x) > block_words:
                     yield block(batch.column(0).slice(first, len(texts)), texts)
                     first, texts, total = i, [], 0
@@ -213,6 +217,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if texts:
                 yield block(batch.column(0).slice(first, len(texts)), texts)
 
+    short_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     found = given.mapInArrow(run, f"id {kind}, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed binary")
@@ -225,14 +230,12 @@ def strongest(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda best, x: F.when(better(best, x), x).otherwise(best))
 
 
-def with_planted_repeats(docs: DataFrame) -> DataFrame:
-    """Documents of which one in ten, by its id, ends in a repeated stretch of its own words."""
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    g, words = F.floor(h / 10), F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    cut = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
-    n = F.size("words")
-    a = F.col("g") % n
-    period = F.floor((n - a) / (3 + F.col("g") % 8)) + 1
-    tail = F.flatten(F.array_repeat(F.slice("words", (a + 1).cast("int"), period.cast("int")), (F.floor((n - a) / period) + 1).cast("int")))
-    planted = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), a.cast("int")), tail), F.lit(1), n), " ")
-    return cut.select("doc_id", F.when(F.col("words").isNotNull() & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of one document in ten by its id with a tail that repeats a stretch of them."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return (words[:a] + words[a : a + period] * -(-(n - a) // period))[:n]

@@ -77,7 +77,7 @@ def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, one in ten with a repeat planted by rule."""
-    found = periods.periodic_runs(periods.with_planted_repeats(table(spark, sf_dir, "documents")))
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), edit=periods.planted)
     found = found.withColumn("best", periods.strongest(F.col("runs")))
     lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
     return found.select(

@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers ``rows`` at a time, where the session is still set to Spark's ten thousand: a batch is held several times over on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, without its lineage."""
     shared_folder(df.sparkSession)
