@@ -11,7 +11,7 @@ from leafline.registry import register
 from leafline.session import table
 
 #: A query for each ten documents: the first three words of an item of the benchmark in capitals, letters only.
-_ASKED = """w AS (SELECT item_id, [regexp_replace(upper(split_part(text, ' ', i)), '[^A-Z]', '', 'g') FOR i IN [1, 2, 3]] AS w, row_number() OVER (ORDER BY item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark),
+_ASKED = """w AS (SELECT item_id, [upper(regexp_replace(split_part(text, ' ', i), '[^A-Za-z]', '', 'g')) FOR i IN [1, 2, 3]] AS w, row_number() OVER (ORDER BY item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark),
   g AS (SELECT DISTINCT doc_id // 10 AS g FROM documents), q AS (SELECT g AS query_id, list_distinct(list_filter(w, lambda x: length(x) >= 3)) AS t FROM g JOIN w ON g % n = r),
   b AS (SELECT doc_id // 10 AS query_id, doc_id AS node_id, doc_id % 10 AS page_no, regexp_replace(lower(split_part(coalesce(text, ''), ' ', 1) || ' ' || source), '[\\s_\\-./\\\\|:,;()\\[\\]{}<>"''`]+', '', 'g') AS title,
     regexp_replace(lower(coalesce(text, '')), '[\\s_\\-./\\\\|:,;()\\[\\]{}<>"''`]+', '', 'g') AS text FROM documents),
@@ -22,7 +22,7 @@ _ASKED = """w AS (SELECT item_id, [regexp_replace(upper(split_part(text, ' ', i)
 def asked_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    word = lambda i: F.regexp_replace(F.upper(F.split_part("text", F.lit(" "), F.lit(i))), "[^A-Z]", "")
+    word = lambda i: F.upper(F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(i)), "[^A-Za-z]", ""))
     # the benchmark is a list of items whose number does not grow with the documents
     items = table(spark, sf_dir, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("r"), F.array(word(1), word(2), word(3)).alias("seeds"))
     n = items.count()
@@ -63,9 +63,28 @@ def locator_table_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.windows(L.profiles(queries), rows).select("query_id", "start", "end", "score")
 
 
-@register("locator_role_closure")
+_ROLES = """WITH RECURSIVE c AS (SELECT p_size AS query_id, p_partkey AS k, string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') AS w, [p_type, p_brand] AS path,
+    row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS place FROM part),
+  d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k % 20, k) - 1 AS n, place <= 2 AS selected,
+    list_filter(list_distinct([lower(regexp_replace(x, '[^0-9A-Za-z_]+', '', 'g')) FOR x IN w]), lambda x: x <> '') AS h FROM c WHERE place <= 12),
+  p AS (SELECT o.query_id, o.k, o.n, o.selected, b.n AS bn, len(list_intersect(list_distinct(b.w), list_distinct(o.w))) AS shared, b.path = o.path AS same,
+      b.path[1] = o.path[1] AS kin1, b.path[2] = o.path[2] AS kin2, greatest(0, b.k % 20 - o.k % 20 - 1, o.k % 20 - b.k % 20 - 1) AS gap,
+      b.k % 4 <> 0 AND o.k % 4 <> 0 AND o.k % 13 <> 0 AS tables, b.k % 3 = 0 AND o.k % 3 = 0 AS named,
+      (len(list_intersect(b.h, o.h)) + 0.5 * len(list_filter(b.h, lambda x: NOT list_contains(o.h, x) AND len(list_filter(o.h, lambda y: contains(x, y) OR contains(y, x))) > 0))) / len(b.h) AS alike
+    FROM d o LEFT JOIN d b ON b.query_id = o.query_id AND b.n <> o.n),
+  m AS (SELECT query_id, k, n, selected, coalesce(bit_or(CASE WHEN tables AND gap <= 1 AND (named AND alike >= 0.45 OR (same OR NOT named) AND shared >= CASE WHEN kin1 OR kin2 THEN 4 ELSE 6 END) THEN 1 << bn ELSE 0 END), 0) AS cont,
+      coalesce(bit_or(CASE WHEN shared >= CASE WHEN kin1 OR kin2 OR gap <= 2 THEN 2 ELSE 3 END THEN 1 << bn ELSE 0 END), 0) AS kin FROM p GROUP BY ALL),
+  f AS (SELECT query_id, min(n) FILTER (selected) AS pn FROM m GROUP BY 1),
+  s AS (SELECT m.*, CASE WHEN n = pn THEN 'primary' WHEN cont & (1 << pn) <> 0 THEN 'continuation' ELSE 'related' END AS role FROM m JOIN f USING (query_id) WHERE selected),
+  t AS (SELECT query_id, -1 AS n, NULL::BIGINT AS k, NULL::VARCHAR AS role, bit_or(CASE WHEN role <> 'related' THEN 1 << n ELSE 0 END) AS i, bit_or(CASE WHEN role = 'related' THEN 1 << n ELSE 0 END) AS r FROM s GROUP BY 1
+    UNION ALL SELECT query_id, n, k, role, CASE WHEN role = 'continuation' THEN i | (1 << n) ELSE i END, CASE WHEN role = 'related' THEN r | (1 << n) ELSE r END FROM (
+      SELECT m.query_id, m.n, m.k, i, r, CASE WHEN m.selected THEN NULL WHEN cont & i <> 0 THEN 'continuation' WHEN kin & (i | r) <> 0 THEN 'related' WHEN m.k % 5 = 0 THEN 'rejected' END AS role FROM t JOIN m ON m.query_id = t.query_id AND m.n = t.n + 1))
+  SELECT query_id, k AS node_id, role FROM s UNION ALL SELECT query_id, k, role FROM t WHERE role IS NOT NULL"""
+
+
+@register("locator_role_closure", _ROLES)
 def locator_role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of the best candidates of each size of parts; taking in order is not for SQL, a test has written-out cases."""
+    """Roles of the best candidates of each size of parts."""
     from pyspark.sql import Window
 
     k, words = F.col("p_partkey"), F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
