@@ -50,7 +50,7 @@ DROPPED_NAMES = frozenset(
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 MAIN_NAMES = frozenset("article articlebody post postbody entry story maincontent".split())
-DEEPEST = 48
+DEEPEST = 150
 #: Pages from which on a text alike on all of them is template.
 ENOUGH = 3
 NAME = re.compile(r"[a-z]+")
@@ -241,7 +241,7 @@ def repeat(node: list) -> None:
 
 
 def fold(children: list) -> list:
-    """``children`` with runs of like elements, and of like sequences of up to six, as repeated groups."""
+    """``children`` with runs of like elements, and of like sequences, as repeated groups."""
     out: list = []
     for node in children:
         if out and out[-1][0] == node[0]:
@@ -249,7 +249,12 @@ def fold(children: list) -> list:
             repeat(out[-1])
         else:
             out.append(node)
-    for period in range(2, 7):
+    last: dict[str, int] = {}
+    gaps = set()
+    for i, node in enumerate(out):  # a sequence comes again as far on as its first element
+        gaps.add(i - last.get(node[0], i))
+        last[node[0]] = i
+    for period in sorted(x for x in gaps if x > 1):
         i = 0
         while i + 2 * period <= len(out):
             if all(out[i + j][0] == out[i + period + j][0] for j in range(period)):
@@ -395,24 +400,26 @@ def centre_of(root: list, fixed: bool) -> list:
 def decide(root: list) -> list:
     """The wrapper as rules [key, kept, children]: whether an element's own text is main text."""
     fixed = not mass(root, False)  # one page or copies of one: nothing tells its template from its text
-    whole = mass(root, fixed)
+    whole, every = mass(root, fixed), mass(root, True)
     centre = centre_of(root, fixed)
     named: dict[int, int] = {1: 0, 2: 0}
+    filled: dict[int, int] = {1: 0, 2: 0}  # text alike on all pages too
 
     def find(node: list, within: bool) -> None:
         if dropped(node[0], within):
             return
         if sure := is_main(node[0]):
             named[sure] += mass(node, fixed, within)
+            filled[sure] += mass(node, True, within)
         for x in node[3]:
             if not sure or is_main(x[0]) != sure:
                 find(x, within or sure > 0)
 
     find(root, False)
-    # a named element stands for the main text if it holds the greater part of what differs; names decide alone where nothing does
-    if 2 * named[2] >= max(whole, 1) or fixed and named[2] and 2 * named[2] >= named[1]:
+    # a named element stands for the main text if it holds the greater part of what differs, or of all text; names decide alone where nothing differs
+    if 2 * named[2] >= max(whole, 1) or 2 * filled[2] >= max(every, 1) or fixed and named[2] and 2 * named[2] >= named[1]:
         want = 2
-    elif 2 * named[1] >= max(whole, 1) or fixed and 4 * named[1] >= max(whole, 1):
+    elif 2 * named[1] >= max(whole, 1) or 2 * filled[1] >= max(every, 1) or fixed and 4 * named[1] >= max(whole, 1):
         want = 1
     else:
         want = 2 if fixed and named[2] else 0
@@ -424,7 +431,8 @@ def decide(root: list) -> list:
         kept = kept or bool(want and sure >= want and (sure == want or want == 1)) or (not want and node is centre)
         slot = node[2]
         own = kept and not out
-        if own and slot and not fixed and template(slot):
+        # in a named main element text is template only if it is of links: articles may be alike
+        if own and slot and not fixed and template(slot) and (not want or 5 * slot[2] > 4 * slot[1]):
             own = False
         if own and slot and not want and slot[0] >= ENOUGH and 5 * slot[2] > 4 * slot[1]:
             own = False
@@ -461,12 +469,28 @@ def local(own: list, host: list) -> list:
     return own
 
 
+def plain_text(element: Element, within: bool = False) -> int:
+    """Characters of a page outside links and what is dropped."""
+    within = within or is_main(element.key) > 0
+    if dropped(element.key, within):
+        return 0
+    return sum(len(x) if isinstance(x, str) else plain_text(x, within) for x in element.items) - element.link
+
+
 def main_blocks(page: Element, rule: list, host: Callable[[], list]) -> list[str]:
-    """The main text's blocks of a page by its host's rules; where they find none, by rules for the page's own template."""
+    """The main text's blocks of a page by its host's rules, or by rules for the page's own template.
+
+    The page's own are asked where the host's find less than half of its text,
+    and taken where they find twice as much.
+    """
     blocks: list[str] = []
     extract(page, rule, blocks)
-    if not blocks and page.items:
-        extract(page, decide(local(wrapper_of(page), host())), blocks)
+    found = sum(map(len, blocks))
+    if 2 * found < plain_text(page) or not blocks and page.items:
+        own: list[str] = []
+        extract(page, decide(local(wrapper_of(page), host())), own)
+        if sum(map(len, own)) > 2 * found:
+            return own
     return blocks
 
 
@@ -524,8 +548,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Returns ``page_id, url, text, n_chars``. A null or empty page has an empty
     text. Pages without a host share one wrapper. The kind of main element is
-    chosen for the host; a page on which that finds no text is of another
-    template, and it is chosen for that page alone. Repeated rows each get their
+    chosen for the host; a page on which that finds the smaller part of the text
+    is of another template, and it is chosen for that page alone. Elements nested
+    more than 150 deep count as their parent's text. Repeated rows each get their
     result; extra columns are ignored; an empty table gives an empty result.
     Wrappers go to all tasks if together they hold at most ``broadcast_bytes``,
     and are joined by host beyond that.

@@ -186,3 +186,33 @@ def test_text_that_differs_becomes_a_slot():
     a, b = (wrappers.wrapper_of(wrappers.parse(f"<p>same</p><h1>n {n}</h1>")) for n in (1, 2))
     wrappers.merge(a, b)
     assert a[3][0][2][3] != -1 and a[3][1][2][3] == -1
+
+
+def texts_of(spark, bodies, host="one.example"):
+    pages = spark.createDataFrame([(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(wrappers.main_text(pages).collect(), key=lambda r: r["page_id"])]
+
+
+def test_a_template_with_a_small_article_keeps_its_own_text(spark):
+    long = "A paragraph of page {0} that goes on and on, with many words that no other page has, {0} of them. " * 4
+    bodies = [f"<nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><p>{long.format(i)}</p></article>" for i in range(5)]
+    bodies += [f"<nav><a href=/>Home</a></nav><div class=content><p>{long.format(i)}</p></div><article class=teaser>Teaser {i}</article>" for i in (5, 6)]
+    found = texts_of(spark, bodies)
+    assert found[:5] == [f"Title {i} {long.format(i).strip()}" for i in range(5)]
+    assert all(long.format(i).strip() in found[i] for i in (5, 6))
+
+
+def test_articles_alike_on_several_pages_stay(spark):
+    same = "The same notice of terms on every page, a whole paragraph of it and then some more words."
+    found = texts_of(spark, [f"<nav><a href=/>Home</a></nav><h1>Title {i}</h1><article><p>{same}</p></article><footer>All rights</footer>" for i in range(3)])
+    assert all(x.endswith(same) for x in found)
+    lead = "A lead sentence alike on three pages."
+    found = texts_of(spark, [f"<article><h2>{lead}</h2><p>What differs on page {i} of the host, and much more of it.</p></article>" for i in range(3)])
+    assert found == [f"{lead} What differs on page {i} of the host, and much more of it." for i in range(3)]
+
+
+def test_sequences_of_any_length_are_one_group():
+    names = "abcdefghijk"
+    page = lambda n: wrappers.wrapper_of(wrappers.parse("<body>" + "".join(f"<div class={c}>x</div>" for c in names) * n + "</body>"))
+    count = lambda node: 1 + sum(map(count, node[3]))
+    assert count(page(2)) == count(page(5)) < count(page(1)) + 3
