@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafline.llm.linear import held_out
-from leafline.llm.runtime import plus
+from leafline.llm.runtime import Sent, plus
 
 #: Letters that are parsed one after the other while other blocks are, too.
 BLOCK = 1024
@@ -204,7 +204,7 @@ class Parser:
         stop = np.minimum(begin + BLOCK, ends[text_of])
         state, starts = self._blocks(codes, begin, stop)
         meet, extra, late = self._joined(codes, stop, ends[text_of], state, starts)
-        upto = np.zeros((langs, len(codes) + 1), np.int64)
+        upto = np.zeros((langs, len(codes) + 1), np.int32 if len(codes) < 1 << 31 else np.int64)
         np.cumsum(starts, axis=1, out=upto[:, 1:])
         where = (np.searchsorted(begin, meet, "right") - 1).tolist()
         opens, closes, first = upto[:, begin], upto[:, stop], (np.cumsum(blocks) - blocks).tolist()
@@ -286,27 +286,28 @@ class Parser:
         return end, more
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, most_languages: int = 200, all_chars: int = 1_000_000) -> Model:
-    """Fit on labelled texts of the ``most_languages`` commonest languages.
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, all_chars: int = 1_000_000) -> Model:
+    """Fit on labelled texts of all languages.
 
     A language adds ``sample_chars`` letters of ``sample_rows`` texts, and all of
-    them together ``all_chars``, at most: these bound the model. The texts are
+    them together ``all_chars``, at most (or a letter each, if there are more
+    languages): these bound the model. The texts are
     those first by a hash of id and text, so they don't depend on how rows are
     stored. Letters are shared evenly over the texts that a language has; where
     a text is longer than its share, pieces at even distances over all of it
     are taken.
     """
     labelled = docs.where(F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return build({})
     budget = max(1, min(sample_chars, all_chars // len(counts)))
     most = {r["lang"]: 4 * -(-budget // min(sample_rows, r["n"])) for r in counts}
     # by far more rows than are used pass, as some are empty or repeated
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 8 * sample_rows / r["n"]))])
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 8 * sample_rows / r["n"])) for r in counts], "lang string, share double")
     order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(8))
-    rows = labelled.where(F.col(lang_col).isin(list(most)) & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
-    rows = rows.where(F.pmod("h", F.lit(1 << 30)) <= limits[F.col("lang")] * F.lit(1 << 30))
+    rows = labelled.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(limits), "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * F.lit(1 << 30)).select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,19 +340,20 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     language first by name. Other columns pass through untouched.
     """
     docs = docs.drop("lang_pred", "score")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Sent(docs.sparkSession, model)
     schema = plus(docs.schema, lang_pred=T.StringType(), score=T.DoubleType())
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(held.value) if held.value.languages else None
+        most_chars = max(10_000, min(1_000_000, 4_000_000 // max(1, len(held.value.languages))))  # each language has its own parse of a letter
         for batch in batches:
             texts = [x or "" for x in batch.column(text_at).to_pylist()]
             names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
             start = 0
             while parser and start < len(texts):
                 stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= 1_000_000):
+                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= most_chars):
                     chars += len(texts[stop])
                     stop += 1
                 letters, phrases = parser.phrases(texts[start:stop])

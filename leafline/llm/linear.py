@@ -103,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, outputs:
         given = given.where(F.col("_h") < int(sample_rows / total * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     # the sample's ids are bounded by sample_rows, so they are sent to where the texts are
-    rows = texts.join(F.broadcast(given), "_id").select("_h", "_id", "text", "y").repartition(1).sortWithinPartitions("_h", "_id", "text")
+    # one row an id and label: however often an id is repeated, the sample stays bounded
+    met = texts.join(F.broadcast(given), "_id").groupBy("_h", "_id", "y").agg(F.min("text").alias("text"))
+    rows = met.select("_h", "_id", "text", "y").repartition(1).sortWithinPartitions("_h", "_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []

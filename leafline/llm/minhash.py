@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm.hashing import mix, shingle_sets, shingle_sets_of_many, slices
-from leafline.llm.runtime import FEW, Tables, connected_components, narrow
+from leafline.llm.runtime import FEW, Tables, connected_components, fresh, narrow
 
 _STRIDE = 0x9E3779B1
 
@@ -352,7 +352,7 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     Rows that repeat an id give one row. Texts without words link with nothing and
     stay; an empty table gives an empty result; other columns are as they were.
     """
-    found = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    id_col = settings.get("id_col", "doc_id")
-    ids = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col("_kept"), "left_semi")
+    id_col, name = settings.get("id_col", "doc_id"), fresh(docs.columns, "_kept")
+    found = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    ids = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(name), "left_semi")
     return ids.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,8 +3,9 @@
 A classifier learned from the labelled table gives each document a posterior
 over domains. Rates then minimise the squared distance between the expected
 tokens of each domain and its target, by gradient steps projected onto the
-range that rates may have. A step needs one sum a domain over all documents and
-sends back one number a domain, so a document's rate is folded from its own
+range that rates may have, each as long as the documents whose rates are within
+it can take. A step needs sums by domains over all documents and sends back one
+number a domain, so a document's rate is folded from its own
 posterior and the steps so far, and nothing per document leaves its partition.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafline.llm.linear import Linear, fit
-from leafline.llm.runtime import Tables, fresh, plus
+from leafline.llm.runtime import Sent, Tables, fresh, plus
 
 #: Domains of the labelled table, and the share of tokens that each should have.
 DOMAINS = ("clean", "toxic", "low")
@@ -37,7 +38,7 @@ def domain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def with_posteriors(docs: DataFrame, model: Linear, text_col: str = "text", tokens: str = "n_tokens", posterior: str = "posterior") -> DataFrame:
     """``docs`` with columns ``tokens`` (white-space words) and ``posterior``, an array over domains; such columns of ``docs`` are replaced."""
     docs = docs.drop(tokens, posterior)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Sent(docs.sparkSession, model)
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,21 +66,28 @@ def rate(posterior: Column, steps: list[list[float]], cap: float, begin: Column
     return F.aggregate(taken, begin, move)
 
 
-def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float | None = None, most_steps: int = 40, close: float = 1e-4, kept_steps: int = 8) -> list[list[float]]:
+def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float | None = None, close: float = 5e-4, kept_steps: int = 8) -> list[list[float]]:
     """Steps of projected-gradient least squares over ``n_tokens, posterior`` of ``scored``.
 
     Targets are ``weights`` times ``total`` tokens; by default as many as the
     first domain can fill at rate one, or all there are if its weight is zero.
-    Gradients are scaled by the domains' second moments, so a step of size one
-    is safe and few are needed. Ends when targets are met, or no longer come
-    nearer, within ``close`` of the total. Every ``kept_steps`` steps the rates so
-    far are written beside the posteriors, so no step folds more than that many.
+    A step goes along the gradient, scaled by the second moments of documents
+    whose rate can follow it (no bound is in the way, by the gradient before), to
+    where these alone would meet the targets. If that leads farther off, a
+    quarter of it is tried, then the gradient scaled by the moments of all
+    documents, at a length that grows while it helps, and at last at the length
+    that always leads nearer. Ends when each target is met within ``close`` of it
+    (of a thousandth of the total, if it is less), or when no step takes a
+    ten-thousandth off the squared distance, or five together less than a
+    fiftieth: then the bounds keep the targets out of reach. Every ``kept_steps`` steps the rates so far are written beside the
+    posteriors, so no step folds more than that many.
     """
     k = len(weights)
     p = [F.col(f"p{i}") for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(k)]
     tables = Tables(scored.sparkSession)
     given = scored.select(F.col("n_tokens").cast("double").alias("t"), *[F.col("posterior")[i].alias(f"p{i}") for i in range(k)])
-    moments = given.agg(*[F.sum(F.col("t") * p[i] * p[j]) for i in range(k) for j in range(k)], *[F.sum(F.col("t") * p[i]) for i in range(k)]).first()
+    moments = given.agg(*[F.sum(F.col("t") * p[i] * p[j]) for i, j in pairs], *[F.sum(F.col("t") * p[i]) for i in range(k)]).first()
     moments = np.array([x or 0.0 for x in moments])
     second, have = moments[: k * k].reshape(k, k), moments[k * k :]
     if have.sum() <= 0:
@@ -87,23 +95,45 @@ def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float
     if total is None:
         total = have[0] / weights[0] if weights[0] > 0 else have.sum()
     target = np.array(weights) * total
-    inverse = np.linalg.inv(second + np.eye(k) * 1e-9 * max(second.trace(), 1e-9))
+    near = close * np.maximum(target, 1e-3 * total)
+
+    def scaled(matrix: np.ndarray) -> np.ndarray:
+        return np.linalg.inv(matrix + np.eye(k) * 1e-9 * max(second.trace(), 1e-9))
+
+    whole = scaled(second)
     steps: list[list[float]] = []
-    held = tables.put(given.withColumn("r", F.lit(min(1.0, float(cap)))))
-    since, last = 0, None
-    for _ in range(most_steps):
-        now = rate(F.array(*p), steps[since:], cap, F.col("r"))
-        sums = held.select("t", *p, now.alias("r")).agg(*[F.sum(F.col("t") * F.col("r") * p[i]) for i in range(k)]).first()
-        off = np.array([x or 0.0 for x in sums]) - target
-        loss = float(off @ inverse @ off)
-        if np.abs(off).sum() <= close * total or last is not None and last - loss <= 1e-4 * last:
+    trials: list[np.ndarray] = []  # steps from the best rates so far that are still to be tried
+    held, since = tables.put(given.withColumn("r", F.lit(min(1.0, float(cap))))), 0
+    best, size, losses = None, 1.0, []
+    pull = whole @ (have * min(1.0, float(cap)) - target)
+    while True:
+        rated = held.select("t", *p, rate(F.array(*p), steps[since:], cap, F.col("r")).alias("r"))
+        down = sum((p[i] * float(pull[i]) for i in range(k)), F.lit(0.0))
+        follows = ((F.col("r") > 0) | (down < 0)) & ((F.col("r") < float(cap)) | (down > 0))
+        free = F.when(follows, F.col("t")).otherwise(0.0)
+        sums = rated.agg(*[F.sum(F.col("t") * F.col("r") * p[i]) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        sums = np.array([x or 0.0 for x in sums])
+        off = sums[:k] - target
+        loss = float(off @ whole @ off)
+        if (np.abs(off) <= near).all():
             break
-        last = loss
-        steps.append((inverse @ off).tolist())
-        if len(steps) - since == kept_steps:
-            held, before = tables.put(held.select("t", *p, rate(F.array(*p), steps[since:], cap, F.col("r")).alias("r"))), held
-            tables.drop(before)
-            since = len(steps)
+        if best is None or loss < best * (1 - 1e-4):
+            losses.append(loss)
+            if len(losses) > 5 and loss > 0.98 * losses[-6]:
+                break
+            size = 4 * size if len(trials) == 1 else 1.0
+            best, pull = loss, whole @ off
+            if len(steps) - since >= kept_steps:
+                held, before = tables.put(rated), held
+                tables.drop(before)
+                since = len(steps)
+            along = scaled(sums[k:].reshape(k, k)) @ off
+            trials = [along, along / 4, pull * size, pull]
+        else:
+            steps.pop()
+            if not trials:
+                break
+        steps.append(trials.pop(0).tolist())
     tables.drop(held)
     return steps
 
@@ -112,8 +142,8 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WE
     """The rate of every document.
 
     Returns ``doc_id, n_tokens, p_clean, p_toxic, p_low, rate``: over all
-    documents the sums of ``rate * n_tokens * p`` come as near the targets as
-    rates from 0 to ``cap`` allow. Null and empty texts have no tokens, the
+    documents the sums of ``rate * n_tokens * p`` are the targets, or as near
+    them as rates from 0 to ``cap`` allow. Null and empty texts have no tokens, the
     intercept's posterior and a rate like others of that posterior. Where no
     label was learned all posteriors are alike and all rates one, or ``cap`` if
     that is less. Null ids and repeated rows get their rate

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafline.llm.linear import Linear, fit, held_out
-from leafline.llm.runtime import plus
+from leafline.llm.runtime import Sent, plus
 
 
 def score(docs: DataFrame, model: Linear, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1; a null text scores as an empty one, a ``score`` that ``docs`` has is replaced."""
     docs = docs.drop("score")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Sent(docs.sparkSession, model)
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

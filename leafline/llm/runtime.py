@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,22 @@ class Tables:
                 path.getFileSystem(conf).delete(path, True)
 
 
+class Sent:
+    """A value that all tasks read, sent with the code of its class: executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held, self.own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "own": None}
+
+    @property
+    def value(self):
+        if self.own is None:
+            self.own = cloudpickle.loads(self.held.value)
+        return self.own
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores behind it until none of ``columns`` has it, in whatever case."""
     taken = {x.lower() for x in columns}
