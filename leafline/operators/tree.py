@@ -23,26 +23,38 @@ def heading_levels(headings: DataFrame) -> DataFrame:
     return held.withColumn("level", F.when(F.col("_n") > 0, F.col("_n") - least + 1).otherwise(0)).drop("_n")
 
 
-def nested(headings: DataFrame, deepest: int = 8) -> DataFrame:
-    """Each heading's parent: the nearest one before it with a smaller level.
+def _nearest(headings: DataFrame, before: bool) -> DataFrame:
+    """Per heading (``doc_id, ord``) the nearest one before it of a smaller level, or behind it of its own or a smaller one, as ``near``: its ``ord`` and ``node_id``.
 
-    For each level the last heading so far is kept in a window column; the
-    parent is the latest of those of smaller levels.
+    Each heading asks once for each smaller level that its document has (and,
+    behind it, for its own), and the headings of that level answer it in order: so
+    levels may be of any depth, and the levels of a document are ordered apart.
     """
-    so_far = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.struct("ord", "node_id")), ignorenulls=True).over(so_far).alias(f"_l{k}") for k in range(1, deepest)]
-    held = headings.select("*", *last)
-    above = F.array_max(F.array_compact(F.array(*[F.when(F.col("level") > k, F.col(f"_l{k}")) for k in range(1, deepest)])))
-    return held.select(*headings.columns, above["node_id"].alias("parent_id"))
-
-
-def subtree_end(headings: DataFrame, deepest: int = 8) -> DataFrame:
+    levels = headings.select(F.col("doc_id").alias("d"), F.col("level").alias("k")).distinct()
+    smaller = (F.col("k") < F.col("level")) if before else (F.col("k") <= F.col("level"))
+    asks = headings.join(levels, (F.col("doc_id") == F.col("d")) & smaller).select("doc_id", "k", "ord", F.lit(None).cast(dict(headings.dtypes)["node_id"]).alias("node_id"), F.lit(1).alias("asks"))
+    own = headings.select("doc_id", F.col("level").alias("k"), "ord", "node_id", F.lit(0).alias("asks"))
+    # a heading that asks its own level stands behind itself read forwards, and before itself read backwards
+    order = ["ord"] if before else [F.desc("ord"), F.desc("asks")]
+    so_far = Window.partitionBy("doc_id", "k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("asks") == 0, F.struct("ord", "node_id")), ignorenulls=True).over(so_far)
+    answered = own.unionByName(asks).withColumn("near", last).where((F.col("asks") == 1) & F.col("near").isNotNull())
+    best = F.max("near") if before else F.min("near")
+    return answered.groupBy("doc_id", "ord").agg(best.alias("near"))
+
+
+def nested(headings: DataFrame) -> DataFrame:
+    """Each heading's parent: the nearest one before it with a smaller level."""
+    found = _nearest(headings, True).select(F.col("doc_id").alias("_d"), F.col("ord").alias("_o"), F.col("near.node_id").alias("parent_id"))
+    given = headings.drop("parent_id")
+    return given.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("ord") == F.col("_o")), "left").drop("_d", "_o")
+
+
+def subtree_end(headings: DataFrame) -> DataFrame:
     """Where each heading's subtree ends: the order of the next heading of its level or a smaller one, null at the end."""
-    later = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.min(F.when(F.col("level") <= k, F.col("ord"))).over(later).alias(f"_n{k}") for k in range(1, deepest)]
-    held = headings.select("*", *nexts)
-    end = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_n{k}")) for k in range(1, deepest)])
-    return held.select(*headings.columns, end.alias("end_ord"))
+    found = _nearest(headings, False).select(F.col("doc_id").alias("_d"), F.col("ord").alias("_o"), F.col("near.ord").alias("end_ord"))
+    given = headings.drop("end_ord")
+    return given.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("ord") == F.col("_o")), "left").drop("_d", "_o")
 
 
 def grouped_body(elements: DataFrame) -> DataFrame:

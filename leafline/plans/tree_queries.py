@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.operators import repair as R
 from leafline.operators import treebuild as B
+from leafline.plans.merge_queries import HEADINGS, headings
 from leafline.registry import register
 from leafline.session import table
 
@@ -87,3 +89,12 @@ def visual_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(centred, 400.0).otherwise(50.0).alias("x0"), F.lit(10.0).alias("y0"), F.when(centred, 600.0).otherwise(1000.0).alias("x1"), F.lit(30.0).alias("y1"),
     )
     return B.levelled(B.components(rows)).select("doc_id", "ord", "level")
+
+
+@register("tree_repair", f"WITH {HEADINGS} SELECT doc_id, node_id, up AS parent_id, CASE WHEN node_id LIKE 's%' AND (CAST(substr(up, 2) AS INT) + 1) % 3 = 0 THEN 1 ELSE level END AS level FROM head")
+def tree_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that were all given one level and lie below the root, but for every third nation's suppliers, which lie below their nation and keep that level."""
+    given = headings(spark, sf_dir).withColumn("kind", F.lit("title")).withColumn("level", F.lit(1))
+    number = F.split_part(F.split_part("title", F.lit(" "), F.lit(1)), F.lit("."), F.lit(2))
+    nation = F.when(F.col("node_id").startswith("s") & (number.cast("int") % 3 == 0), F.concat(F.lit("n"), (number.cast("int") - 1).cast("string")))
+    return R.repaired(given.withColumn("parent_id", nation))
