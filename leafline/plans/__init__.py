@@ -2,6 +2,7 @@
 
 from leafline.plans import (  # noqa: F401
     document_queries,
+    evidence_package_queries,
     evidence_queries,
     fact_queries,
     locator_queries,

@@ -19,17 +19,22 @@ _ASKED = """w AS (SELECT item_id, [upper(regexp_replace(split_part(text, ' ', i)
   s AS (SELECT *, least(98, greatest(0, 24 + CASE WHEN query_id % 2 = 0 THEN 6 ELSE -6 END + least(46, 14 * title_hits) + least(40, 9 * body_hits) - least(30, 8 * negative_hits))) AS score FROM h)"""
 
 
-def asked_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def asked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id`` and ``seeds`` of a query for each ten documents."""
     from pyspark.sql import Window
 
     word = lambda i: F.upper(F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(i)), "[^A-Za-z]", ""))
     # the benchmark is a list of items whose number does not grow with the documents
     items = table(spark, sf_dir, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("r"), F.array(word(1), word(2), word(3)).alias("seeds"))
     n = items.count()
+    groups = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("query_id")).distinct().withColumn("r", (F.col("query_id") % n + 1).cast("int"))
+    return groups.join(items, "r").select("query_id", "seeds")
+
+
+def asked_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    groups = docs.select(F.floor(F.col("doc_id") / 10).alias("query_id")).distinct().withColumn("r", (F.col("query_id") % n + 1).cast("int"))
     kind = F.when(F.col("query_id") % 2 == 0, "text").otherwise("table")
-    queries = groups.join(items, "r").select("query_id", F.col("query_id").alias("doc_id"), F.lit("").alias("slot"), "seeds", F.array(F.lit("QU"), F.lit(" zz")).alias("negatives"), F.array(kind).alias("expected"))
+    queries = asked_words(spark, sf_dir).select("query_id", F.col("query_id").alias("doc_id"), F.lit("").alias("slot"), "seeds", F.array(F.lit("QU"), F.lit(" zz")).alias("negatives"), F.array(kind).alias("expected"))
     d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     nodes = docs.select(F.floor(d / 10).alias("doc_id"), d.alias("node_id"), (d % 10).alias("page_no"), F.lit(1).alias("pages"), F.lit(2).alias("depth"), F.lit("text").alias("kind"), F.concat_ws(" ", F.split_part(text, F.lit(" "), F.lit(1)), "source").alias("title"), text.alias("text"), F.lit(0).alias("rows"), F.lit(0).alias("columns"))
     return L.profiles(queries), nodes
