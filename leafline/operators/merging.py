@@ -123,22 +123,49 @@ def header_similarity(left: Column, right: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise((exact + held * 0.5) / F.greatest(F.size(a), F.lit(1)))
 
 
-def embedded_headers(rows: DataFrame) -> DataFrame:
-    """The first row of each table that heads numbered ones: ``doc_id, table_no, header_row`` (its index) and ``header_cells``.
+def _with_header_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``detail`` and ``head``, the first row of its table that heads numbered ones: its index and cells.
 
     It is among the first eight, has three cells or more with text of which
     less than half are numbers and six in ten differ, and a detail row follows
     within three.
     """
-    head = rows.where("row_index < 11").withColumn("detail", detail_row(F.col("cells")))
-    next_ = Window.partitionBy("doc_id", "table_no").orderBy("row_index").rowsBetween(1, 3)
+    whole = Window.partitionBy("doc_id", "table_no")
     some = filled(F.col("cells"))
     number = lambda c: F.regexp_replace(c, r"[,\s￥¥$%]", "").rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$")
     keyed = F.filter(F.transform(some, lambda c: F.regexp_replace(F.lower(c), r"[^0-9a-zA-Z_À-ɏ一-鿿]+", "")), lambda c: c != "")
     heads = (F.size(some) >= 3) & ~F.col("detail") & (F.size(F.filter(some, number)) * 2 < F.size(some)) & (F.size(F.array_distinct(keyed)) * 10 >= F.size(keyed) * 6) & (F.size(keyed) > 0)
-    found = head.withColumn("follows", F.max(F.col("detail").cast("int")).over(next_)).where(heads & (F.col("follows") == 1) & (F.col("row_index") < 8))
-    best = F.min(F.struct("row_index", "cells")).alias("b")
-    return found.groupBy("doc_id", "table_no").agg(best).select("doc_id", "table_no", F.col("b.row_index").alias("header_row"), F.col("b.cells").alias("header_cells"))
+    held = rows.withColumn("detail", detail_row(F.col("cells")))
+    held = held.withColumn("follows", F.max(F.col("detail").cast("int")).over(whole.orderBy("row_index").rowsBetween(1, 3)))
+    found = F.when((F.col("row_index") < 8) & (F.col("follows") == 1) & heads, F.struct("row_index", "cells"))
+    return held.withColumn("head", F.min(found).over(whole)).drop("follows")
+
+
+def _judged(tables: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Rows of documents of ``least`` tables or more with ``detail``, ``header_row, anchor_headers`` and ``included``, by the rule of ``continuations``.
+
+    A document's headers come to its rows as one map, so that all that follows is
+    a window within the document: rows are exchanged once, by document.
+    """
+    listed = tables.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("table_no", "headers"))).alias("listed"), F.count("*").alias("t"))
+    held = rows.join(listed.where(F.col("t") >= least), "doc_id").where(F.map_contains_key("listed", F.col("table_no")))
+    held = _with_header_rows(held.withColumn("headers", F.col("listed")[F.col("table_no")]).drop("listed", "t"))
+    whole = Window.partitionBy("doc_id", "table_no")
+    held = held.withColumn("row_width", F.max(F.size("cells")).over(whole)).withColumn("numbered", F.max(F.when(F.col("row_index") < 5, F.col("detail").cast("int"))).over(whole))
+    own = F.coalesce("head.cells", "headers", F.array().cast("array<string>"))
+    held = held.withColumn("own", F.transform(own, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    heads = F.col("head").isNotNull() | ((F.size("own") > 0) & ~generic_headers(F.col("own")))
+    anchor = F.min(F.when(heads, F.struct("table_no", "own"))).over(Window.partitionBy("doc_id"))
+    met = held.withColumn("anchor", anchor).where(F.col("anchor").isNotNull()).withColumn("anchor_headers", F.col("anchor.own"))
+    some, wide = filled(F.col("own")), F.size(filled(F.col("anchor_headers")))
+    width = F.greatest(F.size(some), "row_width")
+    near = (wide == 0) | (width == 0) | (F.abs(width - wide) <= WIDTH_APART)
+    named = (F.size(some) > 0) & ~generic_headers(some) & ~detail_row(some)
+    like = F.when(named, header_similarity(F.col("anchor_headers"), some) >= HEADER_LIKE).otherwise(F.col("numbered") == 1)
+    # headers are compared once a table, at its first row
+    told = F.when(F.col("row_index") == F.col("top"), (F.col("table_no") < F.col("anchor.table_no")) | (near & like))
+    met = met.withColumn("top", F.min("row_index").over(whole)).withColumn("told", told).withColumn("included", F.max("told").over(whole))
+    return met.select("doc_id", "table_no", "row_index", "cells", "detail", F.col("head.row_index").alias("header_row"), "anchor_headers", "included")
 
 
 def continuations(tables: DataFrame, rows: DataFrame) -> DataFrame:
@@ -152,19 +179,8 @@ def continuations(tables: DataFrame, rows: DataFrame) -> DataFrame:
     none and begin with numbered rows. Returns ``doc_id, table_no, header_row,
     anchor_headers, included``; tables without rows are left out.
     """
-    first = rows.groupBy("doc_id", "table_no").agg(F.max(F.size("cells")).alias("row_width"), F.max(F.when(F.col("row_index") < 5, detail_row(F.col("cells")).cast("int"))).alias("numbered"))
-    held = tables.join(first, ["doc_id", "table_no"]).join(embedded_headers(rows), ["doc_id", "table_no"], "left")
-    own = F.coalesce("header_cells", "headers", F.array().cast("array<string>"))
-    held = held.withColumn("own", F.transform(own, lambda c: F.trim(F.coalesce(c, F.lit("")))))
-    heads = F.col("header_row").isNotNull() | ((F.size("own") > 0) & ~generic_headers(F.col("own")))
-    anchor = held.where(heads).groupBy("doc_id").agg(F.min(F.struct("table_no", "own")).alias("a")).select("doc_id", F.col("a.table_no").alias("anchor_no"), F.col("a.own").alias("anchor_headers"))
-    met = held.join(anchor, "doc_id")
-    some, wide = filled(F.col("own")), F.size(filled(F.col("anchor_headers")))
-    width = F.greatest(F.size(some), "row_width")
-    near = (wide == 0) | (width == 0) | (F.abs(width - wide) <= WIDTH_APART)
-    named = (F.size(some) > 0) & ~generic_headers(some) & ~detail_row(some)
-    like = F.when(named, header_similarity(F.col("anchor_headers"), some) >= HEADER_LIKE).otherwise(F.col("numbered") == 1)
-    return met.select("doc_id", "table_no", "header_row", "anchor_headers", ((F.col("table_no") < F.col("anchor_no")) | (near & like)).alias("included"))
+    judged = _judged(tables, rows, 1).groupBy("doc_id", "table_no").agg(F.first(F.struct("header_row", "anchor_headers", "included")).alias("x"))
+    return judged.select("doc_id", "table_no", "x.*")
 
 
 def consolidated(tables: DataFrame, rows: DataFrame) -> DataFrame:
@@ -174,13 +190,12 @@ def consolidated(tables: DataFrame, rows: DataFrame) -> DataFrame:
     documents of three tables or more that give three detail rows or more of
     two columns or more.
     """
-    enough = tables.groupBy("doc_id").agg(F.count("*").alias("t")).where(F.col("t") >= LEAST_TABLES).select("doc_id")
-    found = continuations(tables.join(enough, "doc_id", "left_semi"), rows).where("included")
-    held = rows.join(found, ["doc_id", "table_no"]).where((F.col("row_index") > F.coalesce("header_row", F.lit(-1))) & detail_row(F.col("cells")))
-    sizes = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.greatest(F.max(F.size("cells")), F.max(F.size("anchor_headers"))).alias("width"))
-    wide = held.join(sizes.where((F.col("n") >= LEAST_ROWS) & (F.col("width") > 1)), "doc_id")
+    document = Window.partitionBy("doc_id")
+    held = _judged(tables, rows, LEAST_TABLES).where(F.col("included") & F.col("detail") & (F.col("row_index") > F.coalesce("header_row", F.lit(-1))))
+    held = held.withColumn("n", F.count("*").over(document)).withColumn("width", F.greatest(F.max(F.size("cells")).over(document), F.max(F.size("anchor_headers")).over(document)))
+    wide = held.where((F.col("n") >= LEAST_ROWS) & (F.col("width") > 1))
     cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.trim(F.coalesce(F.get("cells", i), F.lit(""))))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("table_no", "row_index")) - 1
+    place = F.row_number().over(document.orderBy("table_no", "row_index")) - 1
     return wide.select("doc_id", place.cast("long").alias("place"), "table_no", "row_index", cells.alias("cells"))
 
 
