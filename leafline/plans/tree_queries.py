@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.operators import ranges as G
 from leafline.operators import repair as R
 from leafline.operators import treebuild as B
 from leafline.plans.merge_queries import HEADINGS, headings
@@ -98,3 +99,23 @@ def tree_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.split_part(F.split_part("title", F.lit(" "), F.lit(1)), F.lit("."), F.lit(2))
     nation = F.when(F.col("node_id").startswith("s") & (number.cast("int") % 3 == 0), F.concat(F.lit("n"), (number.cast("int") - 1).cast("string")))
     return R.repaired(given.withColumn("parent_id", nation))
+
+
+@register(
+    "tree_range_text",
+    r"""WITH p AS (SELECT p_partkey AS k, p_partkey // 400 AS doc_id, p_partkey // 40 AS page, lower(regexp_replace(p_name || p_type, '[^\p{L}\p{N}]+', '', 'g')) AS a, lower(regexp_replace(p_name || CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_brand END, '[^\p{L}\p{N}]+', '', 'g')) AS b FROM part),
+      m AS (SELECT n.doc_id, n.k AS node_id, r.k AS range_id, n.k % 50 <> 0 AS same, CASE WHEN length(n.a) <= length(r.b) THEN n.a ELSE r.b END AS s, CASE WHEN length(n.a) <= length(r.b) THEN r.b ELSE n.a END AS l
+        FROM p n JOIN p r ON r.doc_id = n.doc_id AND r.k % 2 = 0 AND (n.k % 50 = 0 OR r.page IN (n.page, n.page + 1))),
+      c AS (SELECT *, CASE WHEN same THEN 0.08::DOUBLE ELSE 0::DOUBLE END + CASE WHEN contains(l, s) THEN 0.6::DOUBLE ELSE 0::DOUBLE END + CASE WHEN contains(l, left(s, 180)) THEN 0.22::DOUBLE ELSE 0::DOUBLE END
+        + least(0.32::DOUBLE, len(list_filter(list_distinct(string_split(s, '')), lambda x: contains(l, x)))::DOUBLE / len(list_distinct(string_split(s, ''))) * 0.32::DOUBLE) AS score FROM m)
+      SELECT doc_id, node_id, range_id, round(score, 6) AS score FROM c WHERE score >= 0.22 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY score DESC, range_id) = 1""",
+)
+def tree_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes by name and type, even ones as ranges by name and brand (some by their name alone), forty a page; every fiftieth node names no page."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    page = F.floor(k / 40).cast("int")
+    pages = F.when(k % 50 == 0, F.array().cast("array<int>")).otherwise(F.array(page, page + 1))
+    nodes = part.select(F.floor(k / 400).alias("doc_id"), k.alias("node_id"), pages.alias("pages"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    ranges = part.where(k % 2 == 0).select(F.floor(k / 400).alias("doc_id"), page.alias("page_no"), k.alias("ord"), k.alias("range_id"), F.concat_ws(" ", "p_name", F.when(k % 8 != 0, F.col("p_brand"))).alias("text"))
+    return G.text_matches(nodes, ranges)
