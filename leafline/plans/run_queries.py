@@ -159,3 +159,29 @@ def task_detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     out = table(spark, sf_dir, "orders").join(people, "o_custkey", "left").join(lines, "o_orderkey", "left")
     return out.select(F.col("o_orderkey").alias("task_id"), F.col("c_name").alias("customer"), F.coalesce("n", F.lit(0)).alias("pages"), F.coalesce("v", F.lit(0)).alias("value"))
+
+
+_CALLS = """c AS (SELECT event_id, user_id, event_type, ts, '{"q": ' || event_id || '}' AS request, CASE WHEN event_id % 4 <> 0 THEN '{"usage": {"prompt_tokens": ' || (event_id % 50) || '}, "choices": [{"message": {"content": "' || event_type || '"}}]}' END AS response FROM events)"""
+
+
+@register(
+    "llm_trace_rows",
+    f"""WITH {_CALLS}, r AS (SELECT *, 0 AS i FROM c UNION ALL SELECT event_id, user_id, NULL, ts, CASE WHEN event_id % 5 = 0 THEN request END, NULL, 1 FROM c)
+      SELECT 'llm-trace-' || substr(sha256(event_id || chr(31) || 'extract' || chr(31) || i), 1, 12) AS trace_id, event_id AS run_id, CASE WHEN i = 0 THEN event_type ELSE 'request-2' END AS kind, CAST(CASE WHEN i = 0 AND event_id % 3 = 0 THEN 7 ELSE length(request) END AS INT) AS input_chars,
+        CAST(CASE WHEN i = 0 AND event_id % 4 <> 0 THEN length(event_type) ELSE 0 END AS INT) AS output_chars, CAST(CASE WHEN response IS NOT NULL THEN event_id % 50 END AS INT) AS prompt_tokens,
+        'traces/' || event_id || '/llm-trace-' || substr(sha256(event_id || chr(31) || 'extract' || chr(31) || i), 1, 12) || '-request.json' AS request_key FROM r WHERE request IS NOT NULL OR response IS NOT NULL""",
+)
+def llm_trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests an event, of which the second has a payload in one of five."""
+    from leafline.streaming import traces as S
+
+    e = F.col("event_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    request = text('{"q": ', e, "}")
+    response = F.when(e % 4 != 0, text('{"usage": {"prompt_tokens": ', e % 50, '}, "choices": [{"message": {"content": "', F.col("event_type"), '"}}]}'))
+    none = [F.lit(None).cast("int")] * 5
+    first = F.struct(F.col("event_type"), request, response, F.when(e % 3 == 0, 7), *none)
+    second = F.struct(F.lit(None).cast("string"), F.when(e % 5 == 0, request), F.lit(None).cast("string"), *none, F.lit(None).cast("int"))
+    names = "struct<kind:string,request:string,response:string,input_chars:int,output_chars:int,prompt_tokens:int,completion_tokens:int,total_tokens:int,duration_ms:int>"
+    logs = table(spark, sf_dir, "events").select(e.alias("run_id"), F.col("user_id").alias("task_id"), F.lit("extract").alias("stage"), F.lit(None).cast("string").alias("mode"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.col("ts").alias("updated_at"), F.array(first.cast(names), second.cast(names)).alias("requests"))
+    return S.trace_rows(logs).select("trace_id", "run_id", "kind", "input_chars", "output_chars", "prompt_tokens", "request_key")
