@@ -286,8 +286,8 @@ class Parser:
         return end, more
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, all_chars: int = 1_000_000) -> Model:
-    """Fit on labelled texts of all languages.
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 48, sample_chars: int = 40_000, most_languages: int | None = None, all_chars: int = 1_000_000) -> Model:
+    """Fit on labelled texts of all languages, or of the ``most_languages`` commonest.
 
     A language adds ``sample_chars`` letters of ``sample_rows`` texts, and all of
     them together ``all_chars``, at most (or a letter each, if there are more
@@ -298,7 +298,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_row
     are taken.
     """
     labelled = docs.where(F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()  # a row a language
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    counts = (counts if most_languages is None else counts.orderBy(F.desc("n"), "lang").limit(most_languages)).collect()  # a row a language
     if not counts:
         return build({})
     budget = max(1, min(sample_chars, all_chars // len(counts)))

@@ -97,10 +97,10 @@ def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float
     target = np.array(weights) * total
     near = close * np.maximum(target, 1e-3 * total)
 
-    def scaled(matrix: np.ndarray) -> np.ndarray:
-        return np.linalg.inv(matrix + np.eye(k) * 1e-9 * max(second.trace(), 1e-9))
+    def scaled(matrix: np.ndarray, firm: float) -> np.ndarray:
+        return np.linalg.inv(matrix + np.eye(k) * firm * max(matrix.trace(), 1e-9 * second.trace(), 1e-18))
 
-    whole = scaled(second)
+    whole = scaled(second, 1e-4)  # firm enough that a domain which hardly any document has does not outweigh the others
     steps: list[list[float]] = []
     trials: list[np.ndarray] = []  # steps from the best rates so far that are still to be tried
     held, since = tables.put(given.withColumn("r", F.lit(min(1.0, float(cap))))), 0
@@ -127,7 +127,7 @@ def fit_rates(scored: DataFrame, weights: list[float], cap: float, total: float
                 held, before = tables.put(rated), held
                 tables.drop(before)
                 since = len(steps)
-            along = scaled(sums[k:].reshape(k, k)) @ off
+            along = scaled(sums[k:].reshape(k, k), 1e-7) @ off
             trials = [along, along / 4, pull * size, pull]
         else:
             steps.pop()
