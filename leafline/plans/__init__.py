@@ -12,6 +12,7 @@ from leafline.plans import (  # noqa: F401
     payload_queries,
     result_queries,
     run_queries,
+    source_queries,
     table_queries,
     text_queries,
     tree_queries,
