@@ -13,6 +13,7 @@ from leafline.plans import (  # noqa: F401
     result_queries,
     run_queries,
     source_queries,
+    store_queries,
     table_queries,
     text_queries,
     tree_queries,
