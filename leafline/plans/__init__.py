@@ -10,6 +10,7 @@ from leafline.plans import (  # noqa: F401
     output_queries,
     package_queries,
     payload_queries,
+    report_queries,
     result_queries,
     run_queries,
     source_queries,
