@@ -149,10 +149,10 @@ def variants(term: Column) -> Column:
     """
     text = F.trim(nfkc(term))
     plain = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"[\u200b\u200c\u200d\ufeff]+", "")
-    return F.when(F.coalesce(text, F.lit("")).isin("", *GENERIC_TERMS), F.array().cast("array<string>")).otherwise(_bound(plain, _spelt))
+    return F.when(F.coalesce(text, F.lit("")).isin("", *GENERIC_TERMS), F.array().cast("array<string>")).otherwise(bound(plain, _spelt))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once."""
     return F.transform(F.array(value), use)[0]
 

@@ -215,3 +215,15 @@ def test_scores_of_evidence(spark):
     assert of(evidence.score(items, terms, F.col("page_no") == 1, F.col("id") == 1)) == {1: 15 + 45 + 40 + 22, 2: 0, 3: 0}
     with pytest.raises(ValueError):
         evidence.score(items, terms, terms_bytes=1)
+
+
+@pytest.mark.parametrize("name", ["evidence_score"])
+def test_keys_are_made_once_an_item(spark, tmp_path, name):
+    """The terms' filter must not hold the making of the key, which would then be done for each term."""
+    from leafline.registry import core_queries
+
+    spark.range(3).selectExpr("id AS doc_id", "'Alpha beta' AS text", "10L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2).selectExpr("id AS item_id", "'alpha x' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan = core_queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    inside = plan[plan.lower().index("contains(") :].lower()
+    assert not inside.startswith("contains(regexp_replace")
