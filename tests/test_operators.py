@@ -217,7 +217,7 @@ def test_scores_of_evidence(spark):
         evidence.score(items, terms, terms_bytes=1)
 
 
-@pytest.mark.parametrize("name", ["evidence_score", "evidence_score_selected"])
+@pytest.mark.parametrize("name", ["evidence_score", "evidence_score_selected", "evidence_topk"])
 def test_keys_are_made_once_an_item(spark, tmp_path, name):
     """The terms' filter must not hold the making of the key, which would then be done for each term."""
     from leafline.registry import core_queries
