@@ -148,10 +148,12 @@ def field_context(text: Column, source: Column, shape: Column) -> Column:
     return F.when(source == "table", F.coalesce(shape.isin(*FIELD_SHAPES), F.lit(False))).otherwise(short)
 
 
-def field_list_selection(contracts: DataFrame, items: DataFrame, most: int = MOST_SELECTED) -> DataFrame:
+def field_list_selection(contracts: DataFrame, items: DataFrame, most: int = MOST_SELECTED, unnamed: bool = True) -> DataFrame:
     """Evidence for lists of fields.
 
     The two best strong items of each field; without any, the best of the scope.
+    A contract that names no field has the two best items of its terms, or, if
+    not ``unnamed``, the best of the scope as well.
     Where less than half of the fields (two at least) are covered, neighbours on
     the pages of what was chosen that look like fields fill up, twelve at most.
     An item that several fields chose counts for the last of them.
@@ -159,7 +161,7 @@ def field_list_selection(contracts: DataFrame, items: DataFrame, most: int = MOS
     met = contracts.join(items, "doc_id")
     own = F.filter(F.transform("fields", lambda x: F.trim(x)), lambda x: x != "")
     named = F.transform(own, lambda x, i: F.struct(i.alias("i"), x.alias("field")))
-    none = F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("field")))
+    none = F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("field"))) if unnamed else F.array().cast("array<struct<i:int,field:string>>")
     asked = contracts.withColumn("n_fields", F.size(own)).select("*", F.explode(F.when(F.size(own) > 0, named).otherwise(none)).alias("f"))
     asked = asked.withColumn("wanted", label_terms(F.col("f.field"))).withColumn("wanted", F.when(F.size("wanted") > 0, F.col("wanted")).otherwise(F.col("terms")))
     by_field = _scored(asked.join(items, "doc_id"), F.col("wanted"), True, False).where((F.col("score") > 0) & ((F.col("f.field") == "") | F.col("strong")))
@@ -202,12 +204,12 @@ def record_selection(contracts: DataFrame, items: DataFrame, most: int = MOST_SE
     return source.unionByName(scoped).unionByName(_chosen(_ranked(tables, ["query_id"], most), "table"))
 
 
-def selections(contracts: DataFrame, items: DataFrame, most: int = MOST_SELECTED) -> DataFrame:
-    """Evidence of each contract by its kind of output: ``query_id, rank, id, page_no, block_index, score, reason, target``, ``most`` at most."""
+def selections(contracts: DataFrame, items: DataFrame, most: int = MOST_SELECTED, unnamed: bool = True) -> DataFrame:
+    """Evidence of each contract by its kind of output: ``query_id, rank, id, page_no, block_index, score, reason, target``, ``most`` at most; ``unnamed`` as in ``field_list_selection``."""
     kind = F.coalesce("output_type", F.lit(""))
     lists, records, other = contracts.where(kind == "field_list"), contracts.where(kind == "record_collection"), contracts.where(~kind.isin("field_list", "record_collection"))
     generic = _scored(other.join(items, "doc_id"), F.col("terms"), False, True).where("score > 0")
-    found = field_list_selection(lists, items, most).unionByName(record_selection(records, items, most)).unionByName(_chosen(_ranked(generic, ["query_id"], most), "generic"))
+    found = field_list_selection(lists, items, most, unnamed).unionByName(record_selection(records, items, most)).unionByName(_chosen(_ranked(generic, ["query_id"], most), "generic"))
     return _ranked(found, ["query_id"], most).select("query_id", F.col("place").alias("rank"), "id", "page_no", "block_index", "score", "reason", "target")
 
 
