@@ -99,7 +99,7 @@ def test_no_field_named(spark):
     assert [(r["id"], r["score"], r["reason"]) for r in found] == [(f"ev2:p1:b{i}", 32 - 3 * i, "fallback") for i in range(4)]
 
 
-@pytest.mark.parametrize("name", ["evidence_packages"])
+@pytest.mark.parametrize("name", ["evidence_packages", "evidence_report"])
 def test_an_item_of_short_words_against_sql(spark, tmp_path, name):
     """An item of the benchmark without a word of three letters names no field."""
     import duckdb
