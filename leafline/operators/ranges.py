@@ -39,7 +39,8 @@ def text_matches(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     range.
     """
     a = _keyed(nodes.select("doc_id", "node_id", "pages", "text"), "a_")
-    b = _keyed(ranges.select("doc_id", "page_no", "ord", "range_id", "text"), "b_")
+    # keys and signs are many times their texts, so what looks small on disk is not sent whole through the driver
+    b = _keyed(ranges.select("doc_id", "page_no", "ord", "range_id", "text"), "b_").hint("merge")
     paged = a.withColumn("page_no", F.explode(F.array_distinct("pages"))).drop("pages").withColumn("same", F.lit(SAME_PAGE))
     loose = a.where(F.size(F.coalesce("pages", F.array().cast("array<int>"))) == 0).drop("pages").withColumn("same", F.lit(0.0))
     met = paged.join(b, ["doc_id", "page_no"]).unionByName(loose.join(b, "doc_id").select(*paged.join(b, ["doc_id", "page_no"]).columns))
