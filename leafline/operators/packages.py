@@ -108,9 +108,10 @@ def with_fallback(items: DataFrame, least: int, most: int) -> DataFrame:
 
 def nearest_anchor(items: DataFrame, within: int = 12) -> DataFrame:
     """How far each item is from the nearest anchor of its page, up to ``within``; null beyond."""
-    order = Window.partitionBy("page_no").orderBy("ord")
-    before = F.last(F.when(F.col("anchor"), F.col("ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("anchor"), F.col("ord")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # both frames run from the first row on: one that runs to the last is read anew for each row
+    place = F.when(F.col("anchor"), F.col("ord"))
+    before = F.max(place).over(Window.partitionBy("page_no").orderBy("ord"))
+    after = F.min(place).over(Window.partitionBy("page_no").orderBy(F.desc("ord")))
     away = F.least(F.col("ord") - before, after - F.col("ord"))
     return items.select("page_no", "ord", F.when(away <= within, away).alias("distance"))
 
