@@ -17,12 +17,12 @@ def block_scores(items: DataFrame, blocks: DataFrame) -> DataFrame:
     boxes. Boxes are in thousandths, scores whole; ``overlap`` in millionths.
     Only the blocks of one page meet, whose number a page bounds.
     """
-    met = items.join(blocks, "page_no")
-
     def words(text: str) -> Column:
         return F.array_distinct(F.filter(F.split(F.lower(text), r"[^0-9a-z_À-ɏ一-鿿]+"), lambda w: w != ""))
 
-    a, b = words("item_text"), words("block_text")
+    # below the join, so that a text is cut into words once and not for each pair
+    met = items.withColumn("_iw", words("item_text")).join(blocks.withColumn("_bw", words("block_text")), "page_no")
+    a, b = F.col("_iw"), F.col("_bw")
     ratio = F.coalesce(F.floor(F.try_divide(F.size(F.array_intersect(a, b)) * 60, F.greatest(F.size(a), F.size(b)))), F.lit(0))
     both = (F.length("item_text") > 0) & (F.length("block_text") > 0)
     text = F.when(~both, 0).when(F.col("item_text") == F.col("block_text"), 120).when(F.contains("item_text", "block_text") | F.contains("block_text", "item_text"), 80).otherwise(ratio)
