@@ -99,7 +99,7 @@ def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     head = "<tr>" + "".join(f"<th>{h}</th>" for h in HEADERS) + "</tr>"
     row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.col(c), F.lit("</td>")) for c in CELLS], F.lit("</tr>"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_index", row.alias("html")))), lambda x: x["html"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("row_index", row.alias("html")))), lambda x: x["html"])
     made = rows.groupBy("table_id").agg(listed.alias("rows"))
     return made.select("table_id", F.concat(F.lit("<table>" + head), F.array_join("rows", ""), F.lit("</table>")).alias("html"))
 
@@ -116,7 +116,7 @@ def span_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs_ = runs_.withColumn("size", size)
     lead = F.when(F.col("starts") == 1, F.concat(F.lit("<td rowspan=\""), F.col("size").cast("string"), F.lit("\">"), F.col("flag"), F.lit("</td>"))).otherwise("")
     row = F.concat(F.lit("<tr>"), lead, *[F.concat(F.lit("<td>"), F.col(c), F.lit("</td>")) for c in ("line", "part", "price")], F.lit("</tr>"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_index", row.alias("html")))), lambda x: x["html"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("row_index", row.alias("html")))), lambda x: x["html"])
     made = runs_.groupBy("table_id").agg(listed.alias("rows"))
     head = F.concat(F.lit("<table><tr><th colspan=\"4\">Order "), F.col("table_id").cast("string"), F.lit("</th></tr><tr><th>Flag</th><th>Line</th><th>Part</th><th>Price</th></tr>"))
     return made.select("table_id", F.concat(head, F.array_join("rows", ""), F.lit("</table>")).alias("html"))

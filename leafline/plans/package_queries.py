@@ -20,7 +20,7 @@ from leafline.session import table
       SELECT table_id, '| Line | Part | Quantity | Price | Flag | Shipped |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10) || rows || CASE WHEN n > 3 THEN chr(10) || '(' || (n - 3) || ' more rows)' ELSE '' END AS markdown FROM r""",
 )
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.as_markdown(T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir)))), 3)
+    return P.as_markdown(T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir), ids=False))), 3)
 
 
 @register(
@@ -30,7 +30,7 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_shape_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_tables(spark, sf_dir)
-    return P.table_shapes(T.grid(made), made.select("table_id", (F.col("table_id") % 9 == 0).alias("complex")))
+    return P.table_shapes(T.grid(made, ids=False), made.select("table_id", (F.col("table_id") % 9 == 0).alias("complex")))
 
 
 @register(
@@ -49,7 +49,7 @@ def table_shape_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LINES}, n AS (SELECT table_id, count(*) AS n FROM lines GROUP BY 1) SELECT table_id, 1 AS segment, 'section' AS kind, 1 AS row_start, 1 AS row_end FROM n UNION ALL SELECT table_id, 2, 'records', 2, n + 2 FROM n",
 )
 def table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.grid(span_tables(spark, sf_dir))
+    rows = T.grid(span_tables(spark, sf_dir), ids=False)
     return P.segments(rows, T.record_regions(rows))
 
 

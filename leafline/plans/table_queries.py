@@ -14,7 +14,8 @@ from leafline.session import table
 
 def kv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table an order of a header's pairs: rows of two and of four cells."""
-    o = table(spark, sf_dir, "orders")
+    # a small file is one split, and its markup would be read by one task
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
 
     def cell(x: object) -> object:
         return F.concat(F.lit("<td>"), x, F.lit("</td>"))
@@ -30,7 +31,7 @@ def object_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafline.plans.adapters import lines
 
     row = F.concat(F.lit("<tr><td>"), (F.col("row_index") + 1).cast("string"), F.lit("</td><td>"), F.col("part"), F.lit("</td></tr>"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("row_index", row.alias("h")))), lambda x: x["h"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("row_index", row.alias("h")))), lambda x: x["h"])
     made = lines(spark, sf_dir).groupBy("table_id").agg(F.array_join(listed, "").alias("rows"))
     head = F.concat(F.lit("<table><tr><td>Order</td><td>"), F.col("table_id").cast("string"), F.lit("</td></tr><tr><th>Item</th><th>Part</th></tr>"))
     return made.select("table_id", F.concat(head, F.col("rows"), F.lit("</table>")).alias("html"))
@@ -43,7 +44,7 @@ def object_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_roundtrip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines written as HTML tables, read back as records and summed."""
-    view = T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir))))
+    view = T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir), ids=False)))
     rows = T.records(view, list(HEADERS))
     return rows.groupBy("table_id").agg(
         F.count("*").alias("records"),
@@ -60,7 +61,7 @@ def table_roundtrip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
       unnest([line, part, quantity, price, flag, shipped]) AS value FROM lines""",
 )
 def table_records_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.records_long(T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir)))))
+    return T.records_long(T.record_view(T.record_regions(T.grid(line_tables(spark, sf_dir), ids=False))))
 
 
 @register(
@@ -69,7 +70,7 @@ def table_records_long(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT table_id, count(*) + 1 AS row_count, 6 AS min_width, 6 AS max_width, 0 AS empty_share, count(*) - count(DISTINCT t) AS repeated_rows, count(*) + 1 >= 24 AS is_large FROM a GROUP BY 1""",
 )
 def table_grid_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.shape(T.grid(line_tables(spark, sf_dir)))
+    return T.shape(T.grid(line_tables(spark, sf_dir), ids=False))
 
 
 @register(
@@ -78,7 +79,7 @@ def table_grid_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT table_id, concat_ws(',', CASE WHEN count(*) + 1 >= 24 THEN 'large_table' END, CASE WHEN count(*) > count(DISTINCT t) THEN 'repeated_rows' END) AS marks FROM a GROUP BY 1""",
 )
 def table_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.grid(line_tables(spark, sf_dir))
+    rows = T.grid(line_tables(spark, sf_dir), ids=False)
     return T.uncertainties(T.shape(rows), T.record_regions(rows))
 
 
@@ -89,7 +90,7 @@ def table_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT table_id, row_index + 3, concat_ws('|', flag, line, part, price) FROM lines""",
 )
 def table_span_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.grid(span_tables(spark, sf_dir)).select("table_id", "row_index", F.array_join("cells", "|").alias("cells"))
+    return T.grid(span_tables(spark, sf_dir), ids=False).select("table_id", "row_index", F.array_join("cells", "|").alias("cells"))
 
 
 @register(
@@ -109,7 +110,7 @@ def table_span_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_span_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records below a title row and beside cells that span rows."""
-    view = T.record_view(T.record_regions(T.grid(span_tables(spark, sf_dir))))
+    view = T.record_view(T.record_regions(T.grid(span_tables(spark, sf_dir), ids=False)))
     return T.records(view, ["Flag", "Line", "Part", "Price"])
 
 
@@ -131,7 +132,7 @@ def table_merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
       unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d')]) AS value FROM orders""",
 )
 def table_kv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.pairs(T.grid(kv_tables(spark, sf_dir)))
+    return T.pairs(T.grid(kv_tables(spark, sf_dir), ids=False))
 
 
 @register(
@@ -141,7 +142,7 @@ def table_kv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT table_id, row_index + 3, 'detail', CAST(row_index + 1 AS VARCHAR), part FROM lines JOIN b USING (table_id)""",
 )
 def table_kv_record_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.composite_objects(T.grid(object_tables(spark, sf_dir)))
+    return T.composite_objects(T.grid(object_tables(spark, sf_dir), ids=False))
 
 
 @register(
@@ -153,7 +154,7 @@ def table_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of line tables, pair tables and tables with a title over merged cells."""
     out = None
     for name, made in (("line", line_tables(spark, sf_dir)), ("kv", kv_tables(spark, sf_dir)), ("span", span_tables(spark, sf_dir))):
-        rows = T.grid(made)
+        rows = T.grid(made, ids=False)
         regions = T.record_regions(rows)
         found = T.roles(T.shape(rows), T.record_view(regions), T.pairs(rows), T.merged_cells(made), P.segments(rows, regions)).withColumn("source", F.lit(name))
         out = found if out is None else out.unionByName(found)
@@ -162,14 +163,14 @@ def table_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("table_grid_facts", f"WITH {LINES}, c AS (SELECT table_id, row_index + 2 AS row_index, [line, part, quantity, price, flag, shipped] AS c FROM lines UNION ALL SELECT DISTINCT table_id, 1, ['Line', 'Part', 'Quantity', 'Price', 'Flag', 'Shipped'] FROM lines), d AS (SELECT table_id, row_index, list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]) AS d FROM c) SELECT table_id, row_index, len(d) AS n_cells, array_to_string(d, ' | ') AS row_text FROM d")
 def table_grid_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.grid_facts(T.grid(line_tables(spark, sf_dir)))
+    return T.grid_facts(T.grid(line_tables(spark, sf_dir), ids=False))
 
 
 @register("table_blobs", "SELECT l_orderkey // 10 AS id, CAST(row_number() OVER (PARTITION BY l_orderkey // 10 ORDER BY l_orderkey) - 1 AS INT) AS table_no, count(*) + 1 AS row_count FROM lineitem GROUP BY l_orderkey")
 def table_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables found in texts that hold several between other words."""
     made = line_tables(spark, sf_dir)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("table_id", "html"))), lambda x: x["html"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("table_id", "html"))), lambda x: x["html"])
     blobs = made.groupBy(F.floor(F.col("table_id") / 10).alias("id")).agg(F.concat(F.lit("before "), F.array_join(listed, " and "), F.lit(" after")).alias("text"))
     found = T.tables_in(blobs, "id", "text")
     return found.select("id", "table_no", F.size(F.regexp_extract_all("html", F.lit("(<tr>)"), F.lit(1))).alias("row_count"))
