@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions.text import match_key
+from leafline.operators.tables import table_counts, undecided_regions
 
 #: From which size on tables cost much, and the least score of a table with named fields.
 COSTLY_ROWS, COSTLY_CELLS, COSTLY_PAGES, COSTLY_TEXT, LEAST_SCORE = 80, 500, 3, 6000, 2
@@ -57,18 +58,18 @@ def chosen_headers(candidates: DataFrame) -> DataFrame:
     return candidates.where((F.col("matched") > 0) & (score > 0)).groupBy("table_id").agg(best).select("table_id", F.col("b.score").alias("score"), (-F.col("b.o")).alias("ord"), F.col("b.headers").alias("headers"))
 
 
-def display_views(shapes: DataFrame, view: DataFrame, kv: DataFrame, merged: DataFrame) -> DataFrame:
-    """Whether each table is shown as records or as its grid.
+def display_views(grids: DataFrame) -> DataFrame:
+    """Whether each table of ``grids`` is shown as records or as its grid.
 
     As its grid without records, where pairs in half the rows of up to eight
     columns are, and where it has merged cells and the records don't cover it.
+    Tables without a filled row are left out. Where pairs decide, records are not looked for.
     """
-    pairs = kv.groupBy("table_id").agg(F.count("*").alias("pairs"))
-    held = shapes.join(view.select("table_id", "row_start", "row_end"), "table_id", "left").join(pairs, "table_id", "left").join(merged.select("table_id", "merged"), "table_id", "left").fillna(0, ["pairs", "merged"])
     n = F.col("row_count")
     by_pairs = (F.col("pairs") > 0) & (F.col("pairs") >= F.greatest(F.lit(1), F.floor(n / 2))) & (F.col("max_width") <= 8)
+    held = undecided_regions(table_counts(grids).withColumn("by_pairs", F.coalesce(by_pairs, F.lit(False))), ~F.col("by_pairs"), "merged", "row_count", "by_pairs").where(n > 0)
     part = (F.col("merged") > 0) & ~((F.col("row_start") <= 1) & (F.col("row_end") >= n))
-    return held.select("table_id", F.when(F.col("row_start").isNull() | by_pairs | part, "grid").otherwise("records").alias("shown"))
+    return held.select("table_id", F.when(F.col("row_start").isNull() | F.col("by_pairs") | part, "grid").otherwise("records").alias("shown"))
 
 
 def markdown_rows(texts: DataFrame, id_col: str = "id", text_col: str = "markdown") -> DataFrame:

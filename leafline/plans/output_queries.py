@@ -215,8 +215,7 @@ def prompt_header_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_display_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, made in (("line", line_tables(spark, sf_dir)), ("kv", kv_tables(spark, sf_dir))):
-        rows = H.grid(made)
-        found = T.display_views(H.shape(rows), H.record_view(H.record_regions(rows)), H.pairs(rows), H.merged_cells(made)).withColumn("source", F.lit(name))
+        found = T.display_views(H.grids(made)).withColumn("source", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out.groupBy("source", "shown").agg(F.count("*").alias("tables"))
 
