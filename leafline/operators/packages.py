@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafline.functions.text import bound
 
 def as_markdown(view: DataFrame, most: int = 12) -> DataFrame:
     """Records as Markdown tables of at most ``most`` rows, with a line that tells how many are left out."""
@@ -130,20 +131,31 @@ def roles(candidates: DataFrame) -> DataFrame:
     return held.select("query_id", "candidate_id", role.alias("role"))
 
 
-def assigned(fields: DataFrame, columns: DataFrame) -> DataFrame:
+def assigned(tables: DataFrame) -> DataFrame:
     """The column of each field: equal names before names that hold each other, longer before shorter.
 
-    A column goes to the field that fits it best, then by place. Returns fields
-    that have a column.
+    ``tables`` has ``table_id`` (a row each), ``fields`` and ``headers``, arrays
+    of names. A column goes to the field that fits it best, then by name. Returns
+    ``table_id, field, column_index`` (from 0), ``score`` of all fields, the last
+    two null where a field has no column.
     """
-    met = fields.join(columns, "table_id")
-    a, b = F.lower("field"), F.lower("header")
-    score = F.when(a == b, 1000 + F.length("field")).when(F.contains(a, b) | F.contains(b, a), 100 + F.least(F.length("field"), F.length("header")))
-    scored = met.withColumn("score", score).where("score is not null")
-    mine = F.row_number().over(Window.partitionBy("table_id", "field").orderBy(F.desc("score"), "column_index"))
-    best = scored.withColumn("mine", mine).where("mine = 1")
-    theirs = F.row_number().over(Window.partitionBy("table_id", "column_index").orderBy(F.desc("score"), "field"))
-    return best.withColumn("theirs", theirs).where("theirs = 1").select("table_id", "field", "column_index", "score")
+
+    def best(field: Column, low: Column) -> Column:
+        # what fits nowhere has a null score, which is the least; of equal scores the first column is best
+        equal, within = 1000 + F.length(field), lambda h: 100 + F.least(F.length(field), h["n"])
+        return F.array_max(F.transform("heads", lambda h: F.struct(F.when(low == h["low"], equal).when(F.contains(low, h["low"]) | F.contains(h["low"], low), within(h)).alias("score"), h["back"].alias("back"))))
+
+    # a table is one row until its fields are listed: rows for each field and column would be sorted many times over
+    heads = F.transform("headers", lambda h, i: F.struct(F.lower(h).alias("low"), F.length(h).alias("n"), (-i).alias("back")))
+    held = tables.select("table_id", F.array_distinct("fields").alias("fields"), heads.alias("heads"))
+    wishes = F.transform("fields", lambda f: F.struct(f.alias("field"), bound(F.lower(f), lambda low: best(f, low)).alias("best")))
+    held = held.select("table_id", wishes.alias("wishes"))
+    # an inner explode brings a filter on its array, which is pushed below what makes the tables distinct
+    held = held.select("table_id", "wishes", F.explode_outer("wishes").alias("w")).where("w is not null")
+    better = F.exists("wishes", lambda o: (o["best"]["back"] == F.col("w.best.back")) & ((o["best"]["score"] > F.col("w.best.score")) | ((o["best"]["score"] == F.col("w.best.score")) & (o["field"] < F.col("w.field")))))
+    mine = F.when(F.col("w.best.score").isNotNull() & ~F.coalesce(better, F.lit(False)), F.col("w.best"))
+    held = held.select("table_id", F.col("w.field").alias("field"), mine.alias("m"))
+    return held.select("table_id", "field", (-F.col("m.back")).alias("column_index"), F.col("m.score").alias("score"))
 
 
 def drafts(rows: DataFrame) -> DataFrame:

@@ -148,10 +148,8 @@ def locator_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prompt_column_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``unit price`` loses its column to the field that equals it, and is listed without one."""
-    ids = lines(spark, sf_dir).select("table_id").distinct()
-    fields = ids.select("table_id", F.explode(F.array(*map(F.lit, ("part", "price", "unit price", "flags")))).alias("field"))
-    columns = ids.select("table_id", F.posexplode(F.array(*map(F.lit, ("Line", "Part", "Quantity", "Price", "Flag", "Shipped")))).alias("column_index", "header"))
-    return fields.join(P.assigned(fields, columns), ["table_id", "field"], "left")
+    fields, headers = (F.array(*map(F.lit, x)) for x in (("part", "price", "unit price", "flags"), ("Line", "Part", "Quantity", "Price", "Flag", "Shipped")))
+    return P.assigned(lines(spark, sf_dir).select("table_id").distinct().select("table_id", fields.alias("fields"), headers.alias("headers")))
 
 
 @register("draft_dedupe", f"WITH {RUNS}, d AS (SELECT prompt_name || template_id AS key, run_id AS draft_id, run_id % 97 = 0 AS preferred, updated_at FROM runs), b AS (SELECT key, draft_id AS best FROM d QUALIFY row_number() OVER (PARTITION BY key ORDER BY preferred DESC, updated_at DESC, draft_id DESC) = 1) SELECT key, best AS draft_id, string_agg(draft_id, ',' ORDER BY draft_id) FILTER (draft_id <> best) AS removed FROM d JOIN b USING (key) GROUP BY 1, 2")
