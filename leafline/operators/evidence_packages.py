@@ -7,10 +7,11 @@ joins of contracts with their document's items, ranked in groups.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafline.functions.text import id_matches, match_key
+from leafline.functions.text import bound, id_matches, match_key
 from leafline.lineage import cut
 from leafline.operators.evidence import FALLBACK, FIELD_LIKE, MOST_SELECTED, PAGE, SELECTED, TERM_BASE, TERM_COUNT, TERM_EACH, TERM_MOST
 
@@ -59,50 +60,70 @@ def inverted(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``items`` has ``id, page_no`` and ``words``, an array.
     """
-    postings = items.select("id", "page_no", F.explode(F.array_distinct("words")).alias("w"))
+    postings = items.select("id", "page_no", F.explode_outer(bound(F.col("words"), F.array_distinct)).alias("w")).where("w is not null")
     return postings, postings.groupBy("w").agg(F.count("*").alias("df"))
 
 
-def best_items(items: DataFrame, queries: DataFrame, most: int = 2) -> DataFrame:
+def best_items(items: DataFrame, queries: DataFrame, most: int = 2, words_bytes: int = 16 << 20) -> DataFrame:
     """The items that hold most of each query's words: ``query_id, rank, id, hits``; of equal ones those of the earlier page, then the smaller id.
 
     ``queries`` has ``query_id`` and ``words``. A query's words are taken from
     the rarest on, in rounds of 1, 2, 3, 4, 6, 9 words and so on. An item with none of the words
     so far has at most as many as are left, so a query is done as soon as its
     ``most``-th best has more; the commonest words' postings are then never
-    read. Candidates that can still be among the best are counted whole, by
-    their own words.
+    read. Candidates that can still be among the best are counted whole, by the
+    rest of the query's words. Only postings of words that are asked for are
+    kept. The queries' words go to all tasks if together they hold at most
+    ``words_bytes``, so that a round reads postings where they lie, and are
+    joined by shuffles beyond that.
     """
-    postings, frequencies = inverted(items)
-    postings, frequencies = cut(postings), cut(frequencies)
-    asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("w")).join(frequencies, "w")
+    named = cut(queries.select("query_id", F.explode(F.array_distinct("words")).alias("w")))
+    held = (named.agg(F.sum(F.octet_length("w") + 32)).first()[0] or 0) <= words_bytes
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if held else df
+
+    # an inner explode brings a filter on its array, for which the texts would be cut into words once more
+    postings = items.select("id", "page_no", F.explode_outer(bound(F.col("words"), F.array_distinct)).alias("w"))
+    # kept by columns, as each round reads all of them
+    postings = postings.join(near(named.select("w").distinct()), "w", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    frequencies = cut(postings.groupBy("w").agg(F.count("*").alias("df")))
+    asked = named.join(near(frequencies), "w")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "w"))
     asked = cut(asked.withColumn("turn", turn).withColumn("n", F.count("*").over(Window.partitionBy("query_id"))))
     waiting, counts, done, read, size = asked, None, [], 0, 1
     while waiting.take(1):
-        new = postings.join(waiting.where((F.col("turn") <= size) & (F.col("turn") > read)), "w").select("query_id", "id", "page_no", F.lit(1).alias("c"))
+        new = postings.join(near(waiting.where((F.col("turn") <= size) & (F.col("turn") > read))), "w").select("query_id", "id", "page_no", F.lit(1).alias("c"))
         counts = new if counts is None else counts.unionByName(new)
         counts = cut(counts.groupBy("query_id", "id", "page_no").agg(F.sum("c").alias("c")))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c")))
-        least = counts.select("query_id", "c", place.alias("p")).where(F.col("p") == most).select("query_id", F.col("c").alias("least"))
-        state = waiting.groupBy("query_id").agg(F.max("n").alias("n")).join(least, "query_id", "left")
+        # what the most-th best has, from how many items have how much
+        so_far = F.sum("items").over(Window.partitionBy("query_id").orderBy(F.desc("c")))
+        least = counts.groupBy("query_id", "c").agg(F.count("*").alias("items")).withColumn("so_far", so_far).where(F.col("so_far") >= most).groupBy("query_id").agg(F.max("c").alias("least"))
+        state = waiting.groupBy("query_id").agg(F.max("n").alias("n")).join(near(least), "query_id", "left")
         state = state.withColumn("left", F.greatest(F.col("n") - size, F.lit(0)))
         over = cut(state.where((F.col("left") == 0) | (F.coalesce("least", F.lit(0)) > F.col("left"))))
         # what cannot reach the best any more goes
-        done.append(counts.join(over.select("query_id", "left", F.coalesce("least", F.lit(0)).alias("least")), "query_id").where(F.col("c") + F.col("left") >= F.col("least")).select("query_id", "id", "page_no"))
-        waiting = cut(waiting.join(over, "query_id", "left_anti"))
-        counts = counts.join(over, "query_id", "left_anti")
+        done.append(counts.join(near(over.select("query_id", "left", F.coalesce("least", F.lit(0)).alias("least"))), "query_id").where(F.col("c") + F.col("left") >= F.col("least")).select("query_id", "id", "page_no", "c", F.lit(size).alias("read")))
+        waiting = cut(waiting.join(near(over), "query_id", "left_anti"))
+        counts = counts.join(near(over), "query_id", "left_anti")
         read, size = size, size + max(1, size // 2)
     if not done:
+        postings.unpersist()
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(dict(items.dtypes)["id"]).alias("id"), F.lit(0).cast("long").alias("hits")).where(F.lit(False))
     found = done[0]
     for x in done[1:]:
         found = found.unionByName(x)
-    own = items.select("id", F.array_distinct("words").alias("have"))
-    met = found.join(own, "id").join(queries.select("query_id", F.array_distinct("words").alias("want")), "query_id")
-    counted = met.select("query_id", "id", "page_no", F.size(F.array_intersect("have", "want")).cast("long").alias("hits"))
+    found = cut(found)
+    # what the rest of a query's words adds, asked of the items that can be among its best only
+    rest = found.select("query_id", F.col("read")).distinct().join(asked, "query_id").where(F.col("turn") > F.col("read")).select("query_id", "w")
+    ids = cut(found.join(near(rest.select("query_id").distinct()), "query_id", "left_semi").select("id").distinct())
+    some = postings.join(F.broadcast(ids) if 64 * ids.count() <= words_bytes else ids, "id", "left_semi")
+    more = some.select("id", "w").join(near(rest), "w").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id", "id").agg(F.count("*").alias("more"))
+    counted = found.join(more, ["query_id", "id"], "left").select("query_id", "id", "page_no", (F.col("c") + F.coalesce("more", F.lit(0))).cast("long").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "page_no", "id"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "id", "hits")
+    best = cut(counted.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "id", "hits"))
+    postings.unpersist()
+    return best
 
 
 def label_terms(label: Column) -> Column:
