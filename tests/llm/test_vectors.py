@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from leafline.llm import collisions, crosspolytope
 
@@ -138,6 +139,55 @@ def test_share_falls_as_rows_grow():
     assert shares == sorted(shares, reverse=True) and shares[-1] < 0.03
 
 
+def recall_of_search(spark, x, asked):
+    """Recall of the ten nearest found, by brute force."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r["query_id"], r["vec_id"]) for r in crosspolytope.search(frame, frame.where(F.col("vec_id").isin(asked))).collect()}
+    hits = 0
+    for q in asked:
+        away = ((x - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        hits += sum((q, i) in got for i in np.argsort(away)[:10].tolist())
+    return hits / (10 * len(asked))
+
+
+def test_exact_distances_grow_slower_than_rows(spark, monkeypatch):
+    ranked, counts = crosspolytope._ranked, []
+
+    def counting(pairs, *rest):
+        counts.append(pairs.count())
+        return ranked(pairs, *rest)
+
+    monkeypatch.setattr(crosspolytope, "_ranked", counting)
+    x, made = random_units(12_000, 64, 7), []
+    for n in (3000, 12_000):
+        counts.clear()
+        assert recall_of_search(spark, x[:n], list(range(40))) >= 0.9
+        made.append(sum(counts))
+    assert made[1] < 1.9 * made[0]
+
+
+def test_recall_of_other_widths_and_lengths(spark):
+    for dim, spread in ((3, 0.3), (24, 0.3), (200, 0.0)):
+        rng = np.random.default_rng(dim)
+        x = rng.standard_normal((1500, dim)) * rng.lognormal(0, spread, (1500, 1)) + 0.2
+        assert recall_of_search(spark, x, list(range(0, 1500, 25))) >= 0.9
+
+
+def test_signs_tell_angles():
+    rng = np.random.default_rng(4)
+    for dim in (2, 3, 64, 300):
+        a = random_units(500, dim, dim)
+        b = rng.standard_normal((500, dim))
+        b -= (a * b).sum(1)[:, None] * a
+        b /= np.linalg.norm(b, axis=1)[:, None]
+        for angle in (0.0, 0.3, 1.2, np.pi):
+            c = np.cos(angle) * a + np.sin(angle) * b
+            differ = [np.bitwise_count((crosspolytope.signs(a, t) ^ crosspolytope.signs(c, t)).view(np.uint64)).sum(1).mean() for t in range(20)]
+            assert abs(np.mean(differ) / crosspolytope.SIGNS - angle / np.pi) < 0.01
+    assert np.allclose(crosspolytope.lengths(np.array([[3e200, 4e200], [0.0, 5e-324]])), [5e200, 5e-324], rtol=1e-12, atol=0)
+
+
 def test_search_ties_lengths_repeats_and_extremes(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(20, 40)] + [(0, [1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 2.0]), (None, [1.0, 0.0, 0.0])]
     rows += [(50, [1e200, 0.0, 0.0]), (51, [3e200, 0.0, 0.0]), (52, [-0.0, 1.0]), (53, [1e-300, 0.0, 0.0, 0.0]), (54, [3e-300, 0.0, 0.0, 0.0])]
