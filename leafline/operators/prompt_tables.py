@@ -67,7 +67,7 @@ def display_views(grids: DataFrame) -> DataFrame:
     """
     n = F.col("row_count")
     by_pairs = (F.col("pairs") > 0) & (F.col("pairs") >= F.greatest(F.lit(1), F.floor(n / 2))) & (F.col("max_width") <= 8)
-    held = undecided_regions(table_counts(grids).withColumn("by_pairs", F.coalesce(by_pairs, F.lit(False))), ~F.col("by_pairs"), "merged", "row_count", "by_pairs").where(n > 0)
+    held = undecided_regions(table_counts(grids, 8).withColumn("by_pairs", F.coalesce(by_pairs, F.lit(False))), ~F.col("by_pairs"), "merged", "row_count", "by_pairs").where(n > 0)
     part = (F.col("merged") > 0) & ~((F.col("row_start") <= 1) & (F.col("row_end") >= n))
     return held.select("table_id", F.when(F.col("row_start").isNull() | F.col("by_pairs") | part, "grid").otherwise("records").alias("shown"))
 

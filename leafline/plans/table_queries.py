@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.operators import packages as P
 from leafline.operators import tables as T
 from leafline.plans.adapters import HEADERS, LINES, line_tables, span_tables
 from leafline.registry import register
@@ -154,9 +153,7 @@ def table_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of line tables, pair tables and tables with a title over merged cells."""
     out = None
     for name, made in (("line", line_tables(spark, sf_dir)), ("kv", kv_tables(spark, sf_dir)), ("span", span_tables(spark, sf_dir))):
-        rows = T.grid(made, ids=False)
-        regions = T.record_regions(rows)
-        found = T.roles(T.shape(rows), T.record_view(regions), T.pairs(rows), T.merged_cells(made), P.segments(rows, regions)).withColumn("source", F.lit(name))
+        found = T.table_roles(T.grids(made)).withColumn("source", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out.groupBy("source", "role").agg(F.count("*").alias("tables"))
 
