@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions.text import bound
+from leafline.operators.tables import kind_starts, row_kinds, table_regions
+
 
 def as_markdown(view: DataFrame, most: int = 12) -> DataFrame:
     """Records as Markdown tables of at most ``most`` rows, with a line that tells how many are left out."""
@@ -67,6 +69,16 @@ def segments(rows: DataFrame, regions: DataFrame) -> DataFrame:
     return marked.groupBy("table_id", "segment").agg(F.first("kind").alias("kind"), F.min("row_index").alias("row_start"), F.max("row_index").alias("row_end"))
 
 
+def table_segments(grids: DataFrame) -> DataFrame:
+    """The ``segments`` of ``grids``, each table read and judged in its own row."""
+    held = table_regions(grids, F.lit(True), "grid")
+    held = held.select("table_id", row_kinds(F.col("grid"), F.col("best")).alias("kinds"))
+    held = held.select("table_id", "kinds", kind_starts(F.col("kinds")).alias("starts"))
+    found = F.transform("starts", lambda k, i: F.struct((i + 1).cast("long").alias("segment"), F.get("kinds", k).alias("kind"), (k + 1).alias("row_start"), F.coalesce(F.get("starts", i + 1), F.size("kinds")).alias("row_end")))
+    # an inner explode brings a filter on its array, and all that makes the table be done again for it
+    return held.select("table_id", F.explode_outer(found).alias("s")).where("s is not null").select("table_id", "s.segment", "s.kind", "s.row_start", "s.row_end")
+
+
 def backfilled(layout: DataFrame, model: DataFrame) -> DataFrame:
     """Layout tables with the text of the model's tables of the same place on the page, where theirs is empty."""
 

@@ -49,8 +49,7 @@ def table_shape_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LINES}, n AS (SELECT table_id, count(*) AS n FROM lines GROUP BY 1) SELECT table_id, 1 AS segment, 'section' AS kind, 1 AS row_start, 1 AS row_end FROM n UNION ALL SELECT table_id, 2, 'records', 2, n + 2 FROM n",
 )
 def table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.grid(span_tables(spark, sf_dir), ids=False)
-    return P.segments(rows, T.record_regions(rows))
+    return P.table_segments(T.grids(span_tables(spark, sf_dir)))
 
 
 @register("tree_text", f"WITH {HEADINGS} SELECT doc_id, ord, repeat('    ', level - 1) || substr(title, 1, 12) AS line FROM head")
