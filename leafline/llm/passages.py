@@ -10,11 +10,14 @@ a shuffle of chunks' parts:
 1. Keys that more than one document has are found from five bytes a key and
    chunk.
 2. The windows with such keys, as strips, each distinct text of a chunk once, go
-   to their anchor's bucket. There every anchor's strips are halved by document; a
-   run-length index is built of the earlier halves and the later ones are
-   streamed against it, until no half has two documents. A window whose match is
-   as long as a window repeats an earlier document. Strips alike are one there,
-   that of the smallest document with it, and repeated whole in all others.
+   to their anchor's bucket. There hashes of windows tell which documents a strip
+   may repeat; a run-length index is built of the strips of each such document, and
+   the strips that may repeat it are streamed against it, each once a document.
+   A window whose match is as long as a window repeats an earlier document.
+   Where a hash was of another text, the anchor's strips are halved by document,
+   the earlier halves indexed and the later ones streamed, until no half has two
+   documents. Strips alike are one there, that of the smallest document with
+   it, and repeated whole in all others.
 3. Answers return to the chunks, which cover the windows and cut them out.
 
 A key in very many chunks is split by the windows themselves.
@@ -298,9 +301,77 @@ def asked(joined: DataFrame, length: int, buckets: int) -> DataFrame:
     return joined.mapInArrow(run, "bucket int, chunk long, keys binary, ones binary, sizes binary, texts binary")
 
 
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the window from each place on, some segments at a time."""
+    n = len(data) - length + 1
+    return np.concatenate([doubled_hashes(data[a : min(n, a + SEGMENT) + length - 1], length)[0] for a in range(0, n, SEGMENT)])
+
+
+def spans_of(strips: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows in order of their strips, each run of one strip: the strip, its first window and how many lie from there to its last."""
+    at = np.flatnonzero(np.append(True, strips[1:] != strips[:-1])[: len(strips)])
+    return strips[at], offsets[at], np.append(offsets[at[1:] - 1], offsets[-1:]) - offsets[at] + 1
+
+
 def repeated_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """Per strip, the bits of its windows that also lie in a strip of the same group with a smaller id.
 
+    A window's hash tells the smallest document of its group that may hold it. That
+    document's strips are indexed, as far as such windows reach, and each
+    other strip is streamed against those of the documents it may repeat. A
+    window that none of them holds, though its hash is there, has its group done by halves.
+    """
+    bits = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return bits
+    many = sizes - length + 1
+    text = data[spread(starts, sizes)]
+    strip, offset = np.repeat(np.arange(len(starts)), many), spread(np.zeros(len(starts), np.int64), many)
+    key = mixed(window_hashes(text, length)[spread(np.cumsum(sizes) - sizes, many)], groups.astype(np.uint64)[strip])
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(edges, len(by)))
+    by, count = by[np.repeat(count > 1, count)], count[count > 1]
+    if not len(by):
+        return bits
+    own = ids[strip[by]]
+    edges = np.cumsum(count) - count
+    least, most = np.minimum.reduceat(own, edges), np.maximum.reduceat(own, edges)
+    source, several = np.repeat(least, count), np.repeat(least != most, count)
+    first, late = np.sort(by[several & (own == source)]), own > source
+    late, source = by[late], source[late]
+    if not len(late):
+        return bits
+    here, begin, wide = spans_of(strip[first], offset[first])
+    at = np.lexsort((late, source, strip[late]))
+    late, source = late[at], source[at]
+    # a strip is asked for once for each document that it may repeat
+    asks = np.cumsum(np.append(True, (strip[late[1:]] != strip[late[:-1]]) | (source[1:] != source[:-1]))) - 1
+    nth, ask_begin, ask_wide = spans_of(asks, offset[late])
+    edges = np.searchsorted(asks, nth)
+    ask, meant = strip[late[edges]], source[edges]
+    group, doc = np.concatenate([groups[here], groups[ask]]), np.concatenate([ids[here], meant])
+    at = np.lexsort((doc, group))
+    number = np.empty(len(at), np.int64)
+    number[at] = np.cumsum(np.append(False, (np.diff(group[at]) != 0) | (np.diff(doc[at]) != 0)))
+    index = RunIndex(data, starts[here] + begin, wide + length - 1, number[: len(here)])
+    ask_sizes = ask_wide + length - 1
+    found = index.statistics(data, starts[ask] + ask_begin, ask_sizes, number[len(here) :])
+    hits = np.flatnonzero(found >= length)
+    of = np.repeat(np.arange(len(ask)), ask_sizes)[hits]
+    place = hits - (np.cumsum(ask_sizes) - ask_sizes)[of] + ask_begin[of]
+    np.bitwise_or.at(bits, ask[of], np.uint64(1) << place.astype(np.uint64))
+    missed = (bits[strip[late]] >> offset[late].astype(np.uint64)) & np.uint64(1) == 0
+    if missed.any():
+        again = np.flatnonzero(np.isin(groups, groups[strip[late[missed]]]))
+        bits[again] = halved_windows(data, starts[again], sizes[again], groups[again], ids[again], length)
+    return bits
+
+
+def halved_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """What ``repeated_windows`` gives, without hashes.
+
     Groups are halved by id, the later halves streamed against an index of the
     earlier ones, and both halved again; strips found whole need not go on, for
     an earlier one answers for all that they hold.

@@ -89,7 +89,7 @@ class RunIndex:
         # rows that begin with a symbol lie together, in the order of the rows that it precedes
         plain = of * 257 + symbols
         values, counts = np.unique(plain, return_counts=True)
-        base = dict(zip(values.tolist(), (np.cumsum(counts) - counts).tolist(), strict=True))
+        base = np.cumsum(counts) - counts
         sizes_of = (self.last - self.first + 1)[self.runs]
         passed = np.cumsum(sizes_of) - sizes_of
         owner = self.code[self.runs]
@@ -100,7 +100,7 @@ class RunIndex:
         self.size = self.last - self.first + 1
         self.goes, self.into = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64)
         if len(owner):
-            to = np.array([base[x] for x in owner[start].tolist()], np.int64)[np.cumsum(start) - 1] + passed - passed[at]
+            to = base[np.searchsorted(values, owner[start])][np.cumsum(start) - 1] + passed - passed[at]
             self.goes[self.runs] = np.searchsorted(self.first, to, side="right") - 1
             self.into[self.runs] = to - self.first[self.goes[self.runs]]
 
